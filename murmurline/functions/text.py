@@ -135,23 +135,23 @@ def tweet_tokens(text: Column) -> Column:
         F.array(F.left(w, F.length(w) - 2), F.lit("'s"))).otherwise(F.array(w))))
 
 
-def token_starts(tokens: Column, text: Column) -> Column:
-    """Zero-based start of every token in the squeezed text, scanning forward."""
-    squeezed = squeeze_whitespace(text)
-    empty = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("starts"))
-
-    def step(acc: Column, token: Column) -> Column:
-        found = F.call_function("locate", token, squeezed, acc["at"])
-        return F.struct((found + F.length(token)).alias("at"),
-                        F.concat(acc["starts"], F.array(found - 1)).alias("starts"))
+def aligned_tokens(text: Column) -> Column:
+    """Array of (tok, start) structs, start counted from 0 in the squeezed text.
 
-    return F.aggregate(tokens, empty, step, lambda acc: acc["starts"])
+    Tokens keep every non-blank character in order, so a token starts where the
+    previous one ended or one blank later. The squeezed text travels in the
+    accumulator, which evaluates it once instead of once per token.
+    """
+    pair = "array<struct<tok:string,start:int>>"
+    zero = F.struct(F.lit(1).alias("at"), squeeze_whitespace(text).alias("s"), F.array().cast(pair).alias("out"))
 
+    def step(acc: Column, token: Column) -> Column:
+        start = F.when(F.substring(acc["s"], acc["at"], F.lit(1)) == " ", acc["at"] + 1).otherwise(acc["at"])
+        entry = F.struct(token.alias("tok"), (start - 1).alias("start"))
+        return F.struct((start + F.length(token)).alias("at"), acc["s"].alias("s"),
+                        F.concat(acc["out"], F.array(entry)).alias("out"))
 
-def aligned_tokens(text: Column) -> Column:
-    """Array of (tok, start) structs (X11 with X13)."""
-    tokens = tweet_tokens(text)
-    return F.arrays_zip(tokens.alias("tok"), token_starts(tokens, text).alias("start"))
+    return F.aggregate(tweet_tokens(text), zero, step, lambda acc: acc["out"])
 
 
 def pick_tokens(aligned: Column, indices: Column) -> Column:

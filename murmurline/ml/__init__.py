@@ -1,0 +1 @@
+"""Feature extraction, classifiers, cascades and their evaluation on Spark ML."""

@@ -72,9 +72,9 @@ def roc_points(df: DataFrame, score: str = "score", y: str = "y", buckets: int =
 
 def roc_rates(points: DataFrame) -> DataFrame:
     """False and true positive rates of :func:`roc_points`."""
-    totals = points.agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
-    return points.join(F.broadcast(totals)).select(  # one row
-        "score", (F.col("fp") / F.col("_n")).alias("fpr"), (F.col("tp") / F.col("_p")).alias("tpr"))
+    p, n = points.agg(F.sum("p"), F.sum("n")).first()
+    return points.select("score", (F.col("fp") / F.lit(float(n))).alias("fpr"),
+                         (F.col("tp") / F.lit(float(p))).alias("tpr"))
 
 
 def roc_auc(points: DataFrame) -> DataFrame:

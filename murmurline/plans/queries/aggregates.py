@@ -82,25 +82,25 @@ def a7(spark, sf):
 @query("a8_ratio_to_mean", sql(B.SHARE_SQL, f"""SELECT series_id, t,
   {sql6("x / avg(x) OVER (PARTITION BY series_id)")} AS x FROM share"""))
 def a8(spark, sf):
-    return profiles.relative_to(B.alc_share(spark, sf), "avg").withColumn("x", r6("x"))
+    return profiles.relative_to(B.alc_share(spark, sf), "avg").select("series_id", "t", r6("x").alias("x"))
 
 
 @query("a8_ratio_to_sum", sql(B.SHARE_SQL, f"""SELECT series_id, t,
   {sql6("x / sum(x) OVER (PARTITION BY series_id)")} AS x FROM share"""))
 def a8_sum(spark, sf):
-    return profiles.relative_to(B.alc_share(spark, sf), "sum").withColumn("x", r6("x"))
+    return profiles.relative_to(B.alc_share(spark, sf), "sum").select("series_id", "t", r6("x").alias("x"))
 
 
 _H = "1.96 * sqrt(var_samp(value)) / sqrt(count(*))"
 
 
-@query("a9_replicate_band", f"""SELECT user_id, {sql6("avg(value)")} AS mean, {sql6("var_samp(value)")} AS var,
+@query("a9_replicate_band", f"""SELECT user_id, {sql6("avg(value)")} AS mean, round(var_samp(value), 4) AS var,
   count(value) AS n, {sql6(f"avg(value) - {_H}")} AS ci_low, {sql6(f"avg(value) + {_H}")} AS ci_high,
   {sql6("quantile_cont(value, 0.1)")} AS q_low, {sql6("quantile_cont(value, 0.9)")} AS q_high
   FROM events GROUP BY user_id""")
 def a9(spark, sf):
     out = profiles.replicate_band(read_table(spark, sf, "events"), ["user_id"], "value")
-    return out.select("user_id", "n", *[r6(c).alias(c) for c in ("mean", "var", "ci_low", "ci_high", "q_low", "q_high")])
+    return out.select("user_id", "n", F.round("var", 4).alias("var"), *[r6(c).alias(c) for c in ("mean", "ci_low", "ci_high", "q_low", "q_high")])
 
 
 _BAND = "1.96 * sqrt(x / total - (x / total) * (x / total)) / sqrt(total)"
