@@ -96,11 +96,15 @@ def load_stop_words(spark: SparkSession, path: str) -> DataFrame:
     return listed.unionByName(extra)
 
 
+# Set between tokens of one word. White space to every pattern below, but never
+# part of a squeezed text, so the blanks of the text itself stay recognisable.
+_FENCE = "\u2003"
+
 # The patterns of the tweet tokenizer, in matching order.
 _PUNCT = "['“\".?!,:;]"
 _ENTITY = "&(?:amp|lt|gt|quot);"
 _URL = (r"\b(?:https?://|www\.|[a-z0-9.\-]+?\.(?:com|co\.uk|org|net|info|ca)(?=\W))"
-        r"[^ \t\r\n<>]*?"
+        rf"[^ {_FENCE}\t\r\n<>]*?"
         rf"(?=(?:(?:{_PUNCT}|{_ENTITY})+?)?(?:\.\.+|[<>]|\s|$))")
 _TIME = r"\d+:\d+"
 _DECIMAL = r"\d+\.\d+"
@@ -119,39 +123,71 @@ _EDGE_LEFT = rf"(?U)(\s|^)({_EDGE}+)([a-zA-Z0-9])"
 _EDGE_RIGHT = rf"(?U)([a-zA-Z0-9])({_EDGE}+)(\s|$)"
 
 
-def tweet_tokens(text: Column) -> Column:
-    """Tweet tokens (X11).
+def _tokens_by_word(text: Column) -> Column:
+    """Token lists of the white-space separated words, possessive endings apart.
 
-    Edge punctuation is set apart, every protected stretch is fenced with
-    blanks (none can contain one), the rest splits on white space, and a
-    possessive ending becomes a token of its own.
+    Edge punctuation and every protected stretch are fenced off; none of them
+    can contain a blank.
     """
     s = squeeze_whitespace(text)
-    s = F.regexp_replace(s, _EDGE_LEFT, "$1$2 $3")
-    s = F.regexp_replace(s, _EDGE_RIGHT, "$1 $2$3")
-    fenced = F.regexp_replace(s, _PROTECTED, " $0 ")
-    return F.flatten(F.transform(words(fenced), lambda w: F.when(
-        w.endswith("'s") & (F.length(w) > 2),
-        F.array(F.left(w, F.length(w) - 2), F.lit("'s"))).otherwise(F.array(w))))
+    s = F.regexp_replace(s, _EDGE_LEFT, f"$1$2{_FENCE}$3")
+    s = F.regexp_replace(s, _EDGE_RIGHT, f"$1{_FENCE}$2$3")
+    fenced = F.regexp_replace(s, _PROTECTED, f"{_FENCE}$0{_FENCE}")
+
+    def parts(word: Column) -> Column:
+        pieces = F.filter(F.split(word, _FENCE), lambda w: w != "")
+        return F.flatten(F.transform(pieces, lambda w: F.when(
+            w.endswith("'s") & (F.length(w) > 2),
+            F.array(F.left(w, F.length(w) - 2), F.lit("'s"))).otherwise(F.array(w))))
+
+    return F.transform(F.filter(F.split(fenced, " "), lambda w: w != ""), parts)
+
+
+def tweet_tokens(text: Column) -> Column:
+    """Tweet tokens (X11)."""
+    return F.flatten(_tokens_by_word(text))
+
+
+def _bind(value: Column, body) -> Column:
+    """``body`` over a value that is evaluated once, not once per use."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running_sums(xs: Column, block: int = 64) -> Column:
+    """Sums of all leading stretches of an int array.
+
+    Blocks are summed first; each entry then adds its block's offset and at
+    most ``block`` values, so long arrays stay cheap.
+    """
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda a, v: a + v)
+
+    def inside(xs: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int"))
+        sums = F.transform(blocks, lambda b: total(F.slice(xs, b * block + 1, block)))
+        offsets = F.aggregate(sums, F.array(F.lit(0)), lambda a, v: F.concat(a, F.array(F.element_at(a, -1) + v)))
+        return _bind(offsets, lambda before: F.flatten(F.transform(blocks, lambda b: F.transform(
+            F.sequence(F.lit(1), F.least(F.lit(block), F.size(xs) - b * block)),
+            lambda i: F.element_at(before, b + 1) + total(F.slice(xs, b * block + 1, i))))))
+
+    return _bind(xs, lambda v: F.when(F.size(v) > 0, inside(v)).otherwise(F.array().cast("array<int>")))
 
 
 def aligned_tokens(text: Column) -> Column:
     """Array of (tok, start) structs, start counted from 0 in the squeezed text.
 
     Tokens keep every non-blank character in order, so a token starts where the
-    previous one ended or one blank later. The squeezed text travels in the
-    accumulator, which evaluates it once instead of once per token.
+    previous one ended, or one blank later when it opens a word.
     """
-    pair = "array<struct<tok:string,start:int>>"
-    zero = F.struct(F.lit(1).alias("at"), squeeze_whitespace(text).alias("s"), F.array().cast(pair).alias("out"))
+    tokens = F.flatten(F.transform(_tokens_by_word(text), lambda ts, w: F.transform(
+        ts, lambda t, i: F.struct(t.alias("tok"), ((i == 0) & (w > 0)).cast("int").alias("gap")))))
 
-    def step(acc: Column, token: Column) -> Column:
-        start = F.when(F.substring(acc["s"], acc["at"], F.lit(1)) == " ", acc["at"] + 1).otherwise(acc["at"])
-        entry = F.struct(token.alias("tok"), (start - 1).alias("start"))
-        return F.struct((start + F.length(token)).alias("at"), acc["s"].alias("s"),
-                        F.concat(acc["out"], F.array(entry)).alias("out"))
+    def placed(tokens: Column) -> Column:
+        ends = running_sums(F.transform(tokens, lambda t: F.length(t["tok"]) + t["gap"]))
+        return F.zip_with(tokens, ends, lambda t, end: F.struct(
+            t["tok"].alias("tok"), (end - F.length(t["tok"])).alias("start")))
 
-    return F.aggregate(tweet_tokens(text), zero, step, lambda acc: acc["out"])
+    return _bind(tokens, placed)
 
 
 def pick_tokens(aligned: Column, indices: Column) -> Column:

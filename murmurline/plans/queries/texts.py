@@ -160,10 +160,14 @@ def x12(spark, sf):
 def x13(spark, sf):
     """Every token is found at its offset in the squeezed text, and offsets grow."""
     a = posts(spark, sf).select("post_id", X.squeeze_whitespace(F.col("text")).alias("s"), X.aligned_tokens(F.col("text")).alias("a"))
-    same = F.forall("a", lambda e: F.substring("s", e["start"] + 1, F.length(e["tok"])) == e["tok"])
+    e = a.select("post_id", F.length("s").alias("n"), F.replace("s", F.lit(" "), F.lit("")).alias("dense"), "a")
+    ends = F.transform("a", lambda t: t["start"] + F.length(t["tok"]))
     starts = F.col("a.start")
-    growing = F.forall(F.zip_with(starts, F.slice(starts, 2, F.size(starts)), lambda x, y: F.coalesce(y > x, F.lit(True))), lambda b: b)
-    return a.select("post_id", (same & growing).alias("consistent"))
+    gaps = F.zip_with(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), ends,
+                      lambda nxt, end: F.coalesce(nxt - end, F.lit(0)).between(0, 1))
+    return e.select("post_id", (
+        (F.array_join("a.tok", "") == F.col("dense")) & F.forall(gaps, lambda g: g)
+        & (F.coalesce(F.array_max(ends), F.lit(0)) == F.col("n"))).alias("consistent"))
 
 
 @query("x14_emoticons", sql(POSTS_SQL, r"""SELECT post_id, CASE WHEN h AND s THEN 'BOTH_HS' WHEN h THEN 'HAPPY' WHEN s THEN 'SAD' ELSE 'NA' END AS mood
