@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_SEGMENTS = 62
 
@@ -75,7 +76,7 @@ def distances(segments: DataFrame, measure: Measure, full: bool = False, value:
     return pairs.select("group_id", "a", "b", measure(F.col("xa"), F.col("xb")).alias("d"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _dtw(a: pd.Series, b: pd.Series) -> pd.Series:
     """Warping cost of many pairs at once: one cell of all pairs per step."""
     x, y = np.stack(a.to_numpy()).astype(float), np.stack(b.to_numpy()).astype(float)
