@@ -53,12 +53,7 @@ def cohen_kappa(df: DataFrame, a: str = "y", b: str = "yhat") -> DataFrame:
         "n", "observed", "expected", ((F.col("observed") - F.col("expected")) / (1 - F.col("expected"))).alias("kappa"))
 
 
-def roc_points(df: DataFrame, score: str = "score", y: str = "y", buckets: int = 64) -> DataFrame:
-    """Cumulative true and false positives at every distinct score.
-
-    Scores are counted first, so ties and copies collapse before the ordered
-    sums; those run per score bucket and earlier buckets are added as offsets.
-    """
+def _ranked_points(df: DataFrame, score: str, y: str, buckets: int) -> DataFrame:
     counts = df.groupBy(F.col(score).alias("score")).agg(
         F.sum(F.col(y).cast("long")).alias("p"), F.sum(1 - F.col(y).cast("long")).alias("n"))
     placed = order_buckets(counts.withColumn("_down", -F.col("score")), "_down", buckets)
@@ -66,13 +61,38 @@ def roc_points(df: DataFrame, score: str = "score", y: str = "y", buckets: int =
     before = offsets_before(sums, "_bucket", ["p", "n"])
     w = Window.partitionBy("_bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     return placed.join(F.broadcast(before), "_bucket").select(  # at most `buckets` + 1 rows
-        "score", "p", "n", (F.sum("p").over(w) + F.col("p_before")).alias("tp"),
+        "_bucket", "score", "p", "n", (F.sum("p").over(w) + F.col("p_before")).alias("tp"),
         (F.sum("n").over(w) + F.col("n_before")).alias("fp"))
 
 
+def roc_points(df: DataFrame, score: str = "score", y: str = "y", buckets: int = 64, bends_only: bool = False) -> DataFrame:
+    """Cumulative true and false positives at every distinct score.
+
+    Scores are counted first, so ties and copies collapse before the ordered
+    sums; those run per score bucket and earlier buckets are added as offsets.
+    ``bends_only`` leaves out points inside a straight stretch of the curve.
+    """
+    points = _ranked_points(df, score, y, buckets)
+    if not bends_only:
+        return points.drop("_bucket")
+    w = Window.partitionBy("_bucket").orderBy(F.desc("score"))
+    heads = points.groupBy("_bucket").agg(F.max_by(F.struct("p", "n"), "score").alias("head"))
+    following = heads.select("_bucket", F.lead("head").over(_few_buckets()).alias("head"))
+    step = F.coalesce(F.lead(F.struct("p", "n")).over(w), F.col("head"))
+    first = (F.col("tp") == F.col("p")) & (F.col("fp") == F.col("n"))
+    rows = points.join(F.broadcast(following), "_bucket").withColumn("_step", step)
+    keep = F.col("_step").isNull() | first | (F.col("_step.p") != F.col("p")) | (F.col("_step.n") != F.col("n"))
+    return rows.where(keep).select("score", "p", "n", "tp", "fp")
+
+
+def _few_buckets():
+    """Order over bucket summaries, at most one row per bucket."""
+    return Window.partitionBy(F.lit(0)).orderBy("_bucket")
+
+
 def roc_rates(points: DataFrame) -> DataFrame:
     """False and true positive rates of :func:`roc_points`."""
-    p, n = points.agg(F.sum("p"), F.sum("n")).first()
+    p, n = points.agg(F.max("tp"), F.max("fp")).first()
     return points.select("score", (F.col("fp") / F.lit(float(n))).alias("fpr"),
                          (F.col("tp") / F.lit(float(p))).alias("tpr"))
 
@@ -83,3 +103,83 @@ def roc_auc(points: DataFrame) -> DataFrame:
     Each step adds n x (tp - p / 2): no neighbour has to be looked up.
     """
     return points.agg((F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)) / (F.sum("n") * F.sum("p"))).alias("auc"))
+
+
+def roc_by_class(df: DataFrame, scores: dict[int, str], y: str = "y", buckets: int = 64) -> DataFrame:
+    """(curve, auc) per class, micro and macro.
+
+    Each class is one against the rest. The micro curve pools the rows of all
+    classes; the macro curve averages the class curves, interpolated at every
+    false positive rate that any of them reaches.
+    """
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("cls"), F.col(s).alias("score"), (F.col(y) == c).cast("int").alias("y"))
+        for c, s in scores.items()])).alias("e")).select("e.*")
+    curves = {c: roc_points(long.where(F.col("cls") == c), buckets=buckets) for c in scores}
+    out = [roc_auc(p).select(F.lit(str(c)).alias("curve"), "auc") for c, p in curves.items()]
+    out.append(roc_auc(roc_points(long, buckets=buckets)).select(F.lit("micro").alias("curve"), "auc"))
+    bends = {c: roc_points(long.where(F.col("cls") == c), buckets=buckets, bends_only=True) for c in scores}
+    out.append(_macro_auc(bends, buckets).select(F.lit("macro").alias("curve"), "auc"))
+    result = out[0]
+    for part in out[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+def _corner_points(points: DataFrame) -> DataFrame:
+    """(fpr, low, high): lowest and highest true positive rate at each false positive rate.
+
+    The curve starts in (0, 0).
+    """
+    rates = roc_rates(points).select("fpr", "tpr")
+    start = rates.sparkSession.range(1).select(F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return rates.unionByName(start).groupBy("fpr").agg(F.min("tpr").alias("low"), F.max("tpr").alias("high"))
+
+
+def _macro_auc(curves: dict[int, DataFrame], buckets: int) -> DataFrame:
+    """Area of the averaged curve.
+
+    Grid points are all rates of all classes. Between two of its own points a
+    class runs straight from the upper value of the left one to the lower value
+    of the right one; at its own points the upper value counts.
+    """
+    classes = list(curves)
+    corners = None
+    for c, p in curves.items():
+        part = _corner_points(p).select(F.lit(c).alias("cls"), "fpr", "low", "high")
+        corners = part if corners is None else corners.unionByName(part)
+    grid = corners.groupBy("fpr").agg(*[F.max(F.when(F.col("cls") == c, F.struct("low", "high"))).alias(f"c{c}") for c in classes])
+    placed = order_buckets(grid, "fpr", buckets).persist()
+    w = Window.partitionBy("_bucket").orderBy("fpr")
+    back = w.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = w.rowsBetween(0, Window.unboundedFollowing)
+
+    def own(c: int, value: str):
+        return F.when(F.col(f"c{c}").isNotNull(), F.struct("fpr", F.col(f"c{c}.{value}").alias("v")))
+
+    edges = placed.groupBy("_bucket").agg(
+        *[F.max_by(own(c, "high"), F.when(F.col(f"c{c}").isNotNull(), F.col("fpr"))).alias(f"last{c}") for c in classes],
+        *[F.min_by(own(c, "low"), F.when(F.col(f"c{c}").isNotNull(), F.col("fpr"))).alias(f"first{c}") for c in classes],
+        F.min("fpr").alias("start"))
+    over = _few_buckets()
+    carried = edges.select(
+        "_bucket",
+        *[F.last(f"last{c}", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias(f"before{c}") for c in classes],
+        *[F.first(f"first{c}", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias(f"after{c}") for c in classes])
+    rows = placed.join(F.broadcast(carried), "_bucket")
+    mean = F.lit(0.0)
+    for c in classes:
+        left = F.coalesce(F.last(own(c, "high"), ignorenulls=True).over(back), F.col(f"before{c}"))
+        right = F.coalesce(F.first(own(c, "low"), ignorenulls=True).over(ahead), F.col(f"after{c}"))
+        rows = rows.withColumns({f"l{c}": left, f"r{c}": right})
+        step = F.try_divide(F.col("fpr") - F.col(f"l{c}.fpr"), F.col(f"r{c}.fpr") - F.col(f"l{c}.fpr"))
+        line = F.col(f"l{c}.v") + (F.col(f"r{c}.v") - F.col(f"l{c}.v")) * step
+        mean = mean + F.when(F.col(f"c{c}").isNotNull(), F.col(f"c{c}.high")).otherwise(line) / len(classes)
+    averaged = rows.select("_bucket", "fpr", mean.alias("tpr")).persist()
+    ends = averaged.groupBy("_bucket").agg(F.max(F.struct("fpr", "tpr")).alias("end"))
+    previous = ends.select("_bucket", F.lag("end").over(over).alias("end"))
+    traced = averaged.join(F.broadcast(previous), "_bucket")
+    last_x = F.coalesce(F.lag("fpr").over(w), F.col("end.fpr"))
+    last_y = F.coalesce(F.lag("tpr").over(w), F.col("end.tpr"))
+    area = traced.select(((F.col("fpr") - last_x) * (F.col("tpr") + last_y) / 2).alias("a"))
+    return area.agg(F.sum("a").alias("auc"))

@@ -31,7 +31,10 @@ def r6(c: Column | str) -> Column:
 
 
 def tweets(spark: SparkSession, sf: str) -> DataFrame:
-    ev = read_table(spark, sf, "events")
+    return tweets_of(read_table(spark, sf, "events"))
+
+
+def tweets_of(ev: DataFrame) -> DataFrame:
     place = F.element_at(F.array(*[F.lit(p) for p in PLACES]), (F.col("user_id") % len(PLACES) + 1).cast("int"))
     return ev.select(
         F.col("event_id").alias("id"), F.col("ts").alias("created_at"), "user_id", "event_type", "value",

@@ -44,12 +44,15 @@ def read_with_quarantine(spark: SparkSession, path: str, schema: T.StructType,
     """Good rows and unparsable rows of a CSV folder.
 
     Unreadable files are skipped, unparsable rows keep their raw line and file
-    name so that they can be inspected instead of only printed.
+    name so that they can be inspected instead of only printed. A row counts as
+    bad for a fault in any of its fields, so both parts refer to all of them:
+    otherwise the reader would parse only the columns a query asks for.
     """
     wide = T.StructType(schema.fields + [T.StructField(_CORRUPT, T.StringType())])
     rows = (spark.read.schema(wide).option("header", header).option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", _CORRUPT).option("ignoreCorruptFiles", True)
             .csv(path).withColumn("file", F.col("_metadata.file_name")))
+    rows = rows.where(F.hash(*schema.fieldNames()) >= F.lit(-2 ** 31))
     good = rows.where(F.col(_CORRUPT).isNull()).drop(_CORRUPT, "file")
     bad = rows.where(F.col(_CORRUPT).isNotNull()).select(F.col(_CORRUPT).alias("line"), "file")
     return good, bad

@@ -39,5 +39,6 @@ def exact_blocks(df: DataFrame, order: str, block_size: int = 100_000) -> DataFr
 
 
 def write_blocks(df: DataFrame, path: str, block_size: int = 100_000) -> None:
-    """Even files of at most ``block_size`` rows (S9): one round-robin shuffle, no sort."""
-    df.repartition().write.mode("errorifexists").option("maxRecordsPerFile", block_size).parquet(path)
+    """Even files of at most ``block_size`` rows (S9): a count, then one round-robin shuffle."""
+    files = max(1, -(-df.count() // block_size))
+    df.repartition(files).write.mode("errorifexists").option("maxRecordsPerFile", block_size).parquet(path)
