@@ -209,16 +209,20 @@ def emoticon_mood(text: Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Blank-joined n-grams; empty array for shorter token lists."""
-    if n == 1:
-        return tokens
-    last = F.size(tokens) - n
-    return F.when(last >= 0, F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+    return ngrams_up_to(tokens, n, n)
 
 
-def ngrams_up_to(tokens: Column, n: int = 3) -> Column:
-    return F.concat(*[ngrams(tokens, i) for i in range(1, n + 1)])
+def ngrams_up_to(tokens: Column, n: int = 3, least: int = 1) -> Column:
+    """All n-grams of ``least`` to ``n`` tokens; the token list is evaluated once."""
+
+    def of_length(t: Column, k: int) -> Column:
+        if k == 1:
+            return t
+        return F.when(F.size(t) >= k, F.transform(
+            F.sequence(F.lit(0), F.size(t) - k),
+            lambda i: F.array_join(F.slice(t, i + 1, k), " "))).otherwise(F.array().cast("array<string>"))
+
+    return _bind(tokens, lambda t: F.concat(*[of_length(t, k) for k in range(least, n + 1)]))
 
 
 def plain_tokens(text: Column) -> Column:

@@ -1,7 +1,9 @@
 """Cascades of classifiers (M4-M6).
 
 Every stage scores only the rows above the gate: the filter comes before the
-models in the plan, and the rest joins by union with zero scores.
+models in the plan, and the rest joins by union with zero scores. The first
+score is written to the shared folder before the rows part ways, so that no
+branch and no pushed-down filter runs the first model a second time.
 """
 
 from __future__ import annotations
@@ -17,8 +19,7 @@ from murmurline.functions.text import has_keyword, mentions_shisha, plain_ascii
 from murmurline.functions.vocabulary import ALCOHOL_KEYWORDS
 from murmurline.ml.classifiers import probability
 from murmurline.operators.joins import outer_union
-
-_WORK = ["tokens", "features_tf", "features_w", "features", "rawPrediction", "probability", "prediction"]
+from murmurline.session import cut_lineage
 
 
 def scored(model: PipelineModel, df: DataFrame, names: list[str | None]) -> DataFrame:
@@ -45,7 +46,7 @@ class AlcoholCascade:
         self.alcohol, self.first_person, self.level = alcohol, first_person, level
 
     def __call__(self, df: DataFrame, threshold: float = 0.75) -> DataFrame:
-        base = scored(self.alcohol, df, [None, "predict_alc"])
+        base = cut_lineage(scored(self.alcohol, df, [None, "predict_alc"]), "alcohol-scores")
         likely = base.where(F.col("predict_alc") > threshold)
         likely = scored(self.first_person, likely, [None, "predict_fpa_given_alc"])
         likely = scored(self.level, likely, ["predict_present_given_fpa", "predict_future_given_fpa", "predict_past_given_fpa"])
@@ -65,6 +66,7 @@ class TobaccoCascade:
 
     def __call__(self, df: DataFrame, threshold: float = 0.2) -> DataFrame:
         base = scored(self.combined, scored(self.tobacco, df, [None, "predict_tob"]), [None, "predict_com"])
+        base = cut_lineage(base, "tobacco-scores")
         likely = base.where(F.col("predict_tob") > threshold)
         likely = scored(self.first_person, likely, [None, "predict_fp_given_tob"])
         likely = scored(self.current, likely, ["predict_not_cur_given_fp", "predict_cur_given_fp"])

@@ -69,10 +69,8 @@ class TokenColumn(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
             "tweet": lambda: X.tweet_tokens(F.lower(source)),
             "features": lambda: X.feature_words(X.normalise_tweet(source)),
         }[self.getOrDefault(self.kind)]()
-        out = dataset.withColumn(self.getOutputCol(), made)
         n = self.getOrDefault(self.grams)
-        return out if n == 1 else out.withColumn(
-            self.getOutputCol(), X.ngrams_up_to(F.col(self.getOutputCol()), n))
+        return dataset.withColumn(self.getOutputCol(), made if n == 1 else X.ngrams_up_to(made, n))
 
 
 class SmoothTfidf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):

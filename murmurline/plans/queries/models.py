@@ -14,17 +14,17 @@ from murmurline.plans import bindings as B
 from murmurline.plans.bindings import r6, sql, sql6
 from murmurline.plans.queries.aggregates import RATED_SQL, rated
 from murmurline.plans.registry import query
-from murmurline.session import scratch_path
+from murmurline.session import scratch_path, spread
 from murmurline.sources.readers import read_table
 
-_FIT = {"iterations": 30}
+_FIT = {"iterations": 20, "max_terms": 20_000}
 _models: dict[tuple[str, str], dict] = {}
 
 
 def training(spark, sf):
     """Labelled documents: text, quality, toxic, and a three-way level."""
     lab = read_table(spark, sf, "labels").withColumn("level", (F.col("doc_id") % 3).cast("int"))
-    return read_table(spark, sf, "documents").select("doc_id", "text").join(lab, "doc_id")
+    return spread(read_table(spark, sf, "documents").select("doc_id", "text").join(lab, "doc_id"))
 
 
 def models(spark, sf):
@@ -41,7 +41,7 @@ def models(spark, sf):
 
 
 def posts(spark, sf):
-    return read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return spread(read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 @query("m1_tfidf_classifier")
@@ -61,8 +61,8 @@ def m2(spark, sf):
 @query("m3_train_set")
 def m3(spark, sf):
     rows = [(name, len(m.stages)) for name, m in models(spark, sf).items()]
-    return spark.createDataFrame(rows, "model string, stages int").join(
-        training(spark, sf).agg(F.count("*").alias("rows")).withColumn("one", F.lit(1)), F.lit(True)).drop("one")
+    n = training(spark, sf).count()
+    return spark.createDataFrame(rows, "model string, stages int").withColumn("rows", F.lit(n))
 
 
 def alcohol_cascade(spark, sf):

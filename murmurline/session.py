@@ -62,3 +62,13 @@ def cut_lineage(df, name: str = "stage"):
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df):
+    """Round-robin a frame that has fewer partitions than the session has cores.
+
+    A table of one small file would otherwise be tokenised in one task; a large
+    table already has more splits than cores and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
