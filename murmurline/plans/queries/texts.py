@@ -11,7 +11,7 @@ from murmurline.plans import bindings as B
 from murmurline.plans.bindings import r6, sql, sql6
 from murmurline.plans.queries.aggregates import TERMS_SQL
 from murmurline.plans.registry import query
-from murmurline.session import scratch_path
+from murmurline.session import scratch_path, spread
 from murmurline.sources.readers import read_table
 
 FREQUENT = ["the", "and", "beer", "der", "que", "is"]
@@ -25,7 +25,7 @@ def posts(spark, sf):
         F.concat(F.lit("p"), "page_id").alias("post_id"),
         F.concat(F.lit("\"Sooo good: see "), "url", F.lit("  via @user_"), F.col("page_id") % 7, F.lit(" #tag"),
                  F.col("page_id") % 3, F.lit(" it's "), face, F.lit("\"")).alias("text"))
-    return d.unionByName(p)
+    return spread(d.unionByName(p))
 
 
 POSTS_SQL = """posts AS (SELECT 'd' || doc_id AS post_id, text FROM documents UNION ALL
