@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmurline.operators.ranking import offsets_before, order_buckets
+from murmurline.session import cut_lineage
 
 
 def confusion_counts(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
@@ -56,6 +57,7 @@ def cohen_kappa(df: DataFrame, a: str = "y", b: str = "yhat") -> DataFrame:
 def _ranked_points(df: DataFrame, score: str, y: str, buckets: int) -> DataFrame:
     counts = df.groupBy(F.col(score).alias("score")).agg(
         F.sum(F.col(y).cast("long")).alias("p"), F.sum(1 - F.col(y).cast("long")).alias("n"))
+    counts = cut_lineage(counts, "score-counts")  # read again for splits, bucket sums and the curve
     placed = order_buckets(counts.withColumn("_down", -F.col("score")), "_down", buckets)
     sums = placed.groupBy("_bucket").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     before = offsets_before(sums, "_bucket", ["p", "n"])
@@ -65,15 +67,15 @@ def _ranked_points(df: DataFrame, score: str, y: str, buckets: int) -> DataFrame
         (F.sum("n").over(w) + F.col("n_before")).alias("fp"))
 
 
-def roc_points(df: DataFrame, score: str = "score", y: str = "y", buckets: int = 64, bends_only: bool = False) -> DataFrame:
+def roc_points(df: DataFrame, score: str = "score", y: str = "y", buckets: int = 64, bends: bool = False) -> DataFrame:
     """Cumulative true and false positives at every distinct score.
 
     Scores are counted first, so ties and copies collapse before the ordered
     sums; those run per score bucket and earlier buckets are added as offsets.
-    ``bends_only`` leaves out points inside a straight stretch of the curve.
+    ``bends`` adds a flag that is false inside straight stretches of the curve.
     """
     points = _ranked_points(df, score, y, buckets)
-    if not bends_only:
+    if not bends:
         return points.drop("_bucket")
     w = Window.partitionBy("_bucket").orderBy(F.desc("score"))
     heads = points.groupBy("_bucket").agg(F.max_by(F.struct("p", "n"), "score").alias("head"))
@@ -82,7 +84,7 @@ def roc_points(df: DataFrame, score: str = "score", y: str = "y", buckets: int =
     first = (F.col("tp") == F.col("p")) & (F.col("fp") == F.col("n"))
     rows = points.join(F.broadcast(following), "_bucket").withColumn("_step", step)
     keep = F.col("_step").isNull() | first | (F.col("_step.p") != F.col("p")) | (F.col("_step.n") != F.col("n"))
-    return rows.where(keep).select("score", "p", "n", "tp", "fp")
+    return rows.select("score", "p", "n", "tp", "fp", keep.alias("bend"))
 
 
 def _few_buckets():
@@ -115,11 +117,10 @@ def roc_by_class(df: DataFrame, scores: dict[int, str], y: str = "y", buckets: i
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("cls"), F.col(s).alias("score"), (F.col(y) == c).cast("int").alias("y"))
         for c, s in scores.items()])).alias("e")).select("e.*")
-    curves = {c: roc_points(long.where(F.col("cls") == c), buckets=buckets) for c in scores}
+    curves = {c: cut_lineage(roc_points(long.where(F.col("cls") == c), buckets=buckets, bends=True), "curve") for c in scores}
     out = [roc_auc(p).select(F.lit(str(c)).alias("curve"), "auc") for c, p in curves.items()]
     out.append(roc_auc(roc_points(long, buckets=buckets)).select(F.lit("micro").alias("curve"), "auc"))
-    bends = {c: roc_points(long.where(F.col("cls") == c), buckets=buckets, bends_only=True) for c in scores}
-    out.append(_macro_auc(bends, buckets).select(F.lit("macro").alias("curve"), "auc"))
+    out.append(_macro_auc({c: p.where("bend") for c, p in curves.items()}, buckets).select(F.lit("macro").alias("curve"), "auc"))
     result = out[0]
     for part in out[1:]:
         result = result.unionByName(part)
@@ -149,7 +150,7 @@ def _macro_auc(curves: dict[int, DataFrame], buckets: int) -> DataFrame:
         part = _corner_points(p).select(F.lit(c).alias("cls"), "fpr", "low", "high")
         corners = part if corners is None else corners.unionByName(part)
     grid = corners.groupBy("fpr").agg(*[F.max(F.when(F.col("cls") == c, F.struct("low", "high"))).alias(f"c{c}") for c in classes])
-    placed = order_buckets(grid, "fpr", buckets).persist()
+    placed = order_buckets(cut_lineage(grid, "rates"), "fpr", buckets)
     w = Window.partitionBy("_bucket").orderBy("fpr")
     back = w.rowsBetween(Window.unboundedPreceding, 0)
     ahead = w.rowsBetween(0, Window.unboundedFollowing)
@@ -175,7 +176,8 @@ def _macro_auc(curves: dict[int, DataFrame], buckets: int) -> DataFrame:
         step = F.try_divide(F.col("fpr") - F.col(f"l{c}.fpr"), F.col(f"r{c}.fpr") - F.col(f"l{c}.fpr"))
         line = F.col(f"l{c}.v") + (F.col(f"r{c}.v") - F.col(f"l{c}.v")) * step
         mean = mean + F.when(F.col(f"c{c}").isNotNull(), F.col(f"c{c}.high")).otherwise(line) / len(classes)
-    averaged = rows.select("_bucket", "fpr", mean.alias("tpr")).persist()
+    averaged = rows.select("_bucket", "fpr", mean.alias("tpr"))
+    averaged = cut_lineage(averaged, "averaged")
     ends = averaged.groupBy("_bucket").agg(F.max(F.struct("fpr", "tpr")).alias("end"))
     previous = ends.select("_bucket", F.lag("end").over(over).alias("end"))
     traced = averaged.join(F.broadcast(previous), "_bucket")

@@ -11,6 +11,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmurline.session import cut_lineage
+
 _BUCKETS = 64
 _SLOT_BITS = 10
 
@@ -38,7 +40,11 @@ def offsets_before(counts: DataFrame, bucket: str, sums: list[str], keys: tuple[
 
 def global_position(df: DataFrame, order: str, ties: tuple[str, ...] = (), descending: bool = False,
                     buckets: int = _BUCKETS, out: str = "position") -> DataFrame:
-    """1-based position of every row in the order of a near-unique numeric column."""
+    """1-based position of every row in the order of a near-unique numeric column.
+
+    ``df`` is read three times, twice for its order column alone: pass a table,
+    or a frame whose lineage was cut, rather than a long computation.
+    """
     placed = order_buckets(df, order, buckets)
     if descending:
         placed = placed.withColumn("_bucket", -F.col("_bucket"))
@@ -59,12 +65,13 @@ def byte_order(text: Column) -> Column:
 
 def sorted_vocabulary(terms: DataFrame, term: str = "term") -> DataFrame:
     """Column number of each distinct term in byte order, from 1."""
-    keyed = terms.select(term).distinct().withColumn("_key", byte_order(F.col(term)))
+    keyed = cut_lineage(terms.select(term).distinct().withColumn("_key", byte_order(F.col(term))), "vocabulary")
     return global_position(keyed, "_key", ties=(term,), out="column").drop("_key")
 
 
 def percentile_rank(df: DataFrame, order: str, ties: tuple[str, ...], out: str = "percentile") -> DataFrame:
     """(position - 1) / rows in ascending order of ``order``."""
+    df = cut_lineage(df, "ranked")
     n = df.count()
     return (global_position(df, order, ties, out="_position")
             .withColumn(out, (F.col("_position") - 1) / F.lit(float(max(n, 1)))).drop("_position"))

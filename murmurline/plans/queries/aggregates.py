@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from murmurline.functions import scores
@@ -13,6 +12,7 @@ from murmurline.plans import bindings as B
 from murmurline.plans.bindings import r6, sql, sql6
 from murmurline.plans.queries.columns import _TOB, _TOB_FLAGS, tobacco_local
 from murmurline.plans.registry import query
+from murmurline.session import spread
 from murmurline.sources.readers import read_table
 
 _ALC = {"casual": "predict_present > 0.6", "looking": "predict_future > 0.6", "reflecting": "predict_past > 0.6",
@@ -133,7 +133,7 @@ TERMS_SQL = ("terms AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[
 
 
 def document_terms(spark, sf):
-    d = read_table(spark, sf, "documents")
+    d = spread(read_table(spark, sf, "documents").select("doc_id", "text"))
     return d.select("doc_id", F.explode(plain_tokens(F.col("text"))).alias("term"))
 
 

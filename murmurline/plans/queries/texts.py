@@ -187,7 +187,7 @@ _GRAMS_SQL = TERMS_SQL.replace("terms AS (SELECT doc_id, unnest(", "lists AS (SE
 @query("x15_ngrams", sql(_GRAMS_SQL, """SELECT doc_id, CAST(n AS INTEGER) AS n, count(*) AS grams, count(DISTINCT g) AS distinct_grams,
   min(g) AS first_gram, max(g) AS last_gram FROM grams GROUP BY doc_id, n"""))
 def x15(spark, sf):
-    d = read_table(spark, sf, "documents").select("doc_id", X.plain_tokens(F.col("text")).alias("t"))
+    d = spread(read_table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", X.plain_tokens(F.col("text")).alias("t"))
     sized = d.select("doc_id", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), X.ngrams(F.col("t"), n).alias("g"))
                                                    for n in (1, 2, 3)])).alias("e")).select("doc_id", "e.*")
     return sized.where(F.size("g") > 0).select(
@@ -202,7 +202,7 @@ _TFIDF_SQL = TERMS_SQL + """, tf AS (SELECT doc_id, term, count(*) AS tf FROM te
 
 @query("x16_tfidf", sql(_TFIDF_SQL, f"SELECT doc_id, term, {sql6('w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))')} AS weight FROM w"))
 def x16(spark, sf):
-    d = read_table(spark, sf, "documents")
+    d = spread(read_table(spark, sf, "documents").select("doc_id", "text"))
     out = tfidf_rows(d, "doc_id", X.plain_tokens(F.col("text")))
     return out.select("doc_id", "term", r6("weight").alias("weight"))
 
