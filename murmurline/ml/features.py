@@ -13,7 +13,7 @@ from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normali
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmurline.functions import text as X
@@ -36,7 +36,7 @@ def tfidf_rows(docs: DataFrame, key: str, tokens: Column, max_terms: int = MAX_T
 
     The vocabulary is capped, so it is joined as a broadcast table of at most
     ``max_terms`` rows; a term found in most documents is then no skewed key.
-    Within a document the terms are packed once and normalised in place.
+    The length of a row is a window over its own terms.
     """
     counts = term_counts(docs, key, tokens)
     n = docs.count()
@@ -46,8 +46,8 @@ def tfidf_rows(docs: DataFrame, key: str, tokens: Column, max_terms: int = MAX_T
                   .select("term", (F.ln((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf")))
     weighted = (counts.join(F.broadcast(vocabulary), "term")  # at most max_terms rows
                 .select(key, "term", (F.col("tf") * F.col("idf")).alias("w")))
-    length = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    return weighted.join(length, key).select(key, "term", (F.col("w") / F.col("len")).alias("weight"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return weighted.select(key, "term", (F.col("w") / length).alias("weight"))
 
 
 class TokenColumn(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):

@@ -8,6 +8,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from murmurline.session import cut_lineage
+
 
 @dataclass
 class Taxonomy:
@@ -36,6 +38,7 @@ class Taxonomy:
                 .withColumn("label_name", self._named()))
         if not deep or not self.children:
             return here
+        here = cut_lineage(here, f"taxonomy-{self.name}")  # one run of this model for all branches
         out = here.where(~F.col("label").isin(*self.children))
         for label, child in self.children.items():
             out = out.unionByName(child.predict(here.where(F.col("label") == label).select(*df.columns), deep=True))

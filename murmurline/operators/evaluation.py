@@ -54,7 +54,7 @@ def cohen_kappa(df: DataFrame, a: str = "y", b: str = "yhat") -> DataFrame:
         "n", "observed", "expected", ((F.col("observed") - F.col("expected")) / (1 - F.col("expected"))).alias("kappa"))
 
 
-def _ranked_points(df: DataFrame, score: str, y: str, buckets: int) -> DataFrame:
+def _ranked_points(df: DataFrame, score: str, y: str, buckets: int | None) -> DataFrame:
     counts = df.groupBy(F.col(score).alias("score")).agg(
         F.sum(F.col(y).cast("long")).alias("p"), F.sum(1 - F.col(y).cast("long")).alias("n"))
     counts = cut_lineage(counts, "score-counts")  # read again for splits, bucket sums and the curve
@@ -62,12 +62,12 @@ def _ranked_points(df: DataFrame, score: str, y: str, buckets: int) -> DataFrame
     sums = placed.groupBy("_bucket").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     before = offsets_before(sums, "_bucket", ["p", "n"])
     w = Window.partitionBy("_bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return placed.join(F.broadcast(before), "_bucket").select(  # at most `buckets` + 1 rows
+    return placed.join(F.broadcast(before), "_bucket").select(  # one row per bucket, at most 4,097
         "_bucket", "score", "p", "n", (F.sum("p").over(w) + F.col("p_before")).alias("tp"),
         (F.sum("n").over(w) + F.col("n_before")).alias("fp"))
 
 
-def roc_points(df: DataFrame, score: str = "score", y: str = "y", buckets: int = 64, bends: bool = False) -> DataFrame:
+def roc_points(df: DataFrame, score: str = "score", y: str = "y", buckets: int | None = None, bends: bool = False) -> DataFrame:
     """Cumulative true and false positives at every distinct score.
 
     Scores are counted first, so ties and copies collapse before the ordered
@@ -107,7 +107,7 @@ def roc_auc(points: DataFrame) -> DataFrame:
     return points.agg((F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)) / (F.sum("n") * F.sum("p"))).alias("auc"))
 
 
-def roc_by_class(df: DataFrame, scores: dict[int, str], y: str = "y", buckets: int = 64) -> DataFrame:
+def roc_by_class(df: DataFrame, scores: dict[int, str], y: str = "y", buckets: int | None = None) -> DataFrame:
     """(curve, auc) per class, micro and macro.
 
     Each class is one against the rest. The micro curve pools the rows of all
@@ -137,7 +137,7 @@ def _corner_points(points: DataFrame) -> DataFrame:
     return rates.unionByName(start).groupBy("fpr").agg(F.min("tpr").alias("low"), F.max("tpr").alias("high"))
 
 
-def _macro_auc(curves: dict[int, DataFrame], buckets: int) -> DataFrame:
+def _macro_auc(curves: dict[int, DataFrame], buckets: int | None) -> DataFrame:
     """Area of the averaged curve.
 
     Grid points are all rates of all classes. Between two of its own points a

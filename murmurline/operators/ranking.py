@@ -13,17 +13,22 @@ from pyspark.sql import functions as F
 
 from murmurline.session import cut_lineage
 
-_BUCKETS = 64
 _SLOT_BITS = 10
 
 
-def order_buckets(df: DataFrame, order: str, buckets: int = _BUCKETS, out: str = "_bucket") -> DataFrame:
+def bucket_count(df: DataFrame) -> int:
+    """Four buckets per shuffle partition, from 64 to 4,096."""
+    return min(4096, max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def order_buckets(df: DataFrame, order: str, buckets: int | None = None, out: str = "_bucket") -> DataFrame:
     """Bucket numbers that grow with the numeric column ``order``.
 
     Split points are approximate quantiles, at most ``buckets`` numbers, so the
     buckets are of about equal size whatever the distribution of values. The
     buckets only spread the work: the results do not depend on the splits.
     """
+    buckets = buckets or bucket_count(df)
     placed = df.withColumn("_order", F.col(order).cast("double"))
     probs = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(placed.approxQuantile("_order", probs, 1.0 / (4 * buckets))))
@@ -39,7 +44,7 @@ def offsets_before(counts: DataFrame, bucket: str, sums: list[str], keys: tuple[
 
 
 def global_position(df: DataFrame, order: str, ties: tuple[str, ...] = (), descending: bool = False,
-                    buckets: int = _BUCKETS, out: str = "position") -> DataFrame:
+                    buckets: int | None = None, out: str = "position") -> DataFrame:
     """1-based position of every row in the order of a near-unique numeric column.
 
     ``df`` is read three times, twice for its order column alone: pass a table,
@@ -52,7 +57,7 @@ def global_position(df: DataFrame, order: str, ties: tuple[str, ...] = (), desce
     before = offsets_before(counts, "_bucket", ["n"])
     first = F.col(order).desc() if descending else F.col(order)
     w = Window.partitionBy("_bucket").orderBy(first, *ties)
-    return (placed.join(F.broadcast(before), "_bucket")  # at most `buckets` + 1 rows
+    return (placed.join(F.broadcast(before), "_bucket")  # one row per bucket, at most 4,097
                   .withColumn(out, (F.row_number().over(w) + F.col("n_before")).cast("long"))
                   .drop("_bucket", "n_before"))
 

@@ -115,7 +115,7 @@ def t1(spark, sf):
     return out.unionByName(rest.select("_id", utf8(F.col("text")).alias("text"), "random_number", F.lit("pool").alias("part")))
 
 
-@query("t1_batch_by_position", sql("", """SELECT doc_id FROM documents ORDER BY n_chars, doc_id LIMIT 100""").replace("WITH", ""))
+@query("t1_batch_by_position", "SELECT doc_id FROM documents ORDER BY n_chars, doc_id LIMIT 100")
 def t1_ordered(spark, sf):
     d = read_table(spark, sf, "documents").select("doc_id", "n_chars")
     batch, _ = ranking.next_batch(d, 100, key="doc_id", order="n_chars")
