@@ -8,7 +8,7 @@ own ``IDF`` lacks the + 1.
 from __future__ import annotations
 
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
+from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, TypeConverters
@@ -100,5 +100,3 @@ def text_features(kind: str = "plain", grams: int = 1, max_terms: int = MAX_TERM
             SmoothTfidf(inputCol="tokens", outputCol="features", maxTerms=max_terms)]
 
 
-__all__ = ["MAX_TERMS", "Pipeline", "SmoothTfidf", "TokenColumn", "document_frequencies", "term_counts",
-           "text_features", "tfidf_rows"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmurline.functions.scores import proportion_error, ratio_or_zero
@@ -34,18 +34,20 @@ def hour_of_week_total(counts: DataFrame) -> DataFrame:
         "series_id", "pos", "total")
 
 
-def cluster_segments(values: DataFrame, length: int, order: dict[str, int] | None = None, leave_out: list[int] | None = None,
-                     normalise: bool = False, measure: distance.Measure = distance.euclidean) -> DataFrame:
+def cluster_segments(values: DataFrame, length: int, order: dict[str, int] | None = None, per_series: int = 31,
+                     leave_out: list[int] | None = None, normalise: bool = False, measure: distance.Measure = distance.euclidean) -> DataFrame:
     """Tree over the days or weeks of one or several series.
 
-    ``order`` puts the listed series side by side in one group, each with its
-    own block of segment numbers; ``leave_out`` drops segments by number.
+    ``order`` puts the listed series side by side in one group: series number i
+    gets the segment numbers from (i - 1) x ``per_series`` + 1. ``leave_out``
+    drops segments by number.
     """
     segs = series.split_segments(values.select("series_id", "t", "x"), length)
     if order:
-        block = 62 // len(order)
         place = F.coalesce(*[F.when(F.col("series_id") == s, F.lit(i - 1)) for s, i in order.items()])
-        segs = segs.select(F.lit("all").alias("series_id"), (F.col("seg") + place * block).cast("int").alias("seg"), "pos", "x")
+        number = F.when(F.col("seg") <= per_series, F.col("seg") + place * per_series).otherwise(
+            F.raise_error(F.lit(f"a series has more than {per_series} segments")))
+        segs = segs.select(F.lit("all").alias("series_id"), number.cast("int").alias("seg"), "pos", "x")
     if leave_out:
         segs = segs.where(~F.col("seg").isin(*leave_out))
     arrays = series.segment_arrays(segs)
@@ -77,7 +79,7 @@ def by_week_comparison(old: DataFrame, new: DataFrame) -> DataFrame:
 def age_comparison(group: DataFrame) -> DataFrame:
     """L2-normalised weeks with their binomial band; input has x and total (K9)."""
     weeks = series.split_segments(group, 168)
-    w = spectral.Window.partitionBy("series_id", "seg")
+    w = Window.partitionBy("series_id", "seg")
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(w))
     err = F.lit(1.96) * proportion_error(F.col("x"), F.col("total")) * F.col("total") / norm
     mid = F.col("x") / norm

@@ -89,9 +89,9 @@ def c7(spark, sf):
 
 @query("c8_chained_clustering")
 def c8(spark, sf):
-    """Normalised weeks of two topics, odd weeks of the second left out, clustered together."""
+    """Normalised weeks of two topics, an odd week of the second left out, clustered together."""
     from murmurline.plans import jobs
     share = B.alc_share(spark, sf).select("series_id", "t", "x")
     both = share.where(F.col("series_id").isin(B.MONTH_A, B.MONTH_B))
-    out = jobs.cluster_segments(both, 168, {B.MONTH_A: 1, B.MONTH_B: 2}, leave_out=[7], normalise=True)
+    out = jobs.cluster_segments(both, 168, {B.MONTH_A: 1, B.MONTH_B: 2}, per_series=4, leave_out=[7], normalise=True)
     return out.withColumn("height", r6("height"))

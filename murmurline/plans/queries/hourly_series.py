@@ -10,7 +10,6 @@ from murmurline.plans import bindings as B
 from murmurline.plans.bindings import r6, sql, sql6
 from murmurline.plans.queries.aggregates import _CUBE_SQL, _DOW_SQL, hour_of_week_rows
 from murmurline.plans.registry import query
-from murmurline.sources.readers import read_table
 
 
 def _share(spark, sf):

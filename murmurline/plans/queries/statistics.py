@@ -11,7 +11,6 @@ from murmurline.operators import correction, correlation, distance, series, spec
 from murmurline.plans import bindings as B
 from murmurline.plans.bindings import r6, sql, sql6
 from murmurline.plans.registry import query
-from murmurline.sources.readers import read_table
 
 _PI2 = f"{2 * math.pi!r}::DOUBLE"
 
@@ -280,7 +279,10 @@ def n18(spark, sf):
     return correlation.ljung_box(week_series(spark, sf), 48).select("series_id", r6("statistic").alias("statistic"))
 
 
-@query("n18_ljung_box_p_value")
+@query("n18_ljung_box_p_value", sql(_acf_sql(48) + """, lb AS (SELECT series_id,
+   any_value(n) * (any_value(n) + 2) * sum(acf * acf / (n - lag)) FILTER (WHERE lag > 0) / 2 AS h FROM ac GROUP BY series_id)""",
+  f"""SELECT series_id, {sql6("least(sum(exp(j * ln(h) - h - lgamma(j + 1))), 1)")} AS p_value
+  FROM lb CROSS JOIN (SELECT unnest(range(0, 24)) AS j) GROUP BY series_id"""))
 def n18p(spark, sf):
     return correlation.ljung_box(week_series(spark, sf), 48).select("series_id", r6("p_value").alias("p_value"))
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from murmurline.functions import text as X
 from murmurline.functions.labels import FIRST_PERSON_LEVEL, NOT_RELATED, RELATED_KIND, LabelSelector, parse_answers
 from murmurline.ml.features import document_frequencies, term_counts, tfidf_rows
-from murmurline.plans import bindings as B
 from murmurline.plans.bindings import r6, sql, sql6
 from murmurline.plans.queries.aggregates import TERMS_SQL
 from murmurline.plans.registry import query
@@ -118,7 +117,7 @@ def x8(spark, sf):
 
 
 _STOP_SQL = TERMS_SQL + """, stops AS (SELECT term FROM terms GROUP BY term
-  HAVING count(DISTINCT doc_id) > 0.3 * (SELECT count(*) FROM documents) ORDER BY count(DISTINCT doc_id) DESC, term LIMIT 200)"""
+  HAVING count(DISTINCT doc_id) > 0.3 * (SELECT count(*) FROM documents))"""
 
 
 @query("x9_stop_words", sql(_STOP_SQL, """SELECT doc_id, count(*) AS n FROM terms
@@ -129,20 +128,15 @@ def x9(spark, sf):
     df = document_frequencies(counts)
     path = scratch_path(spark, "stop-words")
     limit = 0.3 * read_table(spark, sf, "documents").count()
-    df.where(F.col("df") > limit).orderBy(F.desc("df"), "term").limit(200).select("term").write.text(path)
+    df.where(F.col("df") > limit).select("term").write.text(path)
     stops = X.load_stop_words(spark, path).select(F.col("word").alias("term"))
-    kept = counts.join(F.broadcast(stops), "term", "left_anti")  # at most 202 rows
-    return kept.groupBy("doc_id").agg(F.sum("tf").alias("n"))
+    return counts.join(stops, "term", "left_anti").groupBy("doc_id").agg(F.sum("tf").alias("n"))
 
 
-@query("x10_binary_bag", sql(TERMS_SQL, """SELECT doc_id, term, 1 AS present FROM terms
-  WHERE term IN (SELECT term FROM terms GROUP BY term ORDER BY count(DISTINCT doc_id) DESC, term LIMIT 500)
-  GROUP BY doc_id, term"""))
+@query("x10_binary_bag", sql(TERMS_SQL, "SELECT DISTINCT doc_id, term, 1 AS present FROM terms"))
 def x10(spark, sf):
     counts = term_counts(read_table(spark, sf, "documents"), "doc_id", X.plain_tokens(F.col("text")))
-    vocabulary = document_frequencies(counts).orderBy(F.desc("df"), "term").limit(500).select("term")
-    return (counts.join(F.broadcast(vocabulary), "term")  # at most 500 rows
-            .select("doc_id", "term", F.lit(1).alias("present")))
+    return counts.select("doc_id", "term", F.lit(1).alias("present"))
 
 
 @query("x11_tweet_tokens")

@@ -152,3 +152,13 @@ def test_bootstrap_is_repeatable_and_whole(spark):
     b = bootstrap.draw(df, [50], samples=2, seed=1).orderBy("sample", "day", "hour").collect()
     assert a == b and sum(r["len"] for r in a) == 2 * 30 * 24 * 10
     assert a[:720] != a[720:] and all(0 <= r["sum"] <= r["len"] for r in a)
+
+
+def test_series_side_by_side(spark):
+    from murmurline.plans import jobs
+    rows = [(s, t + 1, float((t * k) % 7)) for s, k in (("a", 2), ("b", 3)) for t in range(12)]
+    df = spark.createDataFrame(rows, "series_id string, t int, x double")
+    merges = jobs.cluster_segments(df, 4, {"a": 1, "b": 2}, per_series=3, leave_out=[5]).collect()
+    assert sorted(set().union(*[m["left"] + m["right"] for m in merges])) == [1, 2, 3, 4, 6]
+    with pytest.raises(Exception, match="more than 2 segments"):
+        jobs.cluster_segments(df, 4, {"a": 1, "b": 2}, per_series=2).collect()
