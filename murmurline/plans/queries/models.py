@@ -247,7 +247,7 @@ def m17(spark, sf):
         "term", *[r6(c).alias(c) for c in ("coef", "idf", "weight", "coef_idf")])
 
 
-@query("s15_stored_model")
+@query("s15_stored_model", "SELECT doc_id AS id, true AS same FROM documents")
 def s15(spark, sf):
     """A saved and reloaded model gives the same scores."""
     path = scratch_path(spark, "model")
