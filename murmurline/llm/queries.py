@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmurline.llm import quality_rules
+from murmurline.llm import mixing, quality_rules
 from murmurline.llm.common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -16,9 +16,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Build] = {
     "op2_quality_rules": op2_quality_rules,
+    "op5_mix_sources": op5_mix_sources,
 }
 SQL: dict[str, str] = {
     "op2_quality_rules": quality_rules.SQL,
+    "op5_mix_sources": mixing.SQL,
 }
