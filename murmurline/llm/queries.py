@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from murmurline.llm import mixing, quality_rules
+from murmurline.llm import mixing, quality_rules, topk
 from murmurline.llm.common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -16,15 +17,21 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Build] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_exact_top_k": op3_exact_top_k,
     "op5_mix_sources": op5_mix_sources,
 }
 SQL: dict[str, str] = {
     "op2_quality_rules": quality_rules.SQL,
+    "op3_exact_top_k": topk.SQL,
     "op5_mix_sources": mixing.SQL,
 }
