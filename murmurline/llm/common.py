@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,3 +99,29 @@ def ordered_parts(df: DataFrame, order: list[Column], weight: Column, by: Column
     run = kept.withColumn("_run", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
     joined = run.join(sums, F.col("_by").eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p")))
     return joined.select(*df.columns, (F.col("_run") + F.col("_off")).cast("long").alias("before"))
+
+
+def text_key(raw: bytes | None) -> int:
+    """Signed 64-bit key of a raw text; rows with one doc_id are told apart by it."""
+    return -1 if raw is None else np.uint64(xxhash.xxh3_64_intdigest(raw)).astype(np.int64).item()
+
+
+def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("z", pa.binary())])
+    zip_up = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        raws = binaries(batch.column("text"))
+        yield pa.RecordBatch.from_arrays([
+            batch.column("doc_id").cast(pa.int64()), pa.array(map(text_key, raws), pa.int64()),
+            pa.array([None if r is None else zip_up.compress(r) for r in raws], pa.binary())], schema=schema)
+
+
+def unzip(column) -> Iterator[bytes]:
+    read = zstandard.ZstdDecompressor()
+    for z in column.to_pylist():
+        yield b"" if z is None else read.decompress(z)
+
+
+def compressed(docs: DataFrame) -> DataFrame:
+    """doc_id, tkey, z: texts in the form in which they should cross a shuffle."""
+    return docs.select("doc_id", "text").mapInArrow(_zip, "doc_id bigint, tkey bigint, z binary")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmurline.llm import mixing, quality_rules, substring_dedup, topk
+from murmurline.llm import jaccard_join, mixing, quality_rules, substring_dedup, topk
 from murmurline.llm.common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -33,11 +37,13 @@ QUERIES: dict[str, Build] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_exact_top_k": op3_exact_top_k,
     "op5_mix_sources": op5_mix_sources,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_substring_dedup": op7_substring_dedup,
 }
 SQL: dict[str, str] = {
     "op2_quality_rules": quality_rules.SQL,
     "op3_exact_top_k": topk.SQL,
     "op5_mix_sources": mixing.SQL,
+    "op6_jaccard_join": jaccard_join.SQL,
     "op7_substring_dedup": substring_dedup.SQL,
 }

@@ -29,11 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmurline.llm.common import WordHashes, batches_of, binaries, mix
+from murmurline.llm.common import WordHashes, batches_of, binaries, compressed, mix, text_key, unzip
 from murmurline.session import cut_lineage
 
 LENGTH, GRAM = 50, 25
@@ -90,11 +89,6 @@ def window_anchors(words: np.ndarray, length: int, gram: int) -> np.ndarray:
     return sliding_min(grams, length - gram + 1) if len(words) >= length else np.zeros(0, np.uint64)
 
 
-def text_key(raw: bytes | None) -> int:
-    """Signed 64-bit key of a raw text; rows with one doc_id are told apart by it."""
-    return -1 if raw is None else np.uint64(xxhash.xxh3_64_intdigest(raw)).astype(np.int64).item()
-
-
 def _seeds(length: int, gram: int):
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -108,27 +102,11 @@ def _seeds(length: int, gram: int):
     return seeds
 
 
-def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("z", pa.binary())])
-    zip_up = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        raws = binaries(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([
-            batch.column("doc_id").cast(pa.int64()), pa.array(map(text_key, raws), pa.int64()),
-            pa.array([None if r is None else zip_up.compress(r) for r in raws], pa.binary())], schema=schema)
-
-
-def _unzip(column) -> Iterator[bytes]:
-    read = zstandard.ZstdDecompressor()
-    for z in column.to_pylist():
-        yield b"" if z is None else read.decompress(z)
-
-
 def _windows(length: int, gram: int):
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, key, raw, shared in zip(batch.column("doc_id").to_pylist(), batch.column("tkey").to_pylist(),
-                                             _unzip(batch.column("z")), batch.column("anchors")):
+                                             unzip(batch.column("z")), batch.column("anchors")):
                 words = _WORDS.of(raw.split())
                 anchors = window_anchors(words, length, gram).view(np.int64)
                 at = np.flatnonzero(np.isin(anchors, shared.values.to_numpy(zero_copy_only=False)))
@@ -160,7 +138,7 @@ def _apply(length: int):
         def rows():
             for batch in batches:
                 for doc, key, raw, every, starts in zip(
-                        batch.column("doc_id").to_pylist(), batch.column("tkey").to_pylist(), _unzip(batch.column("z")),
+                        batch.column("doc_id").to_pylist(), batch.column("tkey").to_pylist(), unzip(batch.column("z")),
                         batch.column("every").to_pylist(), batch.column("starts").to_pylist()):
                     words, removed = raw.split(), 0
                     if every or starts:
@@ -185,7 +163,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     first = classes.where((F.col("doc_id") == F.col("owner.doc_id")) & (F.col("tkey") == F.col("owner.tkey"))).select("doc_id", "tkey")
     own = long.select("doc_id", "tkey", F.explode("anchors").alias("anchor")).join(shared, "anchor").join(
         first, ["doc_id", "tkey"]).groupBy("doc_id", "tkey").agg(F.collect_set("anchor").alias("anchors"))
-    texts = docs.select("doc_id", "text").mapInArrow(_compress, f"{_KEYS}, z binary")
+    texts = compressed(docs)
     windows = cut_lineage(texts.join(own, ["doc_id", "tkey"]).select("doc_id", "tkey", "z", "anchors").mapInArrow(
         _windows(length, gram), f"anchor bigint, h bigint, {_KEYS}, pos int"), "windows")
     least = windows.groupBy("anchor", "h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
@@ -197,7 +175,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
 
 
 def _judged(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    texts = docs.select("doc_id", "text").mapInArrow(_compress, f"{_KEYS}, z binary")
+    texts = compressed(docs)
     joined = texts.join(repeats(docs, length, gram), ["doc_id", "tkey"], "left")
     return joined.select("doc_id", "tkey", "z", "every", "starts").mapInArrow(
         _apply(length), f"{_KEYS}, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
