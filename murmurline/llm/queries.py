@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmurline.llm import jaccard_join, mixing, quality_rules, substring_dedup, topk
+from murmurline.llm import bpe, jaccard_join, mixing, quality_rules, substring_dedup, topk
 from murmurline.llm.common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
@@ -33,12 +36,17 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 QUERIES: dict[str, Build] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_exact_top_k": op3_exact_top_k,
     "op5_mix_sources": op5_mix_sources,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_substring_dedup": op7_substring_dedup,
+    "op9_bpe_round_trip": op9_bpe_round_trip,
 }
 SQL: dict[str, str] = {
     "op2_quality_rules": quality_rules.SQL,
