@@ -39,7 +39,7 @@ _PLAIN, _LEAF, _NEXT, _SPECIAL = range(4)
 
 
 def merge_only(bpe: ByteBpe, piece: str) -> list[int]:
-    return bpe.merges.encode(piece, add_special_tokens=False).ids
+    return [t.id for t in bpe.merges.tokenize(piece)]
 
 
 def concatenate(bpe: ByteBpe, left: list[int], right: list[int], agree: int = 1) -> list[int]:

@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmurline.llm import bpe, jaccard_join, mixing, quality_rules, substring_dedup, topk
+from murmurline.llm import bpe, jaccard_join, mixing, quality_rules, substring_dedup, token_counts, topk
 from murmurline.llm.common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +41,10 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
 QUERIES: dict[str, Build] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_exact_top_k": op3_exact_top_k,
@@ -47,6 +52,7 @@ QUERIES: dict[str, Build] = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_bpe_round_trip": op9_bpe_round_trip,
+    "op10_token_counts": op10_token_counts,
 }
 SQL: dict[str, str] = {
     "op2_quality_rules": quality_rules.SQL,

@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 from murmurline.llm.common import CACHE_ENTRIES
 
@@ -51,9 +52,10 @@ class ByteBpe:
             config = json.load(f)
         self.specials = {t["content"]: t["id"] for t in config["added_tokens"]}
         self.special = re.compile("|".join(map(re.escape, self.specials)) or r"(?!)")
-        # the merges alone, for text that is one piece already
-        merges = config | {"added_tokens": [], "normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None}
-        self.merges = Tokenizer.from_str(json.dumps(merges))
+        # the merges alone, for text that is one piece already; it comes here once, so the library need not remember it
+        model = config["model"]
+        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        self.merges = BPE(vocab=model["vocab"], merges=merges, cache_capacity=0)
         self.tokens = {i: t for t, i in config["model"]["vocab"].items()}
         alphabet = byte_alphabet()
         self.raw = [b""] * (1 + max([*self.tokens, *self.specials.values()]))
@@ -71,7 +73,7 @@ class ByteBpe:
     def word(self, piece: str) -> bytes:
         """Ids of one piece of the pre-tokenizer."""
         inner = piece.encode().decode("latin-1").translate(self.letters)
-        return np.array(self.merges.encode(inner, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array([t.id for t in self.merges.tokenize(inner)], "<u4").tobytes()
 
     def stretch(self, text: str) -> bytes:
         """Ids of a stretch without special tokens."""
