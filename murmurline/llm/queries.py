@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmurline.llm import bpe, jaccard_join, mixing, quality_rules, substring_dedup, token_counts, topk
+from murmurline.llm import bpe, jaccard_join, mixing, quality_rules, rans, substring_dedup, token_counts, topk
 from murmurline.llm.common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op4_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Build] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_exact_top_k": op3_exact_top_k,
+    "op4_rans_token_files": op4_rans_token_files,
     "op5_mix_sources": op5_mix_sources,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_substring_dedup": op7_substring_dedup,
