@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmurline.llm import bpe, jaccard_join, mixing, quality_rules, rans, substring_dedup, token_counts, topk
+from murmurline.llm import bpe, jaccard_join, langid, mixing, quality_rules, rans, substring_dedup, token_counts, topk
 from murmurline.llm.common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Build] = {
     "op5_mix_sources": op5_mix_sources,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_language_id": op8_language_id,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_token_counts": op10_token_counts,
 }
