@@ -89,12 +89,12 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS,
-        schedules: tuple[Schedule, ...] = SCHEDULES) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken and position, range-sorted by position.
+        schedules: tuple[Schedule, ...] = SCHEDULES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per document: the columns ``keep``, size, source_size, target, taken and position, range-sorted by position.
 
     ``position`` is the training time, 0 to 1, of the middle of the document's first pass.
     """
-    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sizes = docs.select(*keep, "source", word_count(F.col("text")).alias("size"))
     keyed = sizes.withColumn("_md5", F.md5(F.col("doc_id").cast("string")))
     ordered = cut_lineage(ordered_parts(
         keyed.withColumn("_null", F.col("source").isNull()),
@@ -109,11 +109,33 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     taken = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(
         passes * F.col("size") + F.least(F.greatest(rest - F.col("before"), F.lit(0)), F.col("size"))).cast("long")
     first = F.least((F.col("before") + F.col("size") / 2) / F.greatest("target", F.lit(1.0)), F.lit(1.0))
-    out = joined.select("doc_id", "size", "source_size", "target", taken.alias("taken"),
+    out = joined.select(*keep, "size", "source_size", "target", taken.alias("taken"),
                         F.round(_invert(first, F.col("slope")), 9).alias("position"))
     return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
+def take(docs: DataFrame, **parameters) -> DataFrame:
+    """The mix as documents: every pass over a document is a row, and a last part holds its first words joined by spaces.
+
+    Rows equal in doc_id, source and text are taken together. A column ``n_chars`` is set to the characters of the row.
+    """
+    names = docs.columns
+    keyed = docs.withColumn("_key", F.xxhash64("text", "source"))
+    mixed = mix(keyed, keep=("doc_id", "_key"), **parameters).groupBy("doc_id", "_key").agg(
+        F.sum("taken").alias("_taken"), F.first("size").alias("_size")).where("_taken > 0").withColumnRenamed("doc_id", "_doc")
+    once = keyed.dropDuplicates(["doc_id", "_key"])
+    mixed = mixed.withColumnRenamed("_key", "_mixed_key")
+    joined = once.join(mixed, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_mixed_key")))
+    passes, rest = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
+    rows = joined.withColumn("_words", F.explode(F.concat(
+        F.array_repeat(F.lit(-1), passes), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))))
+    words = F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
+    cut = rows.withColumn("text", F.when(F.col("_words") < 0, F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("_words")), " ")))
+    if "n_chars" in names:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select(*names)
+
+
 # Rounds of the targets in SQL: after as many rounds as there are weights groups and sources the fixed point is reached.
 SQL_ROUNDS = 24
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmurline.llm import bpe, jaccard_join, langid, mixing, quality_rules, rans, substring_dedup, token_counts, topk
+from murmurline.llm import bpe, jaccard_join, langid, license_scan, mixing, quality_rules, rans, substring_dedup, token_counts, topk
 from murmurline.llm.common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Build] = {
+    "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_rans_token_files": op4_rans_token_files,

@@ -195,13 +195,19 @@ def _cut(length: int):
                     words = raw.split()
                     raw = b" ".join([w for w, g in zip(words, _gone(len(words), every, starts, length)) if not g])
                 texts.append(None if raw is None else raw.decode("utf-8", "replace"))
-            at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, "text", pa.array(texts, batch.schema.field(at).type)).drop_columns(["every", "starts"])
+            columns = {n: batch.column(n) for n in batch.schema.names if n not in ("every", "starts")}
+            columns["text"] = pa.array(texts, batch.schema.field("text").type)
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], columns["n_chars"].type)
+            yield pa.RecordBatch.from_pydict(columns)
     return cut
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``docs`` with repeated words taken out of ``text``; a text that loses words has the rest joined by one space."""
+    """``docs`` with repeated words taken out of ``text``; a text that loses words has the rest joined by one space.
+
+    A column ``n_chars`` is set to the characters of the text.
+    """
     names = docs.columns
     keyed = docs.mapInArrow(_with_key, _ddl(docs) + ", _tkey bigint")
     found = repeats(docs, length, gram).select(F.col("doc_id").alias("_doc"), F.col("tkey").alias("_key"), "every", "starts")
