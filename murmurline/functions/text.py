@@ -118,7 +118,7 @@ _INNER_APOSTROPHE = r"\S+'\S+"
 _PROTECTED = "(?U)(?:" + "|".join([
     _URL, _ENTITY, _TIME, _DECIMAL, _GROUPED_NUMBER, _PUNCT + "+", _ABBREVIATION, _SEPARATOR, _DECORATION,
     _INNER_APOSTROPHE]) + ")"
-_EDGE = r"['\"“”‘’<>«»{}(\\)\[\]]"
+_EDGE = r"['\"“”‘’<>«»{}()\[\]]"
 _EDGE_LEFT = rf"(?U)(\s|^)({_EDGE}+)([a-zA-Z0-9])"
 _EDGE_RIGHT = rf"(?U)([a-zA-Z0-9])({_EDGE}+)(\s|$)"
 

@@ -17,8 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmurline.functions import text as X
+from murmurline.session import cut_lineage
 
+#: The cap of the n-gram models; other models keep every term.
 MAX_TERMS = 200_000
+#: The largest vocabulary a counting stage can be asked for: no cap.
+ALL_TERMS = 2**31 - 1
 
 
 def term_counts(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
@@ -31,21 +35,20 @@ def document_frequencies(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def tfidf_rows(docs: DataFrame, key: str, tokens: Column, max_terms: int = MAX_TERMS) -> DataFrame:
-    """(key, term, weight) with rows of unit length over the most frequent terms.
+def tfidf_rows(docs: DataFrame, key: str, tokens: Column, max_terms: int | None = None) -> DataFrame:
+    """(key, term, weight) with rows of unit length, over all terms or the ``max_terms`` most frequent ones.
 
-    The vocabulary is capped, so it is joined as a broadcast table of at most
-    ``max_terms`` rows; a term found in most documents is then no skewed key.
-    The length of a row is a window over its own terms.
+    Counts are written once, as two branches read them. Document frequencies are
+    joined by term: an ordinary join, in which adaptive execution splits a term
+    found in most documents. The length of a row is a window over its own terms.
     """
-    counts = term_counts(docs, key, tokens)
+    counts = cut_lineage(term_counts(docs, key, tokens), "term-counts")
     n = docs.count()
-    total = F.sum("tf").alias("n")
-    vocabulary = (counts.groupBy("term").agg(F.count("*").alias("df"), total)
-                  .orderBy(F.desc("n"), "term").limit(max_terms)
-                  .select("term", (F.ln((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf")))
-    weighted = (counts.join(F.broadcast(vocabulary), "term")  # at most max_terms rows
-                .select(key, "term", (F.col("tf") * F.col("idf")).alias("w")))
+    vocabulary = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
+    if max_terms is not None:
+        vocabulary = vocabulary.orderBy(F.desc("n"), "term").limit(max_terms)
+    idf = vocabulary.select("term", (F.ln((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
+    weighted = counts.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return weighted.select(key, "term", (F.col("w") / length).alias("weight"))
 
@@ -74,14 +77,14 @@ class TokenColumn(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
 
 
 class SmoothTfidf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Counts over a capped vocabulary, smooth idf with + 1, unit rows."""
+    """Counts over the vocabulary (capped only if ``maxTerms`` is given), smooth idf with + 1, unit rows."""
 
     maxTerms = Param(Params._dummy(), "maxTerms", "vocabulary cap", TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, *, inputCol: str = "tokens", outputCol: str = "features", maxTerms: int = MAX_TERMS):
+    def __init__(self, *, inputCol: str = "tokens", outputCol: str = "features", maxTerms: int = ALL_TERMS):
         super().__init__()
-        self._setDefault(inputCol="tokens", outputCol="features", maxTerms=MAX_TERMS)
+        self._setDefault(inputCol="tokens", outputCol="features", maxTerms=ALL_TERMS)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
@@ -94,7 +97,7 @@ class SmoothTfidf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, D
         return PipelineModel([counts, scale, Normalizer(inputCol=f"{out}_w", outputCol=out, p=2.0)])
 
 
-def text_features(kind: str = "plain", grams: int = 1, max_terms: int = MAX_TERMS) -> list:
+def text_features(kind: str = "plain", grams: int = 1, max_terms: int = ALL_TERMS) -> list:
     """Stages text -> tokens -> TF-IDF for a Pipeline."""
     return [TokenColumn(inputCol="text", outputCol="tokens", kind=kind, grams=grams),
             SmoothTfidf(inputCol="tokens", outputCol="features", maxTerms=max_terms)]

@@ -29,7 +29,8 @@ def morlet_response(omega: np.ndarray, scale: float, w0: float = 2 * np.pi) -> n
 
 
 def even_scales(low: float = 0.05, high: float = 7.0, n: int = 800) -> list[float]:
-    return [float(s) for s in np.geomspace(low, high, n)]
+    """``n`` scales from ``low`` to ``high`` days, evenly spaced on a log axis, in hours."""
+    return [24.0 * float(s) for s in np.geomspace(low, high, n)]
 
 
 def octave_scales(octaves: int = 7, voices: int = 20) -> list[float]:

@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from murmurline.functions import text as X
-from murmurline.ml import cascade, classifiers
+from murmurline.ml import cascade, classifiers, features
 from murmurline.ml.features import SmoothTfidf
 from murmurline.ml.taxonomy import Taxonomy
 from murmurline.operators import agreement, evaluation, ranking
@@ -17,7 +17,8 @@ from murmurline.plans.registry import query
 from murmurline.session import scratch_path, spread
 from murmurline.sources.readers import read_table
 
-_FIT = {"iterations": 20, "max_terms": 20_000}
+#: The reference settings: 100 iterations, the 200,000 most frequent 1-3-grams.
+_FIT = {"iterations": 100, "max_terms": features.MAX_TERMS}
 _models: dict[tuple[str, str], dict] = {}
 
 
@@ -103,7 +104,7 @@ def m6_tobacco(spark, sf):
 def age_model(spark, sf):
     names = F.element_at(F.array(F.lit("underAge"), F.lit("legalAge"), F.lit("other")), F.col("level") + 1)
     data = training(spark, sf).select("text", classifiers.age_label(names).cast("double").alias("label"))
-    return classifiers.age_pipeline(data.count(), iterations=20).fit(data)
+    return classifiers.age_pipeline(data.count()).fit(data)
 
 
 @query("m7_age_svm")
@@ -237,7 +238,7 @@ def m16_confusion(spark, sf):
     data = classifiers.prior_weights(training(spark, sf).withColumn("label", F.col("quality").cast("double")), {0: 0.99, 1: 0.01})
     data = ranking.hash_split(data, "doc_id", 33, seed=26)
     train = data.where("NOT test")
-    model = classifiers.tfidf_pipeline(classifiers.logistic(train.count(), 1.0, 20, weight="weight")).fit(train)
+    model = classifiers.tfidf_pipeline(classifiers.logistic(train.count(), 1.0, weight="weight")).fit(train)
     return evaluation.confusion_counts(model.transform(data.where("test")), "quality", "prediction").withColumn("share", r6("share"))
 
 

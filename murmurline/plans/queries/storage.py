@@ -18,14 +18,14 @@ from murmurline.sources.store import ParquetStore
 from murmurline.streaming.hourly import hourly_stream, read_partials
 
 _RAW_SQL = B.TWEETS_SQL + """, raw AS (SELECT t.id, strftime(t.created_at, '%Y-%m-%d %H:%M:%S') AS created_at, t.utc_offset,
-  d.text FROM tweets t JOIN documents d ON d.doc_id = t.id)"""
+  d.text FROM tweets t JOIN documents d ON d.doc_id = t.id % (SELECT count(*) FROM documents))"""
 
 
 def raw_tweets(spark, sf):
-    """Tweets whose id is also a document, with that document as text."""
-    docs = readers.read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    """All tweets, with documents in turn as texts."""
+    docs = readers.read_table(spark, sf, "documents").select("doc_id", "text")
     t = B.tweets(spark, sf).select("id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), "utc_offset")
-    return t.join(docs, "id").select("id", "created_at", "utc_offset", "text")
+    return t.join(docs, F.col("id") % docs.count() == F.col("doc_id")).select("id", "created_at", "utc_offset", "text")
 
 
 def _write_csv(df, name, header=True):
@@ -159,7 +159,8 @@ def s12(spark, sf):
   CASE WHEN id % 3 = 0 THEN '2.5' END AS lon, utc_offset FROM tweets"""))
 def s13(spark, sf):
     store = _store(spark, sf)
-    store.update_tweets(B.tweets(spark, sf).where("id % 3 = 0").select("id", F.lit("1.5").alias("lat"), F.lit("2.5").alias("lon")))
+    store = store.update_tweets(B.tweets(spark, sf).where("id % 3 = 0").select("id", F.lit("1.5").alias("lat"), F.lit("2.5").alias("lon")),
+                                scratch_path(spark, "store"))
     return store.tweets().select("tweet_id", "lat", "lon", "utc_offset")
 
 

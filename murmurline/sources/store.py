@@ -2,13 +2,14 @@
 
 Tables live either in a database reached over JDBC or in parquet folders with
 the same calls. The parquet form never rewrites a folder in place: an update
-writes a new version next to the old one and readers follow the newest.
+writes to a root the caller names and gives the store there.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,14 +71,13 @@ def between_dates(tweets: DataFrame, predictions: DataFrame, start: str, end: st
 
 @dataclass
 class ParquetStore:
-    """Append, versioned update and ranged read over parquet folders."""
+    """Append, update and ranged read over parquet folders, one per table."""
 
     spark: SparkSession
     root: str
-    versions: dict[str, int] = field(default_factory=dict)
 
     def _path(self, table: str) -> str:
-        return f"{self.root}/{table}/v{self.versions.get(table, 0)}"
+        return f"{self.root}/{table}"
 
     def _append(self, table: str, df: DataFrame) -> None:
         df.write.mode("append").parquet(self._path(table))
@@ -96,13 +96,25 @@ class ParquetStore:
         self._append(LABEL_TABLE, df.select(F.col(tweet_id_col).cast("string").alias("tweet_id"),
                                             F.col(label_col).cast("string").alias("label")))
 
-    def update_tweets(self, df: DataFrame) -> None:
-        """New lat, lon and utc_offset by id, written as the next version."""
+    def update_tweets(self, df: DataFrame, root: str) -> "ParquetStore":
+        """New lat, lon and utc_offset by id: writes all tweets below ``root`` and returns the store there.
+
+        The tables that do not change are copied, so the new store is whole and this one stays as it is.
+        """
         changes = tweet_rows(df).select("tweet_id", "lat", "lon", "utc_offset")
         merged = updated_rows(self.tweets(), changes, "tweet_id", ["lat", "lon", "utc_offset"])
-        upcoming = self.versions.get(TWEETS_TABLE, 0) + 1
-        merged.write.parquet(f"{self.root}/{TWEETS_TABLE}/v{upcoming}")
-        self.versions[TWEETS_TABLE] = upcoming
+        merged.write.parquet(f"{root}/{TWEETS_TABLE}")
+        for table, read in ((PREDICTION_TABLE, self.predictions), (LABEL_TABLE, self.labels)):
+            if self._exists(table):
+                read().write.parquet(f"{root}/{table}")
+        return ParquetStore(self.spark, root)
+
+    def _exists(self, table: str) -> bool:
+        try:
+            self.spark.read.parquet(self._path(table))
+        except AnalysisException:
+            return False
+        return True
 
     def tweets(self) -> DataFrame:
         return self.spark.read.schema(schemas.DB_TWEETS).parquet(self._path(TWEETS_TABLE))
