@@ -10,13 +10,14 @@ Scores are exact: products are taken in 64-bit floats where no sum can reach 2^5
 
 Defined cases: vectors that are null, or hold a null or a non-finite component, take no part. Rows equal in id and
 vector count once; rows with the query's id are its own and no candidates of it. A query meets candidates of its own
-length only; one without any gives no row. Ties go to the smaller id. A score beyond 64 bits is returned as the nearest
-64-bit integer. Extra columns are ignored.
+length only; one without any gives no row. Ties go to the smaller id. Scores are ranked exactly up to
+38 digits; one beyond 64 bits is returned as the nearest 64-bit integer. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ FAN_IN = 64
 
 _BLOCKS = "dim int, ids binary, rows binary"
 _LISTS = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("tile", T.LongType()),
-                       T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
+                       T.StructField("vec_id", T.LongType()), T.StructField("score", T.DecimalType(38, 0))])
 
 
 def _integers(vector: Column) -> Column:
@@ -78,7 +79,7 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _tile(k: int):
-    low, high = -(1 << 63), (1 << 63) - 1
+    most = 10 ** 38 - 1  # what the lists can hold
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,17 +102,17 @@ def _tile(k: int):
                         best = sorted(zip((-int(v) for v in s), ids.tolist()))[:k]
                         found[0] += [int(x)] * len(best)
                         found[1] += [i for _, i in best]
-                        found[2] += [min(max(-v, low), high) for v, _ in best]
+                        found[2] += [Decimal(min(max(-v, -most), most)) for v, _ in best]
                 yield pa.RecordBatch.from_pydict(
                     {"query_id": found[0], "tile": [row["block"]] * len(found[0]), "vec_id": found[1], "score": found[2]},
-                    schema=pa.schema([("query_id", pa.int64()), ("tile", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]))
+                    schema=pa.schema([("query_id", pa.int64()), ("tile", pa.int64()), ("vec_id", pa.int64()), ("score", pa.decimal128(38))]))
 
     return tile
 
 
 def _best(lists: DataFrame, keys: list[str], k: int) -> DataFrame:
     """The k best entries per key; collects at most FAN_IN lists of k entries for each."""
-    entry = F.struct((-F.col("score").cast("decimal(20,0)")).alias("s"), "vec_id", "score")
+    entry = F.struct((-F.col("score")).alias("s"), "vec_id", "score")
     merged = lists.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_set(entry)), 1, k).alias("_top"))
     return merged.select(*keys, F.posexplode("_top").alias("_i", "_e")).select(
         *keys, F.col("_e.vec_id").alias("vec_id"), F.col("_e.score").alias("score"), (F.col("_i") + 1).cast("int").alias("rank"))
@@ -138,7 +139,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, block: int = BLOCK
         groups = -(-groups // fan_in)
         lists = _best(lists.withColumn("tile", F.pmod(F.xxhash64("tile"), F.lit(groups))), ["query_id", "tile"], k).select(
             "query_id", "tile", "vec_id", "score")
-    return _best(lists, ["query_id"], k).select("query_id", "rank", "vec_id", "score")
+    least, most = (F.lit(Decimal(x)).cast("decimal(38,0)") for x in (-(1 << 63), (1 << 63) - 1))
+    return _best(lists, ["query_id"], k).select("query_id", "rank", "vec_id", F.least(F.greatest("score", least), most).cast("long").alias("score"))
 
 
 SQL = """WITH whole AS (
