@@ -11,7 +11,8 @@ at most 2n links.
 first ``s - ceil(0.75 s) + 1`` shingles, of which a linked set shares one at least. Light sets within reach of heavy
 ones are entered too. The lists are scanned in two rounds: first every set of a list meets the list's least set, which
 settles groups of near copies in as many comparisons as they have members; then sets of one list that are not known to
-be connected meet each other. All comparisons are exact, on the shingles themselves.
+be connected meet each other. Pairs that meet in too few lists cannot link and are dropped; the others are compared
+exactly, on all their shingles.
 
 The boundary x is chosen by cost: from the counts of sets by size, the subsets that light sets would enumerate
 against the entries and comparisons that heavy ones need.
@@ -152,7 +153,7 @@ def _entries(n: int, percent: int, x: int, common):
                         cs.append(np.array([c])), ns.append(np.array([s], np.int32))
                 if s > x or max(reach(s, percent)) > x:
                     p = prefix(s, percent)
-                    late = np.isin(h, frequent) if len(frequent) else np.zeros(s, bool)
+                    late = frequent[np.searchsorted(frequent[:-1], h)] == h if len(frequent) else np.zeros(s, bool)
                     rare = h[~late][:p]
                     chosen = rare if len(rare) == p else np.concatenate([rare, h[late][:p - len(rare)]])
                     gs.append(chosen.view(np.int64)), kinds.append(np.zeros(p, np.int32))
@@ -209,24 +210,32 @@ def _members(n: int):
     return members
 
 
-def _shingles_of(classes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """c, hs: the shingles of one document of each of the classes (c, first)."""
-    texts = compressed(docs).join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
-    return cut_lineage(texts.select("z").mapInArrow(_members(n), "c bigint, hs binary").dropDuplicates(["c"]), "sets")
+def _likely(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that meet in enough lists to link, from one row (ca, na, cb, nb) for each list where they meet.
 
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link."""
+    Of the shingles two linked sets share, at most ``s - prefix(s)`` of the larger one's lie outside the lists.
+    """
+    na, nb = F.col("na"), F.col("nb")
+    up = lambda x, y: F.floor((x + (y - 1)) / y)
+    least = up((na + nb) * percent, 100 + percent) - (up(F.greatest(na, nb) * percent, 100) - 1)
+    near = met.where((na * 100 >= nb * percent) & (nb * 100 >= na * percent))
+    pairs = near.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(
+        F.count("*").alias("lists"), F.first(least).alias("least"))
+    return pairs.where("lists >= least").select("a", "b")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that link, judged by all their shingles."""
+    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
+    firsts = classes.join(wanted, "c").select(F.col("first").alias("doc_id"))
+    texts = compressed(docs).join(firsts, "doc_id", "left_semi")
+    sets = cut_lineage(texts.select("z").mapInArrow(_members(n), "c bigint, hs binary").dropDuplicates(["c"]), "sets")
     joined = pairs.join(sets.select(F.col("c").alias("a"), F.col("hs").alias("xs")), "a").join(
         sets.select(F.col("c").alias("b"), F.col("hs").alias("ys")), "b")
     found = joined.select("a", "b", "xs", "ys").mapInArrow(_overlaps, "a bigint, b bigint, common bigint, total bigint")
     return cut_lineage(found.where(F.col("common") * 100 >= F.col("total") * percent).select("a", "b"), "verified")
 
 
-def _within(p, q, percent: int):
-    return (p * 100 >= q * percent) & (q * 100 >= p * percent)
-
-
 def links(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Sets (doc_id, n, c, c2) and links (a, b) between classes c of equal sets; enough links for every component.
 
@@ -253,24 +262,19 @@ def links(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFram
         F.col("c").alias("a"), F.when(F.col("n") == low["n"], high["c"]).otherwise(low["c"]).alias("b"))
     certain = one.union(two).where("a <> b")
     # heavy lists, first round: against the least set of the list
-    heavy = lists.where("kind_of = 0").select("g", "c", "n", "lead", (F.col("lead.c") != F.col("c")).alias("other"))
-    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    first = cut_lineage(heavy.where("other").where(_within(F.col("n"), F.col("lead.n"), percent)).select(
-        *pair(F.col("c"), F.col("lead.c"))).distinct(), "pairs")
-    members = _shingles_of(classes.join(heavy.select("c").distinct(), "c"), rows, n)
-    found = _verified(first, members, percent)
+    heavy = cut_lineage(lists.where("kind_of = 0").select("g", "c", "n", "lead").distinct(), "heavy")
+    first = cut_lineage(_likely(heavy.where("lead.c <> c").select(
+        F.col("c").alias("ca"), F.col("n").alias("na"), F.col("lead.c").alias("cb"), F.col("lead.n").alias("nb")), percent), "pairs")
+    found = _verified(first, rows, classes, n, percent)
     # second round: sets of a list under different least linked sets
     label = found.groupBy(F.col("b").alias("c")).agg(F.min("a").alias("label"))
-    marked = cut_lineage(heavy.select("g", "c", "n").join(label, "c", "left").select(
-        "g", "c", "n", F.coalesce("label", "c").alias("label")), "marked")
+    marked = cut_lineage(heavy.join(label, "c", "left").select("g", "c", "n", F.coalesce("label", "c").alias("label")), "marked")
     groups = marked.select("g", "label").distinct()
-    ga, gb = groups.select("g", F.col("label").alias("la")), groups.select("g", F.col("label").alias("lb"))
-    apart = ga.join(gb, "g").where("la < lb")
+    apart = groups.select("g", F.col("label").alias("la")).join(groups.select("g", F.col("label").alias("lb")), "g").where("la < lb")
     ma = marked.select("g", F.col("label").alias("la"), F.col("c").alias("ca"), F.col("n").alias("na"))
     mb = marked.select("g", F.col("label").alias("lb"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-    second = apart.join(ma, ["g", "la"]).join(mb, ["g", "lb"]).where(_within(F.col("na"), F.col("nb"), percent)).select(
-        *pair(F.col("ca"), F.col("cb"))).distinct().join(first, ["a", "b"], "left_anti")
-    rest = _verified(second, members, percent)
+    second = _likely(apart.join(ma, ["g", "la"]).join(mb, ["g", "lb"]).select("ca", "na", "cb", "nb"), percent)
+    rest = _verified(cut_lineage(second.join(first, ["a", "b"], "left_anti"), "pairs"), rows, classes, n, percent)
     return sets, certain.union(found).union(rest)
 
 
