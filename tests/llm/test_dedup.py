@@ -3,7 +3,7 @@ import random
 import re
 
 import pytest
-from conftest import ODD, words
+from llm_samples import ODD, words
 
 from murmurline.llm import jaccard_join as J
 from murmurline.llm import substring_dedup as S

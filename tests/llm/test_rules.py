@@ -4,7 +4,7 @@ from collections import Counter
 
 import duckdb
 import pytest
-from conftest import ODD, words
+from llm_samples import ODD, words
 from pyspark.sql import functions as F
 
 from murmurline.llm import langid as L

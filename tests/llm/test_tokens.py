@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import ODD, words
+from llm_samples import ODD, words
 
 from murmurline.llm import bpe as B
 from murmurline.llm import rans as R
