@@ -23,12 +23,12 @@ SLICES = {
 }
 
 
-def hour_grid(summary: DataFrame, days: int = 30, step: int = 1, keep_outside: bool = False) -> DataFrame:
+def hour_grid(summary: DataFrame, days: int = 30, step: int = 1, keep_outside: bool = True) -> DataFrame:
     """Every hour 1..days x 24 of every series; missing hours count 0.
 
     Each observed hour also emits the gap up to the next one, so the grid needs
-    neither a join nor a second shuffle. ``keep_outside`` keeps observed hours
-    after the grid (day 31) as extra rows, as a full outer merge would.
+    neither a join nor a second shuffle. Observed hours after the grid (day 31)
+    stay as extra rows, as in a full outer merge, unless ``keep_outside`` is off.
     """
     per_day = HOURS_PER_DAY // step
     last = days * per_day
@@ -81,7 +81,7 @@ def carry_forward(masked: DataFrame, columns: tuple[str, ...] = ("x", "total"),
 def clean_series(summary: DataFrame, threshold: float | Column = 5000.0, days: int = 30,
                  compat: bool = False) -> DataFrame:
     """Grid, low-volume mask and carry-forward in one go."""
-    return carry_forward(mask_low_volume(hour_grid(summary, days, keep_outside=compat), threshold), compat=compat)
+    return carry_forward(mask_low_volume(hour_grid(summary, days), threshold), compat=compat)
 
 
 def slice_hours(series: DataFrame, first: int, last: int) -> DataFrame:

@@ -129,11 +129,11 @@ HOURLY_SQL = LOCAL_SQL + """, hourly AS (
   FROM local GROUP BY ALL)"""
 
 GRID_SQL = HOURLY_SQL + """, grid AS (
-  SELECT s.series_id, CAST(g.t AS INTEGER) AS t, CAST(coalesce(h.sum, 0) AS DOUBLE) AS x,
+  SELECT g.series_id, CAST(g.t AS INTEGER) AS t, CAST(coalesce(h.sum, 0) AS DOUBLE) AS x,
          CAST(coalesce(h.len, 0) AS DOUBLE) AS total
-  FROM (SELECT DISTINCT series_id FROM hourly) s
-  CROSS JOIN (SELECT unnest(range(1, 721)) AS t) g
-  LEFT JOIN hourly h ON h.series_id = s.series_id AND (h.day - 1) * 24 + h.hour + 1 = g.t)"""
+  FROM (SELECT s.series_id, g.t FROM (SELECT DISTINCT series_id FROM hourly) s CROSS JOIN (SELECT unnest(range(1, 721)) AS t) g
+        UNION SELECT series_id, (day - 1) * 24 + hour + 1 FROM hourly) g
+  LEFT JOIN hourly h ON h.series_id = g.series_id AND (h.day - 1) * 24 + h.hour + 1 = g.t)"""
 
 MASK_SQL = GRID_SQL + f""", masked AS (
   SELECT series_id, t, CASE WHEN total >= {LOW_SHARE} * m THEN x END AS x,

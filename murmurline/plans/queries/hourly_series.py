@@ -40,11 +40,9 @@ def w3(spark, sf):
     return series.hour_grid(B.alc_summary(spark, sf))
 
 
-@query("w3_hour_grid_full_merge", sql(B.GRID_SQL, """SELECT * FROM grid UNION ALL
-  SELECT series_id, CAST((day - 1) * 24 + hour + 1 AS INTEGER), CAST(sum AS DOUBLE), CAST(len AS DOUBLE)
-  FROM hourly WHERE day > 30"""))
-def w3_full(spark, sf):
-    return series.hour_grid(B.alc_summary(spark, sf), keep_outside=True)
+@query("w3_hour_grid_thirty_days", sql(B.GRID_SQL, "SELECT * FROM grid WHERE t <= 720"))
+def w3_thirty(spark, sf):
+    return series.hour_grid(B.alc_summary(spark, sf), keep_outside=False)
 
 
 @query("w4_clean_series", sql(B.CLEAN_SQL, "SELECT * FROM clean"))
@@ -100,8 +98,8 @@ def w12(spark, sf):
 _CLASS_SQL = B.SCORED_SQL + """, ch AS (SELECT CAST((day(local_time) - 1) * 24 + hour(local_time) + 1 AS INTEGER) AS t,
    count(*) FILTER (WHERE predict_present > 0.3) AS cas, count(*) FILTER (WHERE predict_future > 0.3) AS look,
    count(*) FILTER (WHERE predict_past > 0.3) AS ref FROM scored GROUP BY ALL),
-  cg AS (SELECT CAST(g.t AS INTEGER) AS t, coalesce(cas, 0) AS cas, coalesce(look, 0) AS look, coalesce(ref, 0) AS ref
-    FROM (SELECT unnest(range(1, 721)) AS t) g LEFT JOIN ch USING (t)),
+  cg AS (SELECT CAST(t AS INTEGER) AS t, coalesce(cas, 0) AS cas, coalesce(look, 0) AS look, coalesce(ref, 0) AS ref
+    FROM (SELECT unnest(range(1, 721)) AS t) g FULL JOIN ch USING (t)),
   cs AS (SELECT t, coalesce(cas / nullif(cas + look + ref, 0), 0) AS cas, coalesce(look / nullif(cas + look + ref, 0), 0) AS look,
     coalesce(ref / nullif(cas + look + ref, 0), 0) AS ref FROM cg)"""
 

@@ -12,12 +12,12 @@ def hourly(spark, rows):
 
 def test_grid_has_every_hour(spark):
     s = hourly(spark, [("a", 1, 5, 1, 2), ("a", 30, 23, 3, 4), ("b", 2, 0, 5, 6), ("b", 31, 1, 7, 8)])
-    got = series.hour_grid(s).collect()
+    got = series.hour_grid(s, keep_outside=False).collect()
     assert len(got) == 1440 and len({(r["series_id"], r["t"]) for r in got}) == 1440
     values = {(r["series_id"], r["t"]): (r["x"], r["total"]) for r in got}
     assert values[("a", 6)] == (1, 2) and values[("a", 720)] == (3, 4) and values[("b", 25)] == (5, 6)
     assert sum(v[0] for v in values.values()) == 9
-    outside = series.hour_grid(s, keep_outside=True).where("t > 720").collect()
+    outside = series.hour_grid(s).where("t > 720").collect()
     assert [(r["series_id"], r["t"], r["x"]) for r in outside] == [("b", 722, 7.0)]
 
 
