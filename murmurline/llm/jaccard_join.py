@@ -9,9 +9,9 @@ at most 2n links.
 
 *Heavy* sets are found by inverted lists. All shingles have one order, common ones last; a set is entered under its
 first ``s - ceil(0.75 s) + 1`` shingles, of which a linked set shares one at least. Light sets within reach of heavy
-ones are entered too. The lists are scanned in two rounds: first every set of a list meets the list's least set, which
-settles groups of near copies in as many comparisons as they have members; then sets of one list that are not known to
-be connected meet each other. Pairs that meet in too few lists cannot link and are dropped; the others are compared
+ones are entered too. The lists are scanned in two rounds: first every set of a list meets the list's least set, and
+those of a long list LEADS sets that hashes choose, which settles groups of near copies in a few comparisons for each
+member; then sets of one list that are not connected yet meet each other. Pairs that meet in too few lists cannot link and are dropped; the others are compared
 exactly, on all their shingles.
 
 The boundary x is chosen by cost: from the counts of sets by size, the subsets that light sets would enumerate
@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmurline.llm.common import WordHashes, binaries, compressed, gram_hashes, unzip
+from murmurline.llm.common import WordHashes, ZIPPED, binaries, compressed, gram_hashes, unzip, zipped
 from murmurline.llm.components import components
 from murmurline.session import cut_lineage
 
@@ -45,7 +45,9 @@ N, PERCENT = 5, 75
 #: Largest boundary that is considered, and most entries of the list of common shingles (8 bytes each).
 MAX_LIGHT, COMMON = 12, 500_000
 #: A list longer than this is common, as far as COMMON allows.
-LONG_LIST = 32
+LONG_LIST = 8
+#: Sets of a longer list that all its members are compared with in the first round, and most document ids to broadcast.
+LEADS, FEW_IDS = 8, 100_000
 #: Cost of comparing two sets by shingle, against one entry of an inverted list.
 COMPARE = 0.5
 
@@ -227,8 +229,10 @@ def _likely(met: DataFrame, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that link, judged by all their shingles."""
     wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
-    firsts = classes.join(wanted, "c").select(F.col("first").alias("doc_id"))
-    texts = compressed(docs).join(firsts, "doc_id", "left_semi")
+    firsts = cut_lineage(classes.join(wanted, "c").select(F.col("first").alias("doc_id")), "ids")
+    # few documents are picked out where they are read; many are joined, in compressed form
+    texts = (docs.select("doc_id", "text").join(F.broadcast(firsts), "doc_id", "left_semi").mapInArrow(zipped, ZIPPED)
+             if firsts.count() <= FEW_IDS else compressed(docs).join(firsts, "doc_id", "left_semi"))
     sets = cut_lineage(texts.select("z").mapInArrow(_members(n), "c bigint, hs binary").dropDuplicates(["c"]), "sets")
     joined = pairs.join(sets.select(F.col("c").alias("a"), F.col("hs").alias("xs")), "a").join(
         sets.select(F.col("c").alias("b"), F.col("hs").alias("ys")), "b")
@@ -263,11 +267,16 @@ def links(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFram
     certain = one.union(two).where("a <> b")
     # heavy lists, first round: against the least set of the list
     heavy = cut_lineage(lists.where("kind_of = 0").select("g", "c", "n", "lead").distinct(), "heavy")
-    first = cut_lineage(_likely(heavy.where("lead.c <> c").select(
-        F.col("c").alias("ca"), F.col("n").alias("na"), F.col("lead.c").alias("cb"), F.col("lead.n").alias("nb")), percent), "pairs")
+    met = lambda lead: (F.col("c").alias("ca"), F.col("n").alias("na"), lead["c"].alias("cb"), lead["n"].alias("nb"))
+    order = [F.min(F.struct(F.xxhash64("c", F.lit(i)).alias("h"), "c", "n")) for i in range(LEADS)]
+    leads = heavy.groupBy("g").agg(F.count("*").alias("size"), F.array_distinct(F.array(*order)).alias("leads")).where(
+        F.col("size") > LEADS).select("g", "leads")
+    more = heavy.join(leads, "g").select("c", "n", F.explode("leads").alias("lead")).where("lead.c <> c")
+    first = cut_lineage(_likely(heavy.where("lead.c <> c").select(*met(F.col("lead"))).union(more.select(*met(F.col("lead")))),
+                                percent), "pairs")
     found = _verified(first, rows, classes, n, percent)
-    # second round: sets of a list under different least linked sets
-    label = found.groupBy(F.col("b").alias("c")).agg(F.min("a").alias("label"))
+    # second round: sets of a list that the first one left in different components
+    label = components(found).select(F.col("node").alias("c"), F.col("component").alias("label"))
     marked = cut_lineage(heavy.join(label, "c", "left").select("g", "c", "n", F.coalesce("label", "c").alias("label")), "marked")
     groups = marked.select("g", "label").distinct()
     apart = groups.select("g", F.col("label").alias("la")).join(groups.select("g", F.col("label").alias("lb")), "g").where("la < lb")
