@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from murmurline.session import cut_lineage
 
-#: Entries a per-process word cache may hold before it starts afresh.
-CACHE_ENTRIES = 400_000
+#: Entries a per-process word cache may hold.
+CACHE_ENTRIES = 200_000
 #: Bytes of text that one step of a vectorised kernel looks at.
 STEP_BYTES = 1 << 20
 
@@ -52,14 +52,31 @@ def binaries(column) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, filled as words come; starts afresh when it is full."""
+class Remembered(dict):
+    """key -> make(key), made when first asked for. Holds up to ``most`` keys in two generations: when the young one is
+    full it becomes the old one, from which keys in use come back, so frequent keys stay. Long keys are not kept."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+    def __init__(self, make, most: int = CACHE_ENTRIES):
+        super().__init__()
+        self.make, self.half, self.old = make, most // 2, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) < 200:
+            if len(self) >= self.half:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class WordHashes(Remembered):
+    """word -> 64-bit hash."""
+
+    def __init__(self):
+        super().__init__(xxhash.xxh3_64_intdigest, CACHE_ENTRIES // 2)
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
@@ -106,7 +123,7 @@ def text_key(raw: bytes | None) -> int:
     return -1 if raw is None else np.uint64(xxhash.xxh3_64_intdigest(raw)).astype(np.int64).item()
 
 
-def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("z", pa.binary())])
     zip_up = zstandard.ZstdCompressor(level=1)
     for batch in batches:
@@ -122,6 +139,9 @@ def unzip(column) -> Iterator[bytes]:
         yield b"" if z is None else read.decompress(z)
 
 
+ZIPPED = "doc_id bigint, tkey bigint, z binary"
+
+
 def compressed(docs: DataFrame) -> DataFrame:
     """doc_id, tkey, z: texts in the form in which they should cross a shuffle."""
-    return docs.select("doc_id", "text").mapInArrow(_zip, "doc_id bigint, tkey bigint, z binary")
+    return docs.select("doc_id", "text").mapInArrow(zipped, ZIPPED)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from murmurline.llm.common import CACHE_ENTRIES, batches_of, text_key
+from murmurline.llm.common import CACHE_ENTRIES, Remembered, batches_of, text_key
 from murmurline.llm.tokenizer import byte_alphabet
 from murmurline.session import cut_lineage
 
@@ -74,7 +74,7 @@ class Transducer:
         self.begins = {"".join(x[:i]) for x in map(self._symbols, self.vocab) for i in range(1, len(x))}
         self._restart()
         self.fits: dict[tuple[str, str], bool] = {}
-        self.pieces: dict[str, int] = {}
+        self.pieces = Remembered(self.piece)
 
     def tolerates(self, left: str, right: str) -> bool:
         """Whether two tokens stay two when their text is encoded: no merge across the seam comes before their own."""
@@ -136,22 +136,15 @@ class Transducer:
 
     def piece(self, text: str) -> int:
         """Tokens of one piece of the pre-tokenizer, by the transducer."""
-        known = self.pieces.get(text)
-        if known is None:
-            if len(self.pieces) >= CACHE_ENTRIES:
-                self.pieces.clear()
-            if len(self.open) >= CACHE_ENTRIES:
-                self._restart()
-            symbols = text.encode().decode("latin-1").translate(self.letters)
-            state, known, steps = 0, 0, self.steps
-            for symbol in symbols[:-1]:
-                state, added = steps.get((state, symbol)) or self.step(state, symbol)
-                known += added
-            last = state, symbols[-1]
-            known += self.lasts[last] if last in self.lasts else self.finish(*last)
-            if len(text) < 200:
-                self.pieces[text] = known
-        return known
+        if len(self.open) >= CACHE_ENTRIES:
+            self._restart()
+        symbols = text.encode().decode("latin-1").translate(self.letters)
+        state, total, steps = 0, 0, self.steps
+        for symbol in symbols[:-1]:
+            state, added = steps.get((state, symbol)) or self.step(state, symbol)
+            total += added
+        last = state, symbols[-1]
+        return total + (self.lasts[last] if last in self.lasts else self.finish(*last))
 
     def stretch(self, text: str) -> int:
         """Tokens of a text between resets."""
@@ -163,10 +156,10 @@ class Transducer:
         if _KNOWN.fullmatch(text) and unicodedata.is_normalized("NFC", text):
             lower = text.lower()
             if _KNOWN.fullmatch(lower):
-                return sum(map(self.piece, _SPLIT.findall(lower)))
+                return sum(map(self.pieces.__getitem__, _SPLIT.findall(lower)))
         normal = self.library.normalizer.normalize_str(text)
         pieces = [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
-        return sum(self.piece(p.translate(self.bytes).encode("latin-1").decode()) for p in pieces)
+        return sum(self.pieces[p.translate(self.bytes).encode("latin-1").decode()] for p in pieces)
 
     def chunk(self, text: str) -> Map:
         """The map of a chunk."""

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from murmurline.llm.common import CACHE_ENTRIES
+from murmurline.llm.common import Remembered
 
 #: A space with white space on both sides; elsewhere a space starts a new piece of the pre-tokenizer.
 _CROWDED = re.compile(r"\s \s")
@@ -21,22 +22,6 @@ _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-\u024F", "0-9²³¹¼½¾", "\\t-\\r \x85
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
-class _Pieces(dict):
-    """A stretch after ``lead`` -> its ids as little-endian 32-bit integers; starts afresh when it is full."""
-
-    def __init__(self, encode, lead: str = ""):
-        super().__init__()
-        self.encode, self.lead = encode, lead
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        ids = self.encode(self.lead + piece)
-        if len(piece) < 200:  # longer ones would not come again
-            self[piece] = ids
-        return ids
-
-
 class ByteBpe:
     """Ids as the library gives them; equal stretches between spaces, and equal pieces in them, are encoded once.
 
@@ -64,8 +49,9 @@ class ByteBpe:
         for token, i in self.specials.items():
             self.raw[i] = token.encode()
         self.letters = {b: c for c, b in alphabet.items()}
-        self.words = _Pieces(self.word)
-        self.first, self.rest = _Pieces(self.stretch), _Pieces(self.stretch, " ")
+        #: pieces, and stretches up to the next space: one that starts the text, or one after a space
+        self.words = Remembered(self.word)
+        self.first, self.rest = Remembered(self.stretch, 1000), Remembered(lambda piece: self.stretch(" " + piece))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -73,7 +59,8 @@ class ByteBpe:
     def word(self, piece: str) -> bytes:
         """Ids of one piece of the pre-tokenizer."""
         inner = piece.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.merges.tokenize(inner)], "<u4").tobytes()
+        ids = [t.id for t in self.merges.tokenize(inner)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def stretch(self, text: str) -> bytes:
         """Ids of a stretch without special tokens."""
