@@ -204,9 +204,10 @@ def round_trip(docs: DataFrame, path: str, leaf: int = LEAF, part: int = PART) -
 def _ids_of(path: str, leaf: int):
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path)
-        for batch in batches:
-            lists = [np.frombuffer(encode_text(bpe, t or "", leaf), "<u4").astype(np.int32) for t in batch.column("text").to_pylist()]
-            yield batch.append_column("ids", pa.array(lists, pa.list_(pa.int32())))
+        for whole in batches:
+            for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
+                lists = [np.frombuffer(encode_text(bpe, t or "", leaf), "<u4").astype(np.int32) for t in batch.column("text").to_pylist()]
+                yield batch.append_column("ids", pa.array(lists, pa.list_(pa.int32())))
     return ids
 
 
