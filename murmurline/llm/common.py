@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from murmurline.session import cut_lineage
 
 #: Entries a per-process word cache may hold.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 100_000
 #: Bytes of text that one step of a vectorised kernel looks at.
 STEP_BYTES = 1 << 20
 

@@ -36,6 +36,8 @@ from murmurline.llm.tokenizer import byte_alphabet
 from murmurline.session import cut_lineage
 
 CHUNK, PART = 1 << 14, 1 << 18
+#: States and transitions kept before compiling starts afresh.
+STATES = 400_000
 LIMIT = 2048
 
 #: Characters whose classes and lower case are the same in every Unicode version and library.
@@ -136,7 +138,7 @@ class Transducer:
 
     def piece(self, text: str) -> int:
         """Tokens of one piece of the pre-tokenizer, by the transducer."""
-        if len(self.open) >= CACHE_ENTRIES:
+        if len(self.open) >= STATES:
             self._restart()
         symbols = text.encode().decode("latin-1").translate(self.letters)
         state, total, steps = 0, 0, self.steps
