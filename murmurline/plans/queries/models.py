@@ -48,7 +48,7 @@ def posts(spark, sf):
 @query("m1_tfidf_classifier")
 def m1(spark, sf):
     data = training(spark, sf).withColumn("label", F.col("quality").cast("double"))
-    model = classifiers.tfidf_pipeline(classifiers.logistic(data.count(), 1.0, 30)).fit(data)
+    model = classifiers.tfidf_pipeline(classifiers.logistic(data.count(), 1.0)).fit(data)
     return cascade.scored(model, posts(spark, sf), [None, "p"]).select("id", r6("p").alias("p"))
 
 
@@ -223,9 +223,9 @@ def m15(spark, sf):
     data = training(spark, sf).select("doc_id", X.plain_tokens(F.col("text")).alias("tokens"), F.col("quality").cast("double").alias("label"))
 
     def make(n):
-        return Pipeline(stages=[SmoothTfidf(inputCol="tokens", outputCol="features"), classifiers.logistic(n, 1.0, 10)])
+        return Pipeline(stages=[SmoothTfidf(inputCol="tokens", outputCol="features"), classifiers.logistic(n, 1.0)])
 
-    return classifiers.learning_curve(data, "doc_id", make, pieces=4, folds=5)
+    return classifiers.learning_curve(data, "doc_id", make, folds=5)
 
 
 @query("m16_prior_weights", "SELECT doc_id, CASE quality WHEN 0 THEN 0.99::DOUBLE ELSE 0.01::DOUBLE END AS weight FROM labels")

@@ -1,8 +1,11 @@
 """Registered queries ask for the whole job, not for a part of it."""
 
+import inspect
+
 import pytest
 
 import __spark_entry__ as entry
+from murmurline.ml import classifiers
 from murmurline.operators import bootstrap
 
 SF = "/root/testdata/sf0.001"
@@ -29,3 +32,17 @@ def asked_of(monkeypatch, module, name, query, spark):
 def test_stability_sweep_is_the_reference_sweep(spark, monkeypatch):
     _, asked = asked_of(monkeypatch, bootstrap, "stability", "c6_stability_sweep", spark)
     assert asked["percents"] == list(range(11, 101)) and asked["samples"] == 100
+
+
+def test_tfidf_classifier_fits_to_the_end(spark, monkeypatch):
+    (estimator, *_), _ = asked_of(monkeypatch, classifiers, "tfidf_pipeline", "m1_tfidf_classifier", spark)
+    assert estimator.getMaxIter() == 100
+
+
+def test_learning_curve_has_all_sizes_and_iterations(spark, monkeypatch):
+    curve = inspect.signature(classifiers.learning_curve)
+    args, kwargs = asked_of(monkeypatch, classifiers, "learning_curve", "m15_learning_curve", spark)
+    bound = curve.bind(*args, **kwargs)
+    bound.apply_defaults()
+    assert bound.arguments["pieces"] == 10 and bound.arguments["folds"] == 5
+    assert bound.arguments["make_pipeline"](5).getStages()[-1].getMaxIter() == 100
