@@ -5,7 +5,8 @@ share of all words; a source gives at most ``MAX_EPOCHS`` times its size, and wh
 weight. A source's documents stand in a fixed pseudo-random order and are read through again and again until its target
 is met; the last document may be taken in part, so each source meets its target to the word. The demand for a source up
 to time u is its target times the integral of its schedule; inverting it turns the words taken so far into a training
-position. Rows come out range-sorted by position.
+position. Rows come out range-sorted by position. ``mix`` has a row per document, with the position of its first pass
+(also where nothing is taken); ``passes`` and ``take`` have a row per pass that is taken, each at its own position.
 
 Prefix sums run over range partitions ordered by (source, hash of the document), so a source with a third of all rows
 is spread over as many tasks as its share needs. Sources are a table of their own: they are numbered and their targets
@@ -88,12 +89,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return table.withColumn("target", F.when(full, cap).otherwise(asked).cast("double"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS,
-        schedules: tuple[Schedule, ...] = SCHEDULES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Per document: the columns ``keep``, size, source_size, target, taken and position, range-sorted by position.
-
-    ``position`` is the training time, 0 to 1, of the middle of the document's first pass.
-    """
+def _laid(docs: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float, schedules: tuple[Schedule, ...],
+          keep: tuple[str, ...]) -> DataFrame:
+    """Per document: ``keep``, size, before (words of its source's earlier documents), source_size, slope and target."""
     sizes = docs.select(*keep, "source", word_count(F.col("text")).alias("size"))
     keyed = sizes.withColumn("_md5", F.md5(F.col("doc_id").cast("string")))
     ordered = cut_lineage(ordered_parts(
@@ -102,38 +100,66 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
         by=F.col("source")), "mixed")
     targets = source_targets(ordered, weights, share, max_epochs, schedules)
     t = targets.select(F.col("source").alias("_s"), "source_size", "slope", "target")
-    joined = ordered.join(t, F.col("source").eqNullSafe(F.col("_s")))
+    return ordered.join(t, F.col("source").eqNullSafe(F.col("_s")))
+
+
+def _position(words: Column) -> Column:
+    """The training time at which a source's demand reaches ``words``."""
+    return F.round(_invert(F.least(words / F.greatest("target", F.lit(1.0)), F.lit(1.0)), F.col("slope")), 9)
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS,
+        schedules: tuple[Schedule, ...] = SCHEDULES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per document: the columns ``keep``, size, source_size, target, taken and position, range-sorted by position.
+
+    ``position`` is the training time, 0 to 1, of the middle of the document's first pass.
+    """
+    joined = _laid(docs, weights, share, max_epochs, schedules, keep)
     asked = F.floor("target")
     passes = F.floor(asked / F.col("source_size"))
     rest = asked - passes * F.col("source_size")
     taken = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(
         passes * F.col("size") + F.least(F.greatest(rest - F.col("before"), F.lit(0)), F.col("size"))).cast("long")
-    first = F.least((F.col("before") + F.col("size") / 2) / F.greatest("target", F.lit(1.0)), F.lit(1.0))
     out = joined.select(*keep, "size", "source_size", "target", taken.alias("taken"),
-                        F.round(_invert(first, F.col("slope")), 9).alias("position"))
+                        _position(F.col("before") + F.col("size") / 2).alias("position"))
     return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
+def passes(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS,
+           schedules: tuple[Schedule, ...] = SCHEDULES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per document and pass over it: the columns ``keep``, size, pass (from 0), words and position, in no order.
+
+    ``words`` is what the pass takes, the whole size or, in the last pass over a source, its first words; passes that
+    take nothing have no row. ``position`` is that of the middle of the document in this pass.
+    """
+    joined = _laid(docs, weights, share, max_epochs, schedules, keep).where("size > 0")
+    asked = F.floor("target")
+    full = F.floor(F.try_divide(asked, F.col("source_size")))
+    last = F.least(F.greatest(asked - full * F.col("source_size") - F.col("before"), F.lit(0)), F.col("size")).cast("long")
+    rows = joined.withColumns({"_full": full.cast("int"), "_last": last}).withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("_full"))))
+    words = F.when(F.col("pass") < F.col("_full"), F.col("size")).otherwise(F.col("_last"))
+    read = F.col("pass") * F.col("source_size") + F.col("before") + F.col("size") / 2
+    return rows.select(*keep, "size", "pass", words.alias("words"), _position(read).alias("position")).where("words > 0")
+
+
 def take(docs: DataFrame, **parameters) -> DataFrame:
     """The mix as documents: every pass over a document is a row, and a last part holds its first words joined by spaces.
 
-    Rows equal in doc_id, source and text are taken together. A column ``n_chars`` is set to the characters of the row.
+    Rows are range-sorted by the position of their pass, which is not a column of the result. Rows equal in doc_id,
+    source and text are interchangeable. A column ``n_chars`` is set to the characters of the row.
     """
     names = docs.columns
     keyed = docs.withColumn("_key", F.xxhash64("text", "source"))
-    mixed = mix(keyed, keep=("doc_id", "_key"), **parameters).groupBy("doc_id", "_key").agg(
-        F.sum("taken").alias("_taken"), F.first("size").alias("_size")).where("_taken > 0").withColumnRenamed("doc_id", "_doc")
+    taken = passes(keyed, keep=("doc_id", "_key"), **parameters).select(
+        F.col("doc_id").alias("_doc"), F.col("_key").alias("_taken_key"), F.col("words").cast("int").alias("_words"),
+        (F.col("words") == F.col("size")).alias("_whole"), F.col("position").alias("_position"))
     once = keyed.dropDuplicates(["doc_id", "_key"])
-    mixed = mixed.withColumnRenamed("_key", "_mixed_key")
-    joined = once.join(mixed, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_mixed_key")))
-    passes, rest = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
-    rows = joined.withColumn("_words", F.explode(F.concat(
-        F.array_repeat(F.lit(-1), passes), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))))
+    rows = once.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_taken_key")))
     words = F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
-    cut = rows.withColumn("text", F.when(F.col("_words") < 0, F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("_words")), " ")))
+    cut = rows.withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("_words")), " ")))
     if "n_chars" in names:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(*names)
+    return cut.repartitionByRange("_position", "doc_id").sortWithinPartitions("_position", "doc_id").select(*names)
 
 
 # Rounds of the targets in SQL: after as many rounds as there are weights groups and sources the fixed point is reached.

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 from collections import Counter
@@ -159,6 +160,33 @@ def test_mixed_documents_hold_the_taken_words(docs):
     assert taken == +want
 
 
+def test_every_pass_stands_at_its_own_position(docs):
+    rng = random.Random(9)
+    texts = [f"d{i} " + words(rng.randrange(1, 60)) for i in range(60)] + [None, "", "é x"]
+    sources = [rng.choice(["a", "b", "b", "b", "c", None]) for _ in texts]
+    df, slopes, want = docs(texts, sources=sources), {}, []
+    for k, s in enumerate(sorted(set(sources), key=lambda s: (s is None, s or ""))):
+        slopes[s] = M.SCHEDULES[k % 3].slope
+    target = {sources[r["doc_id"]]: r["target"] for r in M.mix(df).collect()}
+    found = [SPLIT.findall(t or "") for t in texts]
+    for s, a in slopes.items():
+        mine = sorted((i for i in range(len(texts)) if sources[i] == s), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+        left, read = int(target[s]), 0
+        while left > 0:
+            for i in mine:
+                n = min(len(found[i]), left)
+                share = min((read + len(found[i]) / 2) / max(target[s], 1.0), 1.0)
+                if n:
+                    u = round(2 * share / ((1 - a) + ((1 - a) ** 2 + 4 * a * share) ** 0.5), 9)
+                    want.append((u, i, texts[i] if n == len(found[i]) else " ".join(found[i][:n])))
+                left, read = left - n, read + len(found[i])
+    assert len(want) > len({i for _, i, _ in want}) > 30
+    got = [(r["doc_id"], r["text"]) for r in M.take(df).collect()]
+    assert got == [(i, t) for _, i, t in sorted(want)]
+    at = {(r["doc_id"], r["words"], r["position"]) for r in M.passes(df).collect()}
+    assert at == {(i, len(SPLIT.findall(t)), u) for u, i, t in want}
+
+
 def test_mix_of_nothing(docs):
     assert M.mix(docs([])).count() == 0
     assert [r["taken"] for r in M.mix(docs([None, ""])).collect()] == [0, 0]
