@@ -7,6 +7,7 @@ autocorrelations; Spark distributes the segments.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmurline.operators.correlation import acf_arrays, levinson
+from murmurline.operators.ranking import stable_hash
+from murmurline.session import cut_lineage
 
 _FIT = "order int, coefficients array<double>, variance double"
 
@@ -131,25 +134,65 @@ def lasso_autoregression(arrays: DataFrame, lags: int = 50, step: int | None = 4
     return arrays.select(*keys, _lasso_udf(lags, step, fraction)("xs").alias("coefficients"))
 
 
-def lasso_cross_validation(lagged: DataFrame, grid: list[float], folds: int = 10, seed: int = 1,
-                           parallelism: int = 8):
-    """Pooled lasso over a grid of penalties with k-fold validation by Spark ML.
+_SCORED = "fold int, step int, penalty double, mse double, intercept double, coefficients array<double>"
 
-    Returns (penalty, mean squared error) rows and the model refitted with the best.
+
+def row_folds(lagged: DataFrame, folds: int, seed: int = 1) -> DataFrame:
+    """``lagged`` with ``fold``, 1 to ``folds``, by a hash of series and row."""
+    at = stable_hash(F.concat_ws("|", "series_id", F.col("row").cast("string")), seed)
+    return lagged.withColumn("fold", (F.pmod(at, F.lit(folds)) + 1).cast("int"))
+
+
+def _products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per fold, the sums of products of all pairs of (lags, y, 1), as rows (fold, at, product)."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for fold, rows in batch.groupby("fold"):
+            z = np.column_stack([np.stack(rows["features"].to_numpy()), rows["y"], np.ones(len(rows))]).astype(float)
+            held[fold] = held.get(fold, 0.0) + z.T @ z
+    for fold, m in held.items():
+        yield pd.DataFrame({"fold": np.full(m.size, fold, "int32"), "at": np.arange(m.size, dtype="int32"), "product": m.ravel()})
+
+
+def _score_path(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Every step of the path over the training rows of a fold, with its mean squared error on the held rows."""
+    pdf = pdf.sort_values("at")
+    p = math.isqrt(len(pdf)) - 2
+    train, held = (pdf[c].to_numpy(float).reshape(p + 2, p + 2) for c in ("train", "held"))
+    n, mean = train[-1, -1], train[-1, :-1] / max(train[-1, -1], 1.0)
+    centred = train[:-1, :-1] - n * np.outer(mean, mean)
+    gram, target = centred[:p, :p], centred[:p, p]
+    rows = []
+    for step, beta in enumerate(lasso_path(gram, target, 8 * p), 1):
+        off = mean[p] - mean[:p] @ beta
+        v = np.concatenate([beta, [-1.0, off]])
+        rows.append((step, np.abs(target - gram @ beta).max() / n, v @ held @ v / held[-1, -1], off, beta))
+    out = pd.DataFrame(rows, columns=["step", "penalty", "mse", "intercept", "coefficients"])
+    out.insert(0, "fold", pdf["fold"].iloc[0])
+    return out
+
+
+def lasso_cross_validation(lagged: DataFrame, folds: int = 10, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Pooled lasso over the lags: every step of the path with k-fold validation.
+
+    Returns (step, penalty, mse, mse_error) rows, and (step, penalty, intercept, coefficients) of the step with the least
+    error. Steps and penalties are those of the path over all rows, the empty model being step 1; the error is the mean
+    over the folds of that step of the fold's own path (its last one, if that path is shorter). Lags are not scaled.
+    Spark sums the products of each fold; a solve sees the sums of one fold.
     """
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import LinearRegression
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
-    data = lagged.select(array_to_vector("features").alias("features"), F.col("y").alias("label"))
-    lr = LinearRegression(elasticNetParam=1.0, standardization=False)
-    params = ParamGridBuilder().addGrid(lr.regParam, grid).build()
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=params, evaluator=RegressionEvaluator(metricName="mse"),
-                        numFolds=folds, seed=seed, parallelism=parallelism)
-    model = cv.fit(data)
-    rows = [(float(g), float(m)) for g, m in zip(grid, model.avgMetrics)]
-    return lagged.sparkSession.createDataFrame(rows, "penalty double, mse double"), model.bestModel
+    rows = row_folds(lagged.where("y IS NOT NULL"), folds, seed).select("fold", "features", "y")
+    sums = rows.mapInPandas(_products, "fold int, at int, product double").groupBy("fold", "at").agg(F.sum("product").alias("held"))
+    rest = sums.withColumn("train", F.sum("held").over(Window.partitionBy("at")) - F.col("held"))
+    whole = sums.groupBy("at").agg(F.sum("held").alias("held")).select(F.lit(0).alias("fold"), "at", "held", F.col("held").alias("train"))
+    paths = cut_lineage(rest.unionByName(whole).groupBy("fold").applyInPandas(_score_path, _SCORED), "paths")
+    path = paths.where("fold = 0").select("step", "penalty", "intercept", "coefficients")
+    ends = paths.where("fold > 0").groupBy("fold").agg(F.max("step").alias("_end"))
+    at = path.select("step", "penalty").crossJoin(ends).withColumn("_at", F.least("step", "_end"))
+    errors = at.join(paths.select("fold", F.col("step").alias("_at"), "mse"), ["fold", "_at"])
+    scores = errors.groupBy("step", "penalty").agg(
+        F.avg("mse").alias("mse"), F.sqrt(F.var_samp("mse") / F.count("*")).alias("mse_error"))
+    best = path.join(scores.orderBy("mse", "step").limit(1).select("step"), "step")
+    return scores, best
 
 
 # Level-stationarity quantiles of the KPSS statistic.

@@ -243,7 +243,7 @@ def n15f(spark, sf):
 @query("n15_lasso_ar_cross_validation")
 def n15cv(spark, sf):
     st = series.seasonal_log_difference(share(spark, sf), shift=0.01)
-    scores, _ = AR.lasso_cross_validation(series.lag_matrix(st, 50), [0.001, 0.01, 0.1], folds=10)
+    scores, _ = AR.lasso_cross_validation(series.lag_matrix(st, 50), folds=10)
     return scores
 
 

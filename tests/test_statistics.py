@@ -48,6 +48,34 @@ def test_lasso_path_meets_its_conditions():
         assert (np.abs(c) <= level + 1e-8).all()
 
 
+def test_cross_validation_scores_every_step_of_the_path(spark):
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=(120, 6))
+    y = 3 + a @ [2.0, 0, -1, 0, 0.3, 0] + rng.normal(size=120)
+    df = spark.createDataFrame([("s", i, [float(v) for v in a[i]], float(y[i])) for i in range(120)],
+                               "series_id string, row int, features array<double>, y double").repartition(3)
+    fold = {r["row"]: r["fold"] for r in autoregression.row_folds(df, 4).collect()}
+    fold = np.array([fold[i] for i in range(120)])
+
+    def path(x, t):
+        x0, t0 = x.mean(axis=0), t.mean()
+        return [(t0 - x0 @ b, b) for b in autoregression.lasso_path((x - x0).T @ (x - x0), (x - x0).T @ (t - t0), 48)]
+
+    whole, errors = path(a, y), []
+    for k in range(1, 5):
+        held, own = fold == k, path(a[fold != k], y[fold != k])
+        own += own[-1:] * (len(whole) - len(own))
+        errors.append([np.mean((y[held] - off - a[held] @ b) ** 2) for off, b in own[:len(whole)]])
+    scores, best = autoregression.lasso_cross_validation(df, folds=4)
+    got = sorted(scores.collect(), key=lambda r: r["step"])
+    assert [r["step"] for r in got] == list(range(1, len(whole) + 1)) and len(whole) >= 7
+    assert np.allclose([r["mse"] for r in got], np.mean(errors, axis=0))
+    assert np.allclose([r["mse_error"] for r in got], np.std(errors, axis=0, ddof=1) / 2)
+    chosen = int(np.argmin(np.mean(errors, axis=0)))
+    (row,) = best.collect()
+    assert row["step"] == chosen + 1 and np.allclose(row["coefficients"], whole[chosen][1]) and np.isclose(row["intercept"], whole[chosen][0])
+
+
 def test_full_lasso_path_ends_in_least_squares():
     rng = np.random.default_rng(5)
     a, y = rng.normal(size=(50, 6)), rng.normal(size=50)
