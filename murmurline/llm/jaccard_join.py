@@ -301,9 +301,13 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """The document with the least doc_id of each group of near copies (rows of one doc_id all stay)."""
-    firsts = join(docs, n, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(firsts, "doc_id", "left_semi").select(*docs.columns)
+    """The document with the least doc_id of each group of near copies (rows of one doc_id all stay).
+
+    Rows without a doc_id cannot be told apart by it: they all stay and stand for no other document.
+    """
+    named, unnamed = docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL")
+    firsts = join(named, n, percent).where("doc_id = component_id").select("doc_id").distinct()
+    return named.join(firsts, "doc_id", "left_semi").select(*docs.columns).unionByName(unnamed)
 
 
 def sql(source: str = "documents", n: int = N, percent: int = PERCENT) -> str:

@@ -84,6 +84,13 @@ def test_keep_one_keeps_columns(docs):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 3, 4]
 
 
+def test_keep_one_keeps_rows_without_id(docs):
+    one, two = words(30), words(40, 100)
+    df = docs([one, one, two, None, one + " tail", two], ids=[None, 5, None, None, 7, 6])
+    assert sorted(((r["doc_id"], r["text"]) for r in J.keep_one(df).collect()), key=str) == sorted(
+        [(None, one), (None, two), (None, None), (5, one), (6, two)], key=str)
+
+
 def test_join_of_nothing(docs):
     assert J.join(docs([])).count() == 0
     assert J.join(docs([None])).first()["component_id"] == 0
