@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -47,6 +48,18 @@ def _batch(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
+def sliced(batches: Iterable[pa.RecordBatch], size: int = STEP_BYTES, rows: int = 2000, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows and about ``size`` bytes of text; a longer text is a slice of its own."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+            end = min(max(end, at + 1), at + rows)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def binaries(column) -> list[bytes | None]:
     """The UTF-8 bytes of an Arrow string column."""
     return column.cast(pa.binary()).to_pylist()

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmurline.llm import bpe, jaccard_join, langid, license_scan, mixing, quality_rules, rans, substring_dedup, token_counts, topk
+from murmurline.llm import (bpe, decontaminate, dual_tree_codes, jaccard_join, langid, license_scan, mixing, periodic_runs, quality_rules, rans,
+                            substring_dedup, token_counts, topk)
 from murmurline.llm.common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +58,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Build] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
@@ -68,6 +81,9 @@ QUERIES: dict[str, Build] = {
     "op8_language_id": op8_language_id,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_token_counts": op10_token_counts,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_decontaminate": op13_decontaminate,
 }
 SQL: dict[str, str] = {
     "op2_quality_rules": quality_rules.SQL,
@@ -75,4 +91,7 @@ SQL: dict[str, str] = {
     "op5_mix_sources": mixing.SQL,
     "op6_jaccard_join": jaccard_join.SQL,
     "op7_substring_dedup": substring_dedup.SQL,
+    "op11_vector_codes": dual_tree_codes.SQL,
+    "op12_periodic_runs": periodic_runs.SQL,
+    "op13_decontaminate": decontaminate.SQL,
 }
