@@ -14,39 +14,30 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmurline.operators.correlation import acf_arrays, levinson
+from murmurline.operators.correlation import acf_arrays, durbin
 from murmurline.operators.ranking import stable_hash
+from murmurline.operators.series import lag_matrix
 from murmurline.session import cut_lineage
 
-_FIT = "order int, coefficients array<double>, variance double"
-
-
-def _yule_walker_udf(order_max: int):
-    @F.pandas_udf(_FIT)
-    def fit(acf: pd.Series, n: pd.Series, variance: pd.Series) -> pd.DataFrame:
-        r, n, c0 = np.stack(acf.to_numpy()).astype(float), n.to_numpy(float), variance.to_numpy(float)
-        rows = len(r)
-        best = n * np.log(c0)
-        order, var, coef = np.zeros(rows, int), c0.copy(), np.zeros((rows, order_max))
-        for m, phi, err in levinson(r):
-            with np.errstate(divide="ignore", invalid="ignore"):
-                aic = n * np.log(c0 * err) + 2 * m
-            better = aic < best
-            best = np.where(better, aic, best)
-            order, var = np.where(better, m, order), np.where(better, c0 * err, var)
-            coef[better] = 0.0
-            coef[better, :m] = phi[better]
-        return pd.DataFrame({"order": order.astype("int32"), "coefficients": list(coef),
-                             "variance": var * n / (n - order - 1)})
+def yule_walker(series: DataFrame, order_max: int = 25) -> DataFrame:
+    """Order by AIC, coefficients padded with zeros to ``order_max``, innovation variance.
 
-    return fit
+    One fold over a row's autocorrelations: every order's solution comes from
+    the one before, and the order of least AIC so far is carried along.
+    """
+    n, c0 = F.col("n").cast("double"), F.col("variance")
+    none = F.array().cast("array<double>")
+    first = F.struct((n * F.ln(c0)).alias("aic"), F.lit(0).alias("order"), none.alias("phi"), F.lit(1.0).alias("err"))
 
+    def better(best, m, phi, err):
+        aic = n * F.ln(c0 * err) + 2 * m
+        return F.when(aic < best["aic"], F.struct(aic.alias("aic"), m.alias("order"), phi.alias("phi"), err.alias("err"))).otherwise(best)
 
-def yule_walker(series: DataFrame, order_max: int = 25) -> DataFrame:
-    """Order by AIC, coefficients padded with zeros to ``order_max``, innovation variance."""
-    fit = _yule_walker_udf(order_max)
-    return acf_arrays(series, order_max).select("series_id", "n", fit("acf", "n", "variance").alias("f")).select(
-        "series_id", "n", "f.*")
+    fitted = durbin(F.col("acf"), order_max, {"best": (first, better)})["best"]
+    rows = acf_arrays(series, order_max).select("series_id", "n", "variance", fitted.alias("f"))
+    padded = F.concat(F.col("f.phi"), F.array_repeat(F.lit(0.0), F.lit(order_max) - F.col("f.order")))
+    return rows.select("series_id", "n", F.col("f.order").alias("order"), padded.alias("coefficients"),
+                       (F.col("variance") * F.col("f.err") * F.col("n") / (F.col("n") - F.col("f.order") - 1)).alias("variance"))
 
 
 def default_order(n: int) -> int:
@@ -97,41 +88,39 @@ def lasso_path(gram: np.ndarray, target: np.ndarray, steps: int) -> list[np.ndar
     return path
 
 
-def _lasso_udf(lags: int, step: int | None, fraction: float | None):
-    @F.pandas_udf("array<double>")
-    def fit(values: pd.Series) -> pd.Series:
-        out = []
-        for xs in values:
-            x = np.asarray(xs, float)
-            rows = np.lib.stride_tricks.sliding_window_view(x, lags)[:-1]
-            y = x[lags:]
-            rows, y = rows - rows.mean(axis=0), y - y.mean()
-            path = lasso_path(rows.T @ rows, rows.T @ y, step - 1 if step is not None else 8 * lags)
-            if step is not None:
-                out.append(path[min(step, len(path)) - 1])
-                continue
-            sizes = np.array([np.abs(b).sum() for b in path])
-            want = fraction * sizes[-1]
-            k = int(np.searchsorted(sizes, want))
-            low, high = path[max(k - 1, 0)], path[min(k, len(path) - 1)]
-            gap = sizes[min(k, len(path) - 1)] - sizes[max(k - 1, 0)]
-            out.append(low + (high - low) * ((want - sizes[max(k - 1, 0)]) / gap if gap > 0 else 0.0))
-        return pd.Series(out)
-
-    return fit
-
-
-def lasso_autoregression(arrays: DataFrame, lags: int = 50, step: int | None = 4,
-                         fraction: float | None = None) -> DataFrame:
-    """Lasso coefficients of the lag matrix of each array, oldest lag first.
+def _path_point(path: list[np.ndarray], step: int | None, fraction: float | None) -> np.ndarray:
+    """The solution at a breakpoint (from 1), or at a share of the largest L1 norm."""
+    if step is not None:
+        return path[min(step, len(path)) - 1]
+    sizes = np.array([np.abs(b).sum() for b in path])
+    want = fraction * sizes[-1]
+    k = min(int(np.searchsorted(sizes, want)), len(path) - 1)
+    low, gap = path[max(k - 1, 0)], sizes[k] - sizes[max(k - 1, 0)]
+    return low + (path[k] - low) * ((want - sizes[max(k - 1, 0)]) / gap if gap > 0 else 0.0)
+
+
+def _centred(products: np.ndarray) -> np.ndarray:
+    """Sums of products about the means, from sums of products (..., p, p) of columns of which the last is 1."""
+    n, total = products[..., -1, -1], products[..., -1, :-1]
+    return products[..., :-1, :-1] - total[..., :, None] * total[..., None, :] / n[..., None, None]
+
+
+def lasso_autoregression(lines: DataFrame, lags: int = 50, step: int | None = 4, fraction: float | None = None) -> DataFrame:
+    """Lasso coefficients of the lag matrix of each series, oldest lag first.
 
     ``step`` numbers the breakpoints of the path, the empty model being step 1;
     ``fraction`` takes the solution whose L1 norm is that share of the largest.
+    Spark sums the products of the lag columns; a solve sees the sums alone.
     """
     if (step is None) == (fraction is None):
         raise ValueError("give either step or fraction")
-    keys = [c for c in arrays.columns if c != "xs"]
-    return arrays.select(*keys, _lasso_udf(lags, step, fraction)("xs").alias("coefficients"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        z = _centred(pdf.sort_values("at")["product"].to_numpy(float).reshape(lags + 2, lags + 2))
+        path = lasso_path(z[:lags, :lags], z[:lags, lags], step - 1 if step is not None else 8 * lags)
+        return pd.DataFrame({"series_id": [pdf["key"].iloc[0]], "coefficients": [_path_point(path, step, fraction)]})
+
+    return summed_products(lag_matrix(lines, lags), "series_id").groupBy("key").applyInPandas(solve, "series_id string, coefficients array<double>")
 
 
 _SCORED = "fold int, step int, penalty double, mse double, intercept double, coefficients array<double>"
@@ -143,15 +132,22 @@ def row_folds(lagged: DataFrame, folds: int, seed: int = 1) -> DataFrame:
     return lagged.withColumn("fold", (F.pmod(at, F.lit(folds)) + 1).cast("int"))
 
 
-def _products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per fold, the sums of products of all pairs of (lags, y, 1), as rows (fold, at, product)."""
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for fold, rows in batch.groupby("fold"):
-            z = np.column_stack([np.stack(rows["features"].to_numpy()), rows["y"], np.ones(len(rows))]).astype(float)
-            held[fold] = held.get(fold, 0.0) + z.T @ z
-    for fold, m in held.items():
-        yield pd.DataFrame({"fold": np.full(m.size, fold, "int32"), "at": np.arange(m.size, dtype="int32"), "product": m.ravel()})
+def summed_products(rows: DataFrame, key: str, kind: str = "string") -> DataFrame:
+    """(key, at, product): sums over each key's rows of the products of all pairs of (features..., y, 1), row by row.
+
+    Tasks sum their own rows; Spark adds the tasks' sums.
+    """
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for batch in batches:
+            for value, part in batch.groupby("key"):
+                z = np.column_stack([np.stack(part["features"].to_numpy()), part["y"], np.ones(len(part))]).astype(float)
+                held[value] = held.get(value, 0.0) + z.T @ z
+        for value, m in held.items():
+            yield pd.DataFrame({"key": [value] * m.size, "at": np.arange(m.size, dtype="int32"), "product": m.ravel()})
+
+    wanted = rows.where("y IS NOT NULL").select(F.col(key).cast(kind).alias("key"), "features", "y")
+    return wanted.mapInPandas(products, f"key {kind}, at int, product double").groupBy("key", "at").agg(F.sum("product").alias("product"))
 
 
 def _score_path(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -159,8 +155,7 @@ def _score_path(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("at")
     p = math.isqrt(len(pdf)) - 2
     train, held = (pdf[c].to_numpy(float).reshape(p + 2, p + 2) for c in ("train", "held"))
-    n, mean = train[-1, -1], train[-1, :-1] / max(train[-1, -1], 1.0)
-    centred = train[:-1, :-1] - n * np.outer(mean, mean)
+    n, mean, centred = train[-1, -1], train[-1, :-1] / train[-1, -1], _centred(train)
     gram, target = centred[:p, :p], centred[:p, p]
     rows = []
     for step, beta in enumerate(lasso_path(gram, target, 8 * p), 1):
@@ -180,8 +175,7 @@ def lasso_cross_validation(lagged: DataFrame, folds: int = 10, seed: int = 1) ->
     over the folds of that step of the fold's own path (its last one, if that path is shorter). Lags are not scaled.
     Spark sums the products of each fold; a solve sees the sums of one fold.
     """
-    rows = row_folds(lagged.where("y IS NOT NULL"), folds, seed).select("fold", "features", "y")
-    sums = rows.mapInPandas(_products, "fold int, at int, product double").groupBy("fold", "at").agg(F.sum("product").alias("held"))
+    sums = summed_products(row_folds(lagged, folds, seed), "fold", "int").select(F.col("key").alias("fold"), "at", F.col("product").alias("held"))
     rest = sums.withColumn("train", F.sum("held").over(Window.partitionBy("at")) - F.col("held"))
     whole = sums.groupBy("at").agg(F.sum("held").alias("held")).select(F.lit(0).alias("fold"), "at", "held", F.col("held").alias("train"))
     paths = cut_lineage(rest.unionByName(whole).groupBy("fold").applyInPandas(_score_path, _SCORED), "paths")
@@ -236,35 +230,58 @@ DF_TABLE = [
 ]
 
 
-def unit_root_statistic(x: np.ndarray, k: int) -> float:
-    """t value of the lagged level in the augmented regression with constant and trend."""
-    dx = np.diff(x)
-    rows = len(dx) - k
-    lagged = [dx[k - j:k - j + rows] for j in range(1, k + 1)]
-    design = np.column_stack([x[k:k + rows], np.ones(rows), np.arange(k + 1, k + 1 + rows), *lagged])
-    y = dx[k:]
-    inverse = np.linalg.pinv(design.T @ design)
-    beta = inverse @ design.T @ y
-    residual = y - design @ beta
-    sigma = residual @ residual / (rows - design.shape[1])
-    return float(beta[0] / math.sqrt(sigma * inverse[0, 0]))
-
-
-def adf(arrays: DataFrame, k: int | None = None) -> DataFrame:
-    """Augmented Dickey-Fuller statistic and interpolated p-value per array.
-
-    ``k`` lagged differences; by default the cube root of n - 1.
+def unit_root_statistics(products: np.ndarray) -> np.ndarray:
+    """t values of the first column of many regressions with a constant, from their sums of products (series, p, p) of the
+    columns (regressors..., y, 1); one stacked solve."""
+    z = _centred(products)
+    gram, target, total = z[:, :-1, :-1], z[:, :-1, -1], z[:, -1, -1]
+    inverse = np.linalg.pinv(gram, rcond=1e-13, hermitian=True)
+    beta = (inverse @ target[:, :, None])[:, :, 0]
+    rest = total - (beta * target).sum(1)
+    sigma = rest / (products[:, -1, -1] - gram.shape[1] - 1)
+    return beta[:, 0] / np.sqrt(sigma * inverse[:, 0, 0])
+
+
+def unit_root_rows(lines: DataFrame, k: int | None = None) -> DataFrame:
+    """(series_id, n, lags, features, y): the regression of each step on the level before it, the trend and ``lags`` earlier steps."""
+    w = Window.partitionBy("series_id").orderBy("t")
+    steps = lines.select("series_id", "t", "x", F.count("*").over(Window.partitionBy("series_id")).alias("n"), F.row_number().over(w).alias("_t"),
+                         F.lag("x").over(w).alias("_level")).withColumn("_d", F.col("x") - F.col("_level"))
+    if k is None:  # the cube root of n - 1; the frame of the window is that of the longest series
+        wanted = F.floor(F.pow((F.col("n") - 1).cast("double"), F.lit(1 / 3)) + 1e-9).cast("int")
+        longest = lines.groupBy("series_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+        most = int((longest - 1) ** (1 / 3) + 1e-9)
+    else:
+        wanted, most = F.lit(k), k
+    past = F.collect_list("_d").over(w.rowsBetween(-most, -1)) if most else F.array().cast("array<double>")
+    rows = steps.select("series_id", "n", wanted.alias("lags"), "_level", "_t", "_d", past.alias("_past"))
+    rows = rows.where((F.col("_t") > F.col("lags") + 1) & (F.size("_past") >= F.col("lags")))
+    latest = F.slice("_past", F.size("_past") - F.col("lags") + 1, F.col("lags")) if most else F.col("_past")
+    return rows.select("series_id", "n", "lags", F.concat(F.array("_level", F.col("_t").cast("double")), F.reverse(latest)).alias("features"),
+                       F.col("_d").alias("y"))
+
+
+def adf(lines: DataFrame, k: int | None = None) -> DataFrame:
+    """Augmented Dickey-Fuller statistic and interpolated p-value per series.
+
+    ``k`` lagged differences; by default the cube root of n - 1. Spark sums the
+    products of the lag columns; all series of one size are solved together.
     """
-    @F.pandas_udf("statistic double, lags int, p_value double")
-    def test(values: pd.Series) -> pd.DataFrame:
-        out = []
-        for xs in values:
-            x = np.asarray(xs, float)
-            lags = k if k is not None else int((len(x) - 1) ** (1 / 3) + 1e-9)
-            stat = unit_root_statistic(x, lags)
-            quantiles = [np.interp(len(x) - 1, DF_SIZES, row) for row in DF_TABLE]
-            out.append((stat, lags, float(np.interp(stat, quantiles, DF_PROBS))))
-        return pd.DataFrame(out, columns=["statistic", "lags", "p_value"])
-
-    keys = [c for c in arrays.columns if c != "xs"]
-    return arrays.select(*keys, test("xs").alias("r")).select(*keys, "r.*")
+    @F.pandas_udf("statistic double, p_value double")
+    def test(sums: pd.Series, n: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame(np.nan, index=sums.index, columns=["statistic", "p_value"])
+        sizes = sums.map(len)
+        for size in sizes.unique():
+            mine, p = sizes.index[sizes == size], math.isqrt(size)
+            out.loc[mine, "statistic"] = unit_root_statistics(np.stack(sums[mine].to_numpy()).astype(float).reshape(-1, p, p))
+        for i in out.index:
+            quantiles = [np.interp(n[i] - 1, DF_SIZES, row) for row in DF_TABLE]
+            out.loc[i, "p_value"] = np.interp(out.loc[i, "statistic"], quantiles, DF_PROBS)
+        return out
+
+    rows = unit_root_rows(lines, k)
+    packed = summed_products(rows, "series_id").groupBy(F.col("key").alias("series_id")).agg(
+        F.array_sort(F.collect_list(F.struct("at", "product"))).alias("_p"))
+    sizes = rows.groupBy("series_id").agg(F.first("n").alias("n"), F.first("lags").alias("lags"))
+    return packed.join(sizes, "series_id").select("series_id", "lags", test(F.col("_p.product"), "n").alias("r")).select(
+        "series_id", "r.statistic", "lags", "r.p_value")

@@ -24,22 +24,96 @@ def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return items, d
 
 
+def average_merges(d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merges (tree, step) of many distance matrices (tree, item, item) at once, as slots left < right and heights.
+
+    Nearest-neighbour chains, all trees in step: a chain grows from a cluster to its nearest one until two are each
+    other's nearest and join, which average linkage allows in any order. Steps are sorted by height afterwards. A cluster
+    sits in the slot of its least item. A tree costs O(items^2) instead of a search of the whole matrix a step.
+    """
+    trees, n, _ = d.shape
+    d = d.astype(float)
+    d[:, np.arange(n), np.arange(n)] = np.inf
+    size, reached, alive = np.ones((trees, n)), np.zeros((trees, n)), np.ones((trees, n), bool)
+    chain, top, done = np.zeros((trees, n + 1), int), np.zeros(trees, int), np.zeros(trees, int)
+    left, right, height = np.zeros((trees, n - 1), int), np.zeros((trees, n - 1), int), np.zeros((trees, n - 1))
+    at = np.arange(trees)
+    while n > 1 and len(at):
+        fresh = at[top[at] == 0]
+        chain[fresh, 0], top[fresh] = alive[fresh].argmax(1), 1
+        x = chain[at, top[at] - 1]
+        away = d[at, x]
+        near = away.argmin(1)
+        least = away[np.arange(len(at)), near]
+        before = chain[at, np.maximum(top[at] - 2, 0)]
+        mutual = (top[at] > 1) & (away[np.arange(len(at)), before] <= least)
+        grow = ~mutual
+        chain[at[grow], top[at[grow]]] = near[grow]
+        top[at[grow]] += 1
+        t = at[mutual]
+        if not len(t):
+            continue
+        i, j = np.minimum(x[mutual], before[mutual]), np.maximum(x[mutual], before[mutual])
+        # a height that rounding leaves below one of its parts is raised to it, so that sorting keeps parts first
+        reached[t, i] = np.maximum(least[mutual], np.maximum(reached[t, i], reached[t, j]))
+        left[t, done[t]], right[t, done[t]], height[t, done[t]] = i, j, reached[t, i]
+        wi, wj = size[t, i][:, None], size[t, j][:, None]
+        joined = (wi * d[t, i] + wj * d[t, j]) / (wi + wj)
+        d[t, i], d[t, :, i] = joined, joined
+        d[t, i, i] = d[t, j] = np.inf
+        d[t, :, j] = np.inf
+        size[t, i] += size[t, j]
+        alive[t, j] = False
+        top[t] -= 2
+        done[t] += 1
+        at = at[done[at] < n - 1]
+    order = np.argsort(height, axis=1, kind="stable")
+    return tuple(np.take_along_axis(v, order, 1) for v in (left, right, height))
+
+
+def pair_levels(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Step (from 0) at which each pair of items joins (tree, item, item; both triangles), and pairs by (tree, step)."""
+    trees, steps = left.shape
+    label = np.broadcast_to(np.arange(steps + 1), (trees, steps + 1)).copy()
+    level, pairs = np.zeros((trees, steps + 1, steps + 1), np.int16), np.zeros((trees, steps), int)
+    for s in range(steps):
+        a, b = label == left[:, s, None], label == right[:, s, None]
+        both = a[:, :, None] & b[:, None, :]
+        level += np.int16(s) * (both | both.transpose(0, 2, 1))
+        pairs[:, s] = a.sum(1) * b.sum(1)
+        label = np.where(b, left[:, s, None], label)
+    return level, pairs
+
+
+def packed_correlation(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Baker's gamma and the cophenetic correlation of the merges of paired trees, as in :func:`tree_correlation`."""
+    ranks, heights = [], []
+    for left, right, height in (a, b):
+        level, pairs = pair_levels(left, right)
+        upper = np.triu_indices(level.shape[1], 1)
+        flat = level[:, upper[0], upper[1]].astype(int)
+        mean_rank = np.cumsum(pairs, 1) - (pairs - 1) / 2
+        ranks.append(np.take_along_axis(mean_rank, flat, 1))
+        heights.append(np.take_along_axis(height, flat, 1))
+
+    def corr(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        x, y = x - x.mean(1, keepdims=True), y - y.mean(1, keepdims=True)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
+
+    return corr(*ranks), corr(*heights)
+
+
 def _merge_steps(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Average linkage: the two closest clusters join, distances average by size."""
+    """Average linkage of one group; none if a distance is unknown."""
     items, d = _matrix(pdf)
+    if np.isnan(d).any():
+        return pd.DataFrame(columns=["group_id", "step", "left", "right", "height"])
     members = [[int(i)] for i in items]
-    d = d.copy()
-    np.fill_diagonal(d, np.inf)
-    alive = np.ones(len(items), bool)
     rows = []
-    for step in range(1, len(items)):
-        i, j = np.unravel_index(np.argmin(np.where(alive[:, None] & alive[None, :], d, np.inf)), d.shape)
-        rows.append((step, members[i], members[j], float(d[i, j])))
-        wi, wj = len(members[i]), len(members[j])
-        joined = (wi * d[i] + wj * d[j]) / (wi + wj)
-        d[i], d[:, i] = joined, joined
-        d[i, i] = np.inf
-        members[i], alive[j] = members[i] + members[j], False
+    for step, (i, j, h) in enumerate(zip(*(v[0].tolist() for v in average_merges(d[None]))), 1):
+        rows.append((step, members[i], members[j], h))
+        members[i] = members[i] + members[j]
     out = pd.DataFrame(rows, columns=["step", "left", "right", "height"])
     out.insert(0, "group_id", pdf["group_id"].iloc[0])
     return out

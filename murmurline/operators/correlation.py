@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -53,29 +54,41 @@ def acf_arrays(series: DataFrame, max_lag: int) -> DataFrame:
             .select("series_id", "n", "variance", F.col("_p.acf").alias("acf")))
 
 
-def levinson(r: np.ndarray):
-    """Durbin recursion on rows of autocorrelations; yields (order, coefficients, error share)."""
-    rows, width = r.shape
-    phi, err = np.zeros((rows, width - 1)), np.ones(rows)
-    for m in range(1, width):
-        known = phi[:, :m - 1].copy()
-        with np.errstate(divide="ignore", invalid="ignore"):
-            reflection = (r[:, m] - (known * r[:, m - 1:0:-1]).sum(axis=1)) / err
-        phi[:, :m - 1] = known - reflection[:, None] * known[:, ::-1]
-        phi[:, m - 1] = reflection
-        err = err * (1.0 - reflection ** 2)
-        yield m, phi[:, :m].copy(), err.copy()
+def durbin(acf: Column, orders: int, keep: dict[str, tuple[Column, Callable]] | None = None) -> Column:
+    """Durbin's recursion over an array of autocorrelations (lag 0 first), as a fold of array expressions.
 
+    The result is a struct of ``phi`` (coefficients of the last order), ``err`` (its share of the variance) and
+    ``reflections`` (the last coefficient of every order, the partial autocorrelations). ``keep`` adds fields: a first
+    value, and a function of (the field so far, order, phi, err) for its next one.
+    """
+    keep = keep or {}
+    none = F.array().cast("array<double>")
+    start = F.struct(none.alias("phi"), F.lit(1.0).alias("err"), none.alias("reflections"), *[v.alias(k) for k, (v, _) in keep.items()])
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _pacf(acf: pd.Series) -> pd.Series:
-    r = np.stack(acf.to_numpy()).astype(float)
-    return pd.Series(list(np.stack([phi[:, -1] for _, phi, _ in levinson(r)], axis=1)))
+    def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+        """then(value), with the value computed once."""
+        return F.transform(F.array(value), then)[0]
+
+    def step(state: Column, m: Column) -> Column:
+        known = state["phi"]
+        past = F.reverse(F.slice(acf, F.lit(2), m - 1))
+        dot = F.aggregate(F.zip_with(known, past, lambda p, r: p * r), F.lit(0.0), lambda s, v: s + v)
+
+        def with_reflection(k: Column) -> Column:
+            phi = F.concat(F.zip_with(known, F.reverse(known), lambda p, q: p - k * q), F.array(k))
+            err = state["err"] * (F.lit(1.0) - k * k)
+            return bound(F.struct(phi.alias("phi"), err.alias("err")), lambda new: F.struct(
+                new["phi"].alias("phi"), new["err"].alias("err"), F.concat(state["reflections"], F.array(k)).alias("reflections"),
+                *[then(state[name], m, new["phi"], new["err"]).alias(name) for name, (_, then) in keep.items()]))
+
+        return bound((F.element_at(acf, m + 1) - dot) / state["err"], with_reflection)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(orders)), start, step)
 
 
 def pacf_arrays(series: DataFrame, max_lag: int = 48) -> DataFrame:
     """(series_id, pacf) with lags 1..max_lag (W16); the recursion sees only max_lag + 1 numbers a series."""
-    return acf_arrays(series, max_lag).select("series_id", _pacf("acf").alias("pacf"))
+    return acf_arrays(series, max_lag).select("series_id", durbin(F.col("acf"), max_lag)["reflections"].alias("pacf"))
 
 
 def pacf(series: DataFrame, max_lag: int = 48) -> DataFrame:

@@ -56,6 +56,30 @@ def phase_distance(k: int) -> Measure:
     return measure
 
 
+PackedMeasure = Callable[[np.ndarray], np.ndarray]
+
+
+def packed_euclidean(x: np.ndarray) -> np.ndarray:
+    """:func:`euclidean` of all pairs of segments (replicate, segment, position) at once: (replicate, segment, segment)."""
+    total = np.zeros((*x.shape[:2], x.shape[1]))
+    for k in range(x.shape[2]):
+        total += (x[:, :, None, k] - x[:, None, :, k]) ** 2
+    return np.sqrt(total)
+
+
+def packed_phase(k: int) -> PackedMeasure:
+    """:func:`phase_distance` of all pairs of segments at once."""
+
+    def measure(x: np.ndarray) -> np.ndarray:
+        angle = 2 * np.pi * k * np.arange(x.shape[2]) / x.shape[2]
+        re, im = x @ np.cos(angle), -(x @ np.sin(angle))
+        cross = im[:, :, None] * re[:, None, :] - re[:, :, None] * im[:, None, :]
+        dot = re[:, :, None] * re[:, None, :] + im[:, :, None] * im[:, None, :]
+        return np.abs(np.arctan2(cross, dot)) / (2 * np.pi)
+
+    return measure
+
+
 def segment_pairs(segments: DataFrame, full: bool = False, value: str = "xs") -> DataFrame:
     """(group_id, a, b, xa, xb) for every pair of segments of a group."""
     # One row per (group, seg) and seg within the calendar: the list is bounded before it is built.

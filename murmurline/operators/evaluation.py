@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmurline.operators.ranking import offsets_before, order_buckets
+from murmurline.operators.ranking import in_order
 from murmurline.session import cut_lineage
 
 
@@ -54,134 +54,92 @@ def cohen_kappa(df: DataFrame, a: str = "y", b: str = "yhat") -> DataFrame:
         "n", "observed", "expected", ((F.col("observed") - F.col("expected")) / (1 - F.col("expected"))).alias("kappa"))
 
 
-def _ranked_points(df: DataFrame, score: str, y: str, buckets: int | None) -> DataFrame:
-    counts = df.groupBy(F.col(score).alias("score")).agg(
+def _counted(df: DataFrame, score: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., score, p, n): positive and negative rows of every score; ties and copies collapse here."""
+    return df.groupBy(*by, F.col(score).alias("score")).agg(
         F.sum(F.col(y).cast("long")).alias("p"), F.sum(1 - F.col(y).cast("long")).alias("n"))
-    counts = cut_lineage(counts, "score-counts")  # read again for splits, bucket sums and the curve
-    placed = order_buckets(counts.withColumn("_down", -F.col("score")), "_down", buckets)
-    sums = placed.groupBy("_bucket").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    before = offsets_before(sums, "_bucket", ["p", "n"])
-    w = Window.partitionBy("_bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return placed.join(F.broadcast(before), "_bucket").select(  # one row per bucket, at most 4,097
-        "_bucket", "score", "p", "n", (F.sum("p").over(w) + F.col("p_before")).alias("tp"),
-        (F.sum("n").over(w) + F.col("n_before")).alias("fp"))
-
-
-def roc_points(df: DataFrame, score: str = "score", y: str = "y", buckets: int | None = None, bends: bool = False) -> DataFrame:
-    """Cumulative true and false positives at every distinct score.
-
-    Scores are counted first, so ties and copies collapse before the ordered
-    sums; those run per score bucket and earlier buckets are added as offsets.
-    ``bends`` adds a flag that is false inside straight stretches of the curve.
-    """
-    points = _ranked_points(df, score, y, buckets)
-    if not bends:
-        return points.drop("_bucket")
-    w = Window.partitionBy("_bucket").orderBy(F.desc("score"))
-    heads = points.groupBy("_bucket").agg(F.max_by(F.struct("p", "n"), "score").alias("head"))
-    following = heads.select("_bucket", F.lead("head").over(_few_buckets()).alias("head"))
-    step = F.coalesce(F.lead(F.struct("p", "n")).over(w), F.col("head"))
-    first = (F.col("tp") == F.col("p")) & (F.col("fp") == F.col("n"))
-    rows = points.join(F.broadcast(following), "_bucket").withColumn("_step", step)
-    keep = F.col("_step").isNull() | first | (F.col("_step.p") != F.col("p")) | (F.col("_step.n") != F.col("n"))
-    return rows.select("score", "p", "n", "tp", "fp", keep.alias("bend"))
 
 
-def _few_buckets():
-    """Order over bucket summaries, at most one row per bucket."""
-    return Window.partitionBy(F.lit(0)).orderBy("_bucket")
+def _curves(counts: DataFrame, by: tuple[str, ...] = (), previous: bool = False) -> DataFrame:
+    """``counts`` with tp and fp, the positives and negatives at this score or above, for all curves in one ordered pass."""
+    placed = in_order(counts, [F.col("score").desc()], by, ("p", "n"), ("p", "n") if previous else ())
+    return placed.select(*[c for c in placed.columns if not c.endswith("_before")],
+                         (F.col("p_before") + F.col("p")).alias("tp"), (F.col("n_before") + F.col("n")).alias("fp"))
+
 
+def roc_points(df: DataFrame, score: str = "score", y: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
+    """Cumulative true and false positives at every distinct score (M10), of each curve ``by``.
+
+    Scores are counted first; the ordered sums run per range of scores, and
+    what higher ranges hold is added.
+    """
+    return _curves(_counted(df, score, y, by), by)
 
-def roc_rates(points: DataFrame) -> DataFrame:
+
+def roc_rates(points: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """False and true positive rates of :func:`roc_points`."""
-    p, n = points.agg(F.max("tp"), F.max("fp")).first()
-    return points.select("score", (F.col("fp") / F.lit(float(n))).alias("fpr"),
-                         (F.col("tp") / F.lit(float(p))).alias("tpr"))
+    whole = points.groupBy(*by).agg(F.max("tp").alias("_p"), F.max("fp").alias("_n"))
+    joined = points.join(whole, list(by)) if by else points.join(F.broadcast(whole))  # one row
+    return joined.select(*by, "score", (F.col("fp") / F.col("_n")).alias("fpr"), (F.col("tp") / F.col("_p")).alias("tpr"))
 
 
-def roc_auc(points: DataFrame) -> DataFrame:
-    """Area under the curve by trapezoids, one row.
+def roc_auc(points: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Area under the curve by trapezoids, one row (M10) or one of each curve.
 
     Each step adds n x (tp - p / 2): no neighbour has to be looked up.
     """
-    return points.agg((F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)) / (F.sum("n") * F.sum("p"))).alias("auc"))
+    return points.groupBy(*by).agg((F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)) / (F.sum("n") * F.sum("p"))).alias("auc"))
 
 
-def roc_by_class(df: DataFrame, scores: dict[int, str], y: str = "y", buckets: int | None = None) -> DataFrame:
+def roc_by_class(df: DataFrame, scores: dict[int, str], y: str = "y") -> DataFrame:
     """(curve, auc) per class, micro and macro.
 
     Each class is one against the rest. The micro curve pools the rows of all
     classes; the macro curve averages the class curves, interpolated at every
-    false positive rate that any of them reaches.
+    false positive rate that any of them reaches. The class is a key: the
+    number of passes does not depend on the number of classes.
     """
     long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("cls"), F.col(s).alias("score"), (F.col(y) == c).cast("int").alias("y"))
+        F.struct(F.lit(str(c)).alias("curve"), F.col(s).alias("score"), (F.col(y) == c).cast("int").alias("y"))
         for c, s in scores.items()])).alias("e")).select("e.*")
-    curves = {c: cut_lineage(roc_points(long.where(F.col("cls") == c), buckets=buckets, bends=True), "curve") for c in scores}
-    out = [roc_auc(p).select(F.lit(str(c)).alias("curve"), "auc") for c, p in curves.items()]
-    out.append(roc_auc(roc_points(long, buckets=buckets)).select(F.lit("micro").alias("curve"), "auc"))
-    out.append(_macro_auc({c: p.where("bend") for c, p in curves.items()}, buckets).select(F.lit("macro").alias("curve"), "auc"))
-    result = out[0]
-    for part in out[1:]:
-        result = result.unionByName(part)
-    return result
+    counts = cut_lineage(_counted(long, "score", "y", ("curve",)), "score-counts")
+    micro = counts.groupBy("score").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).select(F.lit("micro").alias("curve"), "score", "p", "n")
+    points = cut_lineage(_curves(counts.unionByName(micro), ("curve",), previous=True), "curves")
+    macro = _macro_auc(points.where("curve <> 'micro'"), len(scores)).select(F.lit("macro").alias("curve"), "auc")
+    return roc_auc(points, ("curve",)).unionByName(macro)
 
 
-def _corner_points(points: DataFrame) -> DataFrame:
-    """(fpr, low, high): lowest and highest true positive rate at each false positive rate.
+def _corners(points: DataFrame) -> DataFrame:
+    """(curve, fpr, low, high): lowest and highest true positive rate at each false positive rate where a curve bends.
 
-    The curve starts in (0, 0).
+    A curve starts in (0, 0); points inside straight stretches are left out: a
+    row hands on the point before it if its own step differs.
     """
-    rates = roc_rates(points).select("fpr", "tpr")
-    start = rates.sparkSession.range(1).select(F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    return rates.unionByName(start).groupBy("fpr").agg(F.min("tpr").alias("low"), F.max("tpr").alias("high"))
-
-
-def _macro_auc(curves: dict[int, DataFrame], buckets: int | None) -> DataFrame:
+    whole = points.groupBy("curve").agg(F.max("tp").alias("_p"), F.max("fp").alias("_n"))
+    here, back = F.struct("tp", "fp"), F.struct((F.col("tp") - F.col("p")).alias("tp"), (F.col("fp") - F.col("n")).alias("fp"))
+    start = F.col("p_previous").isNull()
+    bend = (F.col("p_previous") != F.col("p")) | (F.col("n_previous") != F.col("n"))
+    last = (F.col("tp") == F.col("_p")) & (F.col("fp") == F.col("_n"))
+    kept = points.join(whole, "curve").select("curve", "_p", "_n", F.explode(F.array_compact(F.array(
+        F.when(start | bend, back), F.when(start | last, here)))).alias("c"))
+    rates = kept.select("curve", (F.col("c.fp") / F.col("_n")).alias("fpr"), (F.col("c.tp") / F.col("_p")).alias("tpr"))
+    return rates.groupBy("curve", "fpr").agg(F.min("tpr").alias("low"), F.max("tpr").alias("high"))
+
+
+def _macro_auc(points: DataFrame, classes: int) -> DataFrame:
     """Area of the averaged curve.
 
     Grid points are all rates of all classes. Between two of its own points a
     class runs straight from the upper value of the left one to the lower value
-    of the right one; at its own points the upper value counts.
+    of the right one; at its own points the upper value counts. The area of an
+    average is the average of areas, and a class's area over the grid is that
+    of its own straight stretches plus, before each rise, a triangle as wide as
+    the gap to the grid point before: neighbours are all that has to be known.
     """
-    classes = list(curves)
-    corners = None
-    for c, p in curves.items():
-        part = _corner_points(p).select(F.lit(c).alias("cls"), "fpr", "low", "high")
-        corners = part if corners is None else corners.unionByName(part)
-    grid = corners.groupBy("fpr").agg(*[F.max(F.when(F.col("cls") == c, F.struct("low", "high"))).alias(f"c{c}") for c in classes])
-    placed = order_buckets(cut_lineage(grid, "rates"), "fpr", buckets)
-    w = Window.partitionBy("_bucket").orderBy("fpr")
-    back = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
-
-    def own(c: int, value: str):
-        return F.when(F.col(f"c{c}").isNotNull(), F.struct("fpr", F.col(f"c{c}.{value}").alias("v")))
-
-    edges = placed.groupBy("_bucket").agg(
-        *[F.max_by(own(c, "high"), F.when(F.col(f"c{c}").isNotNull(), F.col("fpr"))).alias(f"last{c}") for c in classes],
-        *[F.min_by(own(c, "low"), F.when(F.col(f"c{c}").isNotNull(), F.col("fpr"))).alias(f"first{c}") for c in classes],
-        F.min("fpr").alias("start"))
-    over = _few_buckets()
-    carried = edges.select(
-        "_bucket",
-        *[F.last(f"last{c}", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias(f"before{c}") for c in classes],
-        *[F.first(f"first{c}", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias(f"after{c}") for c in classes])
-    rows = placed.join(F.broadcast(carried), "_bucket")
-    mean = F.lit(0.0)
-    for c in classes:
-        left = F.coalesce(F.last(own(c, "high"), ignorenulls=True).over(back), F.col(f"before{c}"))
-        right = F.coalesce(F.first(own(c, "low"), ignorenulls=True).over(ahead), F.col(f"after{c}"))
-        rows = rows.withColumns({f"l{c}": left, f"r{c}": right})
-        step = F.try_divide(F.col("fpr") - F.col(f"l{c}.fpr"), F.col(f"r{c}.fpr") - F.col(f"l{c}.fpr"))
-        line = F.col(f"l{c}.v") + (F.col(f"r{c}.v") - F.col(f"l{c}.v")) * step
-        mean = mean + F.when(F.col(f"c{c}").isNotNull(), F.col(f"c{c}.high")).otherwise(line) / len(classes)
-    averaged = rows.select("_bucket", "fpr", mean.alias("tpr"))
-    averaged = cut_lineage(averaged, "averaged")
-    ends = averaged.groupBy("_bucket").agg(F.max(F.struct("fpr", "tpr")).alias("end"))
-    previous = ends.select("_bucket", F.lag("end").over(over).alias("end"))
-    traced = averaged.join(F.broadcast(previous), "_bucket")
-    last_x = F.coalesce(F.lag("fpr").over(w), F.col("end.fpr"))
-    last_y = F.coalesce(F.lag("tpr").over(w), F.col("end.tpr"))
-    area = traced.select(((F.col("fpr") - last_x) * (F.col("tpr") + last_y) / 2).alias("a"))
-    return area.agg(F.sum("a").alias("auc"))
+    corners = cut_lineage(_corners(points), "corners")
+    grid = in_order(corners.select("fpr").distinct(), [F.col("fpr")], previous=("fpr",)).select("fpr", F.col("fpr_previous").alias("g"))
+    own = in_order(corners, [F.col("fpr")], ("curve",), previous=("fpr", "high"))
+    rows = own.where("fpr_previous IS NOT NULL").join(grid, "fpr")
+    straight = (F.col("fpr") - F.col("fpr_previous")) * (F.col("high_previous") + F.col("low")) / 2
+    rise = (F.col("fpr") - F.col("g")) * (F.col("high") - F.col("low")) / 2
+    return rows.agg((F.sum(straight + rise) / F.lit(float(classes))).alias("auc"))

@@ -1,13 +1,12 @@
 """Exact positions and samples without a single-task window.
 
-A window over a whole table runs in one task. Here rows fall into buckets that
-follow the wanted order, bucket sizes are counted, and the running offset over
-the few buckets is added to a rank taken inside each bucket.
+A window over a whole table runs in one task. Here rows are range-partitioned by
+everything that orders them, ties included, so equal values of one column do not
+share a task; what earlier partitions hold is added to a sum inside each one.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,70 +15,66 @@ from murmurline.session import cut_lineage
 _SLOT_BITS = 10
 
 
-def bucket_count(df: DataFrame) -> int:
-    """Four buckets per shuffle partition, from 64 to 4,096."""
-    return min(4096, max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+def range_parts(df: DataFrame, order: list[Column], by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``_part``, a number that grows with (by, order), written once.
 
-
-def order_buckets(df: DataFrame, order: str, buckets: int | None = None, out: str = "_bucket") -> DataFrame:
-    """Bucket numbers that grow with the numeric column ``order``.
-
-    Split points are approximate quantiles, at most ``buckets`` numbers, so the
-    buckets are of about equal size whatever the distribution of values. The
-    buckets only spread the work: the results do not depend on the splits.
+    Spark samples the bounds, of any sortable types; they only spread the work.
+    Rows equal in all of ``by`` and ``order`` stay together.
     """
-    buckets = buckets or bucket_count(df)
-    placed = df.withColumn("_order", F.col(order).cast("double"))
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(placed.approxQuantile("_order", probs, 1.0 / (4 * buckets))))
-    splits = [float("-inf"), *cuts, float("inf")]
-    return (Bucketizer(splits=splits, inputCol="_order", outputCol=out, handleInvalid="keep")
-            .transform(placed).drop("_order"))
+    ranged = df.repartitionByRange(*[F.col(b) for b in by], *order)
+    return cut_lineage(ranged.withColumn("_part", F.spark_partition_id()), "ordered")
+
 
+def in_order(df: DataFrame, order: list[Column], by: tuple[str, ...] = (), sums: tuple[str, ...] = (),
+             previous: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``<c>_before``, the sum of c over all earlier rows, and ``<c>_previous``, c in the row before (null in the first).
 
-def offsets_before(counts: DataFrame, bucket: str, sums: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
-    """Totals of all earlier buckets; ``counts`` has one row per (keys, bucket)."""
-    w = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(*keys, bucket, *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}_before") for c in sums])
+    Order and sums are those of the rows with the same ``by``. Only partition
+    totals, a row per partition and key in it, meet in one window.
+    """
+    kept = range_parts(df, order, by)
+    w = Window.partitionBy(*by, "_part").orderBy(*order)
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    inside = kept.select("*", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in sums],
+                         *([F.lag(F.struct(*previous)).over(w).alias("_back"), F.row_number().over(w).alias("_row")] if previous else []))
+    last = [F.max_by(F.struct(*previous), "_row").alias("_last")] if previous else []
+    parts = (inside if previous else kept).groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in sums], *last)
+    over = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_part")
+    before = parts.select(*[F.col(b).alias(f"_k_{b}") for b in by], F.col("_part").alias("_p"),
+                          *[F.coalesce(F.sum(f"_s_{c}").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_o_{c}") for c in sums],
+                          *([F.lag("_last").over(over).alias("_from")] if previous else []))
+    same = F.col("_part") == F.col("_p")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_k_{b}"))
+    joined = inside.join(before, same)
+    back = F.when(F.col("_row") == 1, F.col("_from")).otherwise(F.col("_back")) if previous else None
+    return joined.select(*df.columns, *[(F.col(f"{c}_before") + F.col(f"_o_{c}")).alias(f"{c}_before") for c in sums],
+                         *[back[c].alias(f"{c}_previous") for c in previous])
 
 
 def global_position(df: DataFrame, order: str, ties: tuple[str, ...] = (), descending: bool = False,
-                    buckets: int | None = None, out: str = "position") -> DataFrame:
-    """1-based position of every row in the order of a near-unique numeric column.
+                    out: str = "position") -> DataFrame:
+    """1-based position of every row by a column, then ``ties``, then all columns.
 
-    ``df`` is read three times, twice for its order column alone: pass a table,
-    or a frame whose lineage was cut, rather than a long computation.
+    Only rows that are equal in every column share a place in the order; they
+    are numbered among themselves.
     """
-    placed = order_buckets(df, order, buckets)
-    if descending:
-        placed = placed.withColumn("_bucket", -F.col("_bucket"))
-    counts = placed.groupBy("_bucket").agg(F.count("*").alias("n"))
-    before = offsets_before(counts, "_bucket", ["n"])
     first = F.col(order).desc() if descending else F.col(order)
-    w = Window.partitionBy("_bucket").orderBy(first, *ties)
-    return (placed.join(F.broadcast(before), "_bucket")  # one row per bucket, at most 4,097
-                  .withColumn(out, (F.row_number().over(w) + F.col("n_before")).cast("long"))
-                  .drop("_bucket", "n_before"))
-
-
-def byte_order(text: Column) -> Column:
-    """Long that grows with the byte order of a string's first seven bytes."""
-    head = F.hex(F.substring(F.encode(text, "UTF-8"), 1, 7))
-    return F.conv(F.rpad(head, 14, "0"), 16, 10).cast("long")
+    rest = F.xxhash64(*df.columns)
+    placed = in_order(df.withColumn("_one", F.lit(1).cast("long")), [first, *[F.col(t) for t in ties], rest], sums=("_one",))
+    return placed.select(*df.columns, (F.col("_one_before") + 1).alias(out))
 
 
 def sorted_vocabulary(terms: DataFrame, term: str = "term") -> DataFrame:
     """Column number of each distinct term in byte order, from 1."""
-    keyed = cut_lineage(terms.select(term).distinct().withColumn("_key", byte_order(F.col(term))), "vocabulary")
-    return global_position(keyed, "_key", ties=(term,), out="column").drop("_key")
+    return global_position(terms.select(term).distinct(), term, out="column")
 
 
 def percentile_rank(df: DataFrame, order: str, ties: tuple[str, ...], out: str = "percentile") -> DataFrame:
     """(position - 1) / rows in ascending order of ``order``."""
-    df = cut_lineage(df, "ranked")
-    n = df.count()
-    return (global_position(df, order, ties, out="_position")
-            .withColumn(out, (F.col("_position") - 1) / F.lit(float(max(n, 1)))).drop("_position"))
+    placed = cut_lineage(global_position(df, order, ties, out="_position"), "ranked")
+    n = placed.count()
+    return placed.withColumn(out, (F.col("_position") - 1) / F.lit(float(max(n, 1)))).drop("_position")
 
 
 def stable_hash(key: Column, seed: int = 0) -> Column:

@@ -1,62 +1,97 @@
 """Continuous and discrete wavelet transforms per series.
 
-A series is one row with its values as an array (two months of hours at most).
-The continuous transform multiplies its spectrum with the wavelet's response at
-every scale; the discrete pyramid is an array expression.
+Both treat a series as one period of an endless one: what leaves at one end
+comes in at the other. Near the ends of a series, within some two scales, values
+therefore mix its first and last hours; nothing is padded.
+
+The continuous transform multiplies the series' Fourier coefficients with the
+wavelet's response at every scale and sums the products at every hour; the
+discrete pyramid is an array expression.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_POINT = "series_id string, scale_no int, t int, re double, im double"
+from murmurline.operators.spectral import dft
+
+#: (angular frequency, scale) -> response
+Response = Callable[[Column, Column], Column]
+#: Products below this share of a scale's largest one are lost in the rounding of the sum and left out.
+LOST = 1e-18
 
 
-def gaussian2_response(omega: np.ndarray, scale: float) -> np.ndarray:
+def gaussian2_response(omega: Column, scale: Column) -> Column:
     """Second-derivative Gaussian, unit energy."""
     u = omega * scale
-    return np.sqrt(scale) * np.sqrt(8.0 / 3.0) * np.pi ** 0.25 * u ** 2 * np.exp(-0.5 * u ** 2)
+    return F.sqrt(scale) * F.lit(math.sqrt(8.0 / 3.0) * math.pi ** 0.25) * u * u * F.exp(F.lit(-0.5) * u * u)
 
 
-def morlet_response(omega: np.ndarray, scale: float, w0: float = 2 * np.pi) -> np.ndarray:
+def morlet_response(omega: Column, scale: Column, w0: float = 2 * math.pi) -> Column:
     """Complex Morlet, positive frequencies only."""
-    return np.where(omega >= 0, np.exp(-0.5 * (omega * scale - w0) ** 2), 0.0)
-
-
-def even_scales(low: float = 0.05, high: float = 7.0, n: int = 800) -> list[float]:
-    """``n`` scales from ``low`` to ``high`` days, evenly spaced on a log axis, in hours."""
-    return [24.0 * float(s) for s in np.geomspace(low, high, n)]
-
-
-def octave_scales(octaves: int = 7, voices: int = 20) -> list[float]:
-    """Scale number 1.. is octave 1 voice 0; number 43 is octave 3 voice 2."""
-    return [2.0 ** (o + v / voices) for o in range(1, octaves + 1) for v in range(voices)]
-
-
-def cwt(arrays: DataFrame, scales: list[float], response, numbers: list[int] | None = None) -> DataFrame:
-    """(series_id, scale_no, t, re, im) with circular boundary."""
-    wanted = numbers or list(range(1, len(scales) + 1))
-
-    def transform(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for sid, xs in zip(batch["series_id"], batch["xs"]):
-                spectrum = np.fft.fft(np.asarray(xs, float))
-                n = len(spectrum)
-                omega = 2 * np.pi * np.fft.fftfreq(n)
-                for first in range(0, len(wanted), 64):  # bounds the size of one output batch
-                    part = wanted[first:first + 64]
-                    rows = np.fft.ifft(np.stack([spectrum * response(omega, scales[i - 1]) for i in part]), axis=1)
-                    yield pd.DataFrame({
-                        "series_id": sid, "scale_no": np.repeat(np.array(part, "int32"), n),
-                        "t": np.tile(np.arange(1, n + 1, dtype="int32"), len(part)),
-                        "re": rows.real.ravel(), "im": rows.imag.ravel()})
-
-    return arrays.select("series_id", "xs").mapInPandas(transform, _POINT)
+    off = omega * scale - F.lit(w0)
+    return F.when(omega >= 0, F.exp(F.lit(-0.5) * off * off)).otherwise(0.0)
+
+
+def even_scale(number: Column, low: float = 0.05, high: float = 7.0, n: int = 800) -> Column:
+    """Scale ``number`` of ``n`` from ``low`` to ``high`` days, evenly spaced on a log axis, in hours."""
+    return F.lit(24.0 * low) * F.exp((number - 1) * F.lit(math.log(high / low) / (n - 1)))
+
+
+def octave_scale(number: Column, voices: int = 20) -> Column:
+    """Scale 1.. is octave 1 voice 0; number 43 is octave 3 voice 2."""
+    return F.pow(F.lit(2.0), F.lit(1.0) + (number - 1) / F.lit(float(voices)))
+
+
+def cwt(series: DataFrame, numbers: list[int], scale: Callable[[Column], Column], response: Response) -> DataFrame:
+    """(series_id, scale_no, t, re, im) of the listed scales (N19, N20), from rows (series_id, t, x) with t from 1.
+
+    A series of n hours has n / 2 + 1 coefficients, the others being their conjugates. Their products with the responses
+    are rows; those of one series and scale, at most n / 2 + 1, are summed at every hour by one small matrix product.
+    Products that cannot change the sum are left out, which at large scales is nearly all of them.
+    """
+    longest = series.groupBy("series_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    spectrum = dft(series, list(range(longest // 2 + 1))).where(2 * F.col("k") <= F.col("n"))
+    rows = spectrum.withColumn("scale_no", F.explode(F.array(*[F.lit(i) for i in numbers])))
+    omega, s = F.lit(2 * math.pi) * F.col("k") / F.col("n"), scale(F.col("scale_no"))
+    # the coefficient at n / 2 counts as a negative frequency, that at 0 as itself alone
+    plus = F.when(2 * F.col("k") == F.col("n"), 0.0).otherwise(response(omega, s))
+    minus = F.when(F.col("k") == 0, 0.0).otherwise(response(-omega, s))
+    rows = rows.select("series_id", "n", "scale_no", "k", "re", "im", plus.alias("p"), minus.alias("m"))
+    # few bytes but much work: a set number of partitions is not merged again, and serves the window and the grouping
+    rows = rows.repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series_id", "scale_no")
+    size = (F.abs("p") + F.abs("m")) * (F.abs("re") + F.abs("im"))
+    rows = rows.withColumn("_size", size).withColumn("_most", F.max("_size").over(Window.partitionBy("series_id", "scale_no")))
+    rows = rows.where(F.col("_size") >= F.col("_most") * F.lit(LOST))
+    terms = F.struct("k", (F.col("re") * (F.col("p") + F.col("m")) / F.col("n")).alias("a"), (F.col("im") * (F.col("p") + F.col("m")) / F.col("n")).alias("b"),
+                     (F.col("re") * (F.col("p") - F.col("m")) / F.col("n")).alias("c"), (F.col("im") * (F.col("p") - F.col("m")) / F.col("n")).alias("d"))
+    packed = rows.groupBy("series_id", "n", "scale_no").agg(F.collect_list(terms).alias("q")).select(
+        "series_id", "n", "scale_no", *[F.col(f"q.{c}").alias(c) for c in "kabcd"])
+    return packed.mapInArrow(_summed_waves, "series_id string, scale_no int, t int, re double, im double")
+
+
+def _summed_waves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the waves of a series and scale (frequency k; a, b for the real and c, d for the imaginary part) at every hour."""
+    tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            n = row["n"]
+            if n not in tables:
+                turn = 2 * np.pi * np.arange(n) / n
+                tables[n] = np.cos(turn), np.sin(turn)
+            at = np.outer(np.array(row["k"], np.int64), np.arange(n)) % n
+            cos, sin = tables[n][0][at], tables[n][1][at]
+            a, b, c, d = (np.array(row[x], float) for x in "abcd")
+            yield pa.RecordBatch.from_arrays([
+                pa.array([row["series_id"]] * n, pa.string()), pa.array(np.full(n, row["scale_no"], np.int32)),
+                pa.array(np.arange(1, n + 1, dtype=np.int32)), pa.array(a @ cos - b @ sin), pa.array(c @ sin + d @ cos)],
+                names=["series_id", "scale_no", "t", "re", "im"])
 
 
 # Daubechies scaling filter with eight taps.

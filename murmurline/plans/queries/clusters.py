@@ -72,7 +72,7 @@ def c6(spark, sf):
     """The reference sweep: 90 fractions (0.11 to 1.00), 100 paired resamples each."""
     out = bootstrap.stability(
         B.alc_summary(spark, sf).where(F.col("series_id").isin(B.MONTH_A, B.MONTH_B)),
-        {"phase": distance.phase_distance(1), "euclidean": distance.euclidean},
+        {"phase": distance.packed_phase(1), "euclidean": distance.packed_euclidean},
         {B.MONTH_A: (1, series.SLICES["june"]), B.MONTH_B: (2, series.SLICES["sept"])},
         percents=list(range(11, 101)), samples=100, threshold=0.0, seed=5)
     return out.select("dend", "pct", "n", *[r6(c).alias(c) for c in ("mean", "var", "ci_low", "ci_high", "q_low", "q_high")])

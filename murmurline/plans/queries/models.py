@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from murmurline.functions import text as X
 from murmurline.ml import cascade, classifiers, features
-from murmurline.ml.features import SmoothTfidf
 from murmurline.ml.taxonomy import Taxonomy
 from murmurline.operators import agreement, evaluation, ranking
 from murmurline.plans import bindings as B
@@ -221,11 +219,7 @@ def m14(spark, sf):
 @query("m15_learning_curve")
 def m15(spark, sf):
     data = training(spark, sf).select("doc_id", X.plain_tokens(F.col("text")).alias("tokens"), F.col("quality").cast("double").alias("label"))
-
-    def make(n):
-        return Pipeline(stages=[SmoothTfidf(inputCol="tokens", outputCol="features"), classifiers.logistic(n, 1.0)])
-
-    return classifiers.learning_curve(data, "doc_id", make, folds=5)
+    return classifiers.learning_curve(data, "doc_id", folds=5)
 
 
 @query("m16_prior_weights", "SELECT doc_id, CASE quality WHEN 0 THEN 0.99::DOUBLE ELSE 0.01::DOUBLE END AS weight FROM labels")

@@ -54,7 +54,25 @@ def w15(spark, sf):
     return correlation.acf(week_series(spark, sf), 30).select("series_id", "lag", r6("acf").alias("acf"))
 
 
-@query("w16_pacf")
+def _durbin_sql(lags: int) -> str:
+    """lv (series_id, n, variance, m, phi, err, k): Durbin's recursion on the autocorrelations, one order after another."""
+    base = _acf_sql(lags).replace("tweets AS (", "RECURSIVE tweets AS (", 1)
+    return base + f""", ra AS (SELECT a.series_id, any_value(a.n) AS n, any_value(v.variance) AS variance, list(acf ORDER BY lag) AS r FROM ac a
+    JOIN (SELECT series_id, sum(d * d) / count(*) AS variance FROM ce GROUP BY ALL) v ON v.series_id = a.series_id GROUP BY a.series_id),
+  lv AS (SELECT series_id, 0 AS m, CAST([] AS DOUBLE[]) AS phi, 1.0::DOUBLE AS err, NULL::DOUBLE AS k FROM ra
+    UNION ALL SELECT series_id, m + 1, list_append(list_transform(range(1, m + 1), lambda j: phi[j] - q * phi[m + 1 - j]), q), err * (1 - q * q), q
+    FROM (SELECT lv.*, (r[m + 2] - coalesce(list_sum(list_transform(range(1, m + 1), lambda j: phi[j] * r[m + 2 - j])), 0)) / err AS q
+          FROM lv JOIN ra ON ra.series_id = lv.series_id WHERE m < {lags}))"""
+
+
+def _order_sql(lags: int) -> str:
+    """yw (series_id, n, ord, phi, variance): the order of least AIC, the first of equal ones."""
+    return _durbin_sql(lags) + """, yw AS (SELECT series_id, n, m AS ord, phi, variance * err * n / (n - m - 1) AS variance FROM (
+    SELECT lv.*, ra.n, ra.variance, row_number() OVER (PARTITION BY lv.series_id ORDER BY ra.n * ln(ra.variance * err) + 2 * m, m) AS best
+    FROM lv JOIN ra ON ra.series_id = lv.series_id) WHERE best = 1)"""
+
+
+@query("w16_pacf", sql(_durbin_sql(48), f"SELECT series_id, CAST(m AS INTEGER) AS lag, {sql6('k')} AS pacf FROM lv WHERE m > 0"))
 def w16(spark, sf):
     return correlation.pacf(week_series(spark, sf), 48).withColumn("pacf", r6("pacf"))
 
@@ -177,13 +195,21 @@ def _week_coefficients(fitted, column):
     return fitted.select(key[0].alias("series_id"), key[1].cast("int").alias("seg"), F.col(column).alias("xs"))
 
 
-@query("n10_ar_pic_dissimilarity")
+_PAIRED = """SELECT split_part(a.series_id, '#', 1) AS group_id, CAST(split_part(a.series_id, '#', 2) AS INTEGER) AS a,
+  CAST(split_part(b.series_id, '#', 2) AS INTEGER) AS b, round(sqrt(sum((a.v - b.v) * (a.v - b.v))), 6) + 0.0::DOUBLE AS d FROM vs a JOIN vs b
+  ON a.i = b.i AND split_part(a.series_id, '#', 1) = split_part(b.series_id, '#', 1)
+  AND split_part(a.series_id, '#', 2) < split_part(b.series_id, '#', 2) GROUP BY a.series_id, b.series_id"""
+
+
+@query("n10_ar_pic_dissimilarity", sql(_order_sql(AR.default_order(168)) + f""", vs AS (SELECT series_id, i, CASE WHEN i <= ord THEN phi[i] ELSE 0 END AS v
+  FROM yw CROSS JOIN (SELECT unnest(range(1, {AR.default_order(168) + 1})) AS i))""", _PAIRED))
 def n10(spark, sf):
     fit = AR.yule_walker(week_series(spark, sf), AR.default_order(168))
     return distance.distances(_week_coefficients(fit, "coefficients"), distance.euclidean).withColumn("d", r6("d"))
 
 
-@query("n11_pacf_dissimilarity")
+@query("n11_pacf_dissimilarity", sql(_durbin_sql(25) + """, vs AS (SELECT series_id, m AS i, k * sqrt(0.9::DOUBLE * pow(0.1::DOUBLE, m)) AS v
+  FROM lv WHERE m > 0)""", _PAIRED))
 def n11(spark, sf):
     p = correlation.pacf_arrays(week_series(spark, sf), 25)
     roots = F.array(*[F.lit(math.sqrt(w)) for w in AR.pacf_weights()])
@@ -215,27 +241,25 @@ def n13(spark, sf):
     return out.select("series_id", "t", r6("x").alias("x"), r6("negative").alias("negative"))
 
 
-@query("n14_yule_walker")
+@query("n14_yule_walker", sql(_order_sql(25), f"""SELECT series_id, CAST(ord AS INTEGER) AS "order", {sql6('variance')} AS variance,
+  CAST(i AS INTEGER) AS pos, CASE WHEN i <= ord THEN {sql6('phi[i]')} ELSE 0.0::DOUBLE END AS coefficient
+  FROM yw CROSS JOIN (SELECT unnest(range(1, 26)) AS i)"""))
 def n14(spark, sf):
     fit = AR.yule_walker(week_series(spark, sf), 25)
-    return fit.select("series_id", "order", F.round("variance", 6).alias("variance"),
-                      F.transform("coefficients", lambda c: F.round(c, 6)).alias("coefficients"))
-
-
-def week_array_rows(spark, sf):
-    return series.series_arrays(week_series(spark, sf))
+    rows = fit.select("series_id", "order", r6("variance").alias("variance"), F.posexplode("coefficients").alias("pos", "coefficient"))
+    return rows.select("series_id", "order", "variance", (F.col("pos") + 1).alias("pos"), r6("coefficient").alias("coefficient"))
 
 
 @query("n15_lasso_ar_step")
 def n15(spark, sf):
-    out = AR.lasso_autoregression(week_array_rows(spark, sf), 50, step=4)
+    out = AR.lasso_autoregression(week_series(spark, sf), 50, step=4)
     return out.select("series_id", F.posexplode("coefficients").alias("pos", "coefficient")).withColumn(
         "coefficient", r6("coefficient"))
 
 
 @query("n15_lasso_ar_fraction")
 def n15f(spark, sf):
-    out = AR.lasso_autoregression(week_array_rows(spark, sf), 50, step=None, fraction=0.18)
+    out = AR.lasso_autoregression(week_series(spark, sf), 50, step=None, fraction=0.18)
     return out.select("series_id", F.posexplode("coefficients").alias("pos", "coefficient")).withColumn(
         "coefficient", r6("coefficient"))
 
@@ -263,14 +287,40 @@ def n16(spark, sf):
     return out.select("series_id", r6("statistic").alias("statistic"), r6("p_value").alias("p_value"))
 
 
-@query("n17_adf")
+def _adf_sql(k: int) -> str:
+    """rs (series_id, t): the t value of the level, after Gauss-Jordan steps on the centred products of level, trend, lags and y."""
+    p = k + 2
+    quantiles = [(q, p_) for q, p_ in zip([f"{a + (b - a) * (167 - 100) / 150!r}" for a, b in ((row[2], row[3]) for row in AR.DF_TABLE)], AR.DF_PROBS)]
+    steps = "".join(f" WHEN t < {q1} THEN {p0} + (t - ({q0})) * ({p1 - p0!r}::DOUBLE) / ({q1} - ({q0}))" for (q0, p0), (q1, p1) in zip(quantiles, quantiles[1:]))
+    lags = ", ".join(f"lag(d, {j}) OVER w" for j in range(1, k + 1))
+    return _STAT_SQL.replace("tweets AS (", "RECURSIVE tweets AS (", 1) + f""",
+  dx AS (SELECT series_id, t, x, lag(x) OVER w AS level, x - lag(x) OVER w AS d FROM wk WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+  zs AS (SELECT series_id, t, [level, t::DOUBLE, {lags}, d] AS z FROM dx WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+  zr AS (SELECT series_id, t, unnest(z) AS v, unnest(range(1, {p + 2})) AS i FROM zs WHERE t > {k + 1}),
+  zc AS (SELECT series_id, t, i, v - avg(v) OVER (PARTITION BY series_id, i) AS v FROM zr),
+  gm AS (SELECT a.series_id, a.i, b.i AS j, sum(a.v * b.v) AS s, count(*) AS n FROM zc a JOIN zc b ON a.series_id = b.series_id AND a.t = b.t
+    GROUP BY a.series_id, a.i, b.i),
+  gr AS (SELECT series_id, i, list(s ORDER BY j) AS r, any_value(n) AS n FROM gm GROUP BY series_id, i),
+  gj AS (SELECT series_id, 0 AS m, list(r ORDER BY i) AS a, any_value(n) AS n FROM gr GROUP BY series_id
+    UNION ALL SELECT series_id, m + 1, list_transform(range(1, {p + 2}), lambda i: list_transform(range(1, {p + 2}), lambda j:
+      CASE WHEN i = m + 1 AND j = m + 1 THEN 1 / a[m + 1][m + 1] WHEN i = m + 1 THEN a[i][j] / a[m + 1][m + 1]
+           WHEN j = m + 1 THEN -a[i][j] / a[m + 1][m + 1] ELSE a[i][j] - a[i][m + 1] * a[m + 1][j] / a[m + 1][m + 1] END)), n FROM gj WHERE m < {p}),
+  rs AS (SELECT series_id, a[1][{p + 1}] / sqrt(a[{p + 1}][{p + 1}] / (n - {p} - 1) * a[1][1]) AS t FROM gj WHERE m = {p}),
+  pv AS (SELECT series_id, t, CASE WHEN t < {quantiles[0][0]} THEN {quantiles[0][1]}{steps} ELSE {quantiles[-1][1]} END AS p_value FROM rs)"""
+
+
+def _adf_rows(k: int) -> str:
+    return f"SELECT series_id, {sql6('t')} AS statistic, {k} AS lags, {sql6('p_value')} AS p_value FROM pv"
+
+
+@query("n17_adf", sql(_adf_sql(5), _adf_rows(5)))
 def n17(spark, sf):
-    return AR.adf(week_array_rows(spark, sf)).withColumn("statistic", r6("statistic")).withColumn("p_value", r6("p_value"))
+    return AR.adf(week_series(spark, sf)).withColumn("statistic", r6("statistic")).withColumn("p_value", r6("p_value"))
 
 
-@query("n17_adf_k24")
+@query("n17_adf_k24", sql(_adf_sql(24), _adf_rows(24)))
 def n17k(spark, sf):
-    return AR.adf(week_array_rows(spark, sf), k=24).withColumn("statistic", r6("statistic")).withColumn("p_value", r6("p_value"))
+    return AR.adf(week_series(spark, sf), k=24).withColumn("statistic", r6("statistic")).withColumn("p_value", r6("p_value"))
 
 
 @query("n18_ljung_box", sql(_acf_sql(48), f"""SELECT series_id,
@@ -287,7 +337,7 @@ def n18p(spark, sf):
     return correlation.ljung_box(week_series(spark, sf), 48).select("series_id", r6("p_value").alias("p_value"))
 
 
-_N19_SQL = B.SHARE_SQL + dft_sql("range(0, 672)") + f""", sc AS (SELECT unnest(range(1, 801)) AS j, unnest({wavelets.even_scales()!r}) AS s),
+_N19_SQL = B.SHARE_SQL + dft_sql("range(0, 672)") + f""", sc AS (SELECT j, 24 * 0.05::DOUBLE * pow(7 / 0.05::DOUBLE, (j - 1) / 799::DOUBLE) AS s FROM (SELECT unnest(range(1, 801)) AS j)),
   pw AS (SELECT series_id, {_PI2} * least(k, 672 - k) / 672 AS w, re * re + im * im AS p FROM ft)"""
 
 
@@ -295,12 +345,11 @@ _N19_SQL = B.SHARE_SQL + dft_sql("range(0, 672)") + f""", sc AS (SELECT unnest(r
   p * s * 8.0 / 3.0 * sqrt(pi()) * pow(w * s, 4) * exp(-pow(w * s, 2))) / 672, 4) AS energy FROM pw CROSS JOIN sc GROUP BY ALL"""))
 def n19(spark, sf):
     """All 800 scales of every series; the energy of a scale follows from the spectrum alone."""
-    out = wavelets.cwt(series.series_arrays(share(spark, sf)), wavelets.even_scales(), wavelets.gaussian2_response)
+    out = wavelets.cwt(share(spark, sf), list(range(1, 801)), wavelets.even_scale, wavelets.gaussian2_response)
     return out.groupBy("series_id", "scale_no").agg(F.round(F.sum(F.col("re") * F.col("re")), 4).alias("energy"))
 
 
-_S43 = wavelets.octave_scales()[42]
-_MORLET_SQL = B.SHARE_SQL + dft_sql("range(0, 337)") + f""", rs AS (SELECT series_id, k, exp(-0.5 * pow({_PI2} * k / 672 * {_S43!r}::DOUBLE - {_PI2}, 2)) AS g, re, im FROM ft WHERE k < 336)"""
+_MORLET_SQL = B.SHARE_SQL + dft_sql("range(0, 337)") + f""", rs AS (SELECT series_id, k, exp(-0.5 * pow({_PI2} * k / 672 * pow(2, 3 + 2 / 20::DOUBLE) - {_PI2}, 2)) AS g, re, im FROM ft WHERE k < 336)"""
 
 
 @query("n20_cwt_morlet", sql(_MORLET_SQL, f"""SELECT s.series_id, CAST(s.t AS INTEGER) AS t,
@@ -308,7 +357,7 @@ _MORLET_SQL = B.SHARE_SQL + dft_sql("range(0, 337)") + f""", rs AS (SELECT serie
   {sql6(f"sum(g * (re * sin({_PI2} * ((k * (s.t - 1)) % 672) / 672) + im * cos({_PI2} * ((k * (s.t - 1)) % 672) / 672))) / 672")} AS im
   FROM share s JOIN rs ON rs.series_id = s.series_id GROUP BY s.series_id, s.t"""))
 def n20(spark, sf):
-    out = wavelets.cwt(series.series_arrays(share(spark, sf)), wavelets.octave_scales(), wavelets.morlet_response, [43])
+    out = wavelets.cwt(share(spark, sf), [43], wavelets.octave_scale, wavelets.morlet_response)
     return out.select("series_id", "t", r6("re").alias("re"), r6("im").alias("im"))
 
 

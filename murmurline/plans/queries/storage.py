@@ -81,7 +81,7 @@ def s6(spark, sf):
     ev = readers.read_table(spark, sf, "events")
     broken = F.when(F.col("event_id") % 17 == 0, F.lit("n/a")).otherwise(F.col("event_id").cast("string"))
     ev.select(F.concat_ws(",", broken, "event_type").alias("line")).write.text(path)
-    good, bad = readers.read_with_quarantine(
+    good, bad, _ = readers.read_with_quarantine(
         spark, path, schemas.T.StructType([schemas.T.StructField("event_id", schemas.T.LongType()),
                                            schemas.T.StructField("event_type", schemas.T.StringType())]), header=False)
     return (good.agg(F.lit("good").alias("part"), F.count("event_id").alias("n"))

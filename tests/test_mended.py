@@ -9,7 +9,6 @@ from murmurline.functions import text as X
 from murmurline.ml.classifiers import prior_weights
 from murmurline.ml.features import tfidf_rows
 from murmurline.operators.columns import parsed_timestamps
-from murmurline.operators.wavelets import even_scales
 from murmurline.session import scratch_path
 from murmurline.sources.store import ParquetStore
 
@@ -38,10 +37,6 @@ def test_every_term_has_a_weight_unless_a_cap_is_asked_for(spark):
     assert tfidf_rows(df, "id", tokens, 1).count() == 50
 
 
-def test_scales_are_days_in_hours():
-    assert even_scales()[0] == pytest.approx(1.2) and even_scales()[-1] == pytest.approx(168)
-
-
 def test_updated_store_is_seen_by_every_reader(spark):
     old = ParquetStore(spark, scratch_path(spark, "store"))
     old.insert_tweets(spark.createDataFrame([(1, "a", "0"), (2, "b", "0")], "id long, text string, lat string"))

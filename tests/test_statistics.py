@@ -3,18 +3,45 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from murmurline.operators import autoregression, bootstrap, clustering, correction, correlation, distance, wavelets
 
 
-def test_levinson_solves_yule_walker():
+def test_levinson_solves_yule_walker(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=400)
     x = x - x.mean()
     r = np.array([(x[k:] * x[:len(x) - k]).sum() for k in range(9)]) / (x @ x)
     toeplitz = np.array([[r[abs(i - j)] for j in range(8)] for i in range(8)])
-    *_, (order, phi, _) = correlation.levinson(r[None, :])
-    assert order == 8 and np.allclose(phi[0], np.linalg.solve(toeplitz, r[1:9]))
+    acf = spark.createDataFrame([(r.tolist(),)], "r array<double>").select(correlation.durbin(F.col("r"), 8).alias("f")).first()["f"]
+    assert np.allclose(acf["phi"], np.linalg.solve(toeplitz, r[1:9])) and len(acf["reflections"]) == 8
+    for m in range(1, 9):
+        assert np.isclose(acf["reflections"][m - 1], np.linalg.solve(toeplitz[:m, :m], r[1:m + 1])[-1])
+    assert np.isclose(acf["err"], 1 - np.array(acf["phi"]) @ r[1:9])
+
+
+def test_order_of_least_aic(spark):
+    """Every order fitted on its own; the one of least AIC is kept, with its coefficients and variance."""
+    rng = np.random.default_rng(2)
+    rows, series = [], {}
+    for name, coef in (("a", [0.6]), ("b", [0.2, 0.5]), ("noise", [])):
+        x = [0.0] * len(coef)
+        for _ in range(300):
+            x.append(sum(c * v for c, v in zip(coef, x[::-1])) + rng.normal())
+        series[name] = np.array(x)
+        rows += [(name, i + 1, float(v)) for i, v in enumerate(x)]
+    fits = {r["series_id"]: r for r in autoregression.yule_walker(spark.createDataFrame(rows, "series_id string, t int, x double"), 6).collect()}
+    for name, x in series.items():
+        n, d = len(x), x - x.mean()
+        c = np.array([(d[k:] * d[:n - k]).sum() / n for k in range(7)])
+        tried = [(n * np.log(c[0]), np.zeros(0), c[0])]
+        for m in range(1, 7):
+            phi = np.linalg.solve([[c[abs(i - j)] for j in range(m)] for i in range(m)], c[1:m + 1])
+            tried.append((n * np.log(c[0] - phi @ c[1:m + 1]) + 2 * m, phi, c[0] - phi @ c[1:m + 1]))
+        best = int(np.argmin([t[0] for t in tried]))
+        assert fits[name]["order"] == best and np.allclose(fits[name]["coefficients"], np.pad(tried[best][1], (0, 6 - best)))
+        assert np.isclose(fits[name]["variance"], tried[best][2] * n / (n - best - 1))
 
 
 def test_student_tail_against_closed_forms():
@@ -82,10 +109,40 @@ def test_full_lasso_path_ends_in_least_squares():
     assert np.allclose(autoregression.lasso_path(a.T @ a, a.T @ y, 60)[-1], np.linalg.lstsq(a, y, rcond=None)[0])
 
 
-def test_unit_root_statistic_separates(spark):
+def unit_root(x, k):
+    """t value of the lagged level by least squares on the rows."""
+    dx = np.diff(x)
+    rows = len(dx) - k
+    design = np.column_stack([x[k:k + rows], np.ones(rows), np.arange(rows), *[dx[k - j:k - j + rows] for j in range(1, k + 1)]])
+    beta, rest, *_ = np.linalg.lstsq(design, dx[k:], rcond=None)
+    return beta[0] / math.sqrt(rest[0] / (rows - k - 3) * np.linalg.inv(design.T @ design)[0, 0])
+
+
+def test_unit_root_statistics(spark):
     rng = np.random.default_rng(6)
-    noise, walk = rng.normal(size=168), np.cumsum(rng.normal(size=168))
-    assert autoregression.unit_root_statistic(noise, 3) < -4 < autoregression.unit_root_statistic(walk, 3)
+    held = {"noise": rng.normal(size=168), "walk": np.cumsum(rng.normal(size=168)), "short": rng.normal(size=60)}
+    df = spark.createDataFrame([(n, i + 1, float(v)) for n, x in held.items() for i, v in enumerate(x)], "series_id string, t int, x double").repartition(3)
+    for k in (None, 3, 0):
+        got = {r["series_id"]: r for r in autoregression.adf(df, k).collect()}
+        for name, x in held.items():
+            lags = k if k is not None else {168: 5, 60: 3}[len(x)]
+            assert got[name]["lags"] == lags and np.isclose(got[name]["statistic"], unit_root(x, lags))
+        assert got["noise"]["statistic"] < -4 < got["walk"]["statistic"] and got["noise"]["p_value"] == 0.01 < got["walk"]["p_value"]
+
+
+def test_lasso_of_series_from_summed_products(spark):
+    rng = np.random.default_rng(7)
+    held = {n: np.cumsum(rng.normal(size=90)) for n in "ab"}
+    df = spark.createDataFrame([(n, i + 1, float(v)) for n, x in held.items() for i, v in enumerate(x)], "series_id string, t int, x double").repartition(4)
+    step = {r["series_id"]: r["coefficients"] for r in autoregression.lasso_autoregression(df, 6, step=3).collect()}
+    part = {r["series_id"]: r["coefficients"] for r in autoregression.lasso_autoregression(df, 6, step=None, fraction=0.4).collect()}
+    for name, x in held.items():
+        a, y = np.lib.stride_tricks.sliding_window_view(x, 6)[:-1], x[6:]
+        a, y = a - a.mean(0), y - y.mean()
+        path = autoregression.lasso_path(a.T @ a, a.T @ y, 48)
+        assert np.allclose(step[name], path[2])
+        sizes = [np.abs(b).sum() for b in path]
+        assert np.isclose(np.abs(part[name]).sum(), 0.4 * sizes[-1])
 
 
 def brute_dtw(a, b):
@@ -164,15 +221,39 @@ def test_dwt_keeps_energy(spark):
 
 def test_cwt_against_direct_sum(spark):
     x = np.random.default_rng(9).random(48)
-    df = spark.createDataFrame([("s", x.tolist())], "series_id string, xs array<double>")
+    df = spark.createDataFrame([("s", i + 1, float(v)) for i, v in enumerate(x)], "series_id string, t int, x double")
     scale = 3.0
-    got = [r["re"] for r in wavelets.cwt(df, [scale], wavelets.gaussian2_response).orderBy("t").collect()]
+    got = [r["re"] for r in wavelets.cwt(df, [3], lambda i: i.cast("double"), wavelets.gaussian2_response).orderBy("t").collect()]
     u = np.arange(-480, 481)
     kernel = 2 / (math.sqrt(3) * math.pi ** 0.25) * (1 - (u / scale) ** 2) * np.exp(-0.5 * (u / scale) ** 2) / math.sqrt(scale)
     direct = [sum(w * x[(t + k) % 48] for k, w in zip(u, kernel)) for t in range(48)]
     assert np.allclose(got, direct, atol=1e-8)
 
 
+@pytest.mark.parametrize("n", [47, 48])
+def test_cwt_against_products_of_spectra(spark, n):
+    """Every scale, real and complex, against the inverse transform of the products."""
+    rng = np.random.default_rng(n)
+    held = {"a": rng.normal(size=n), "b": rng.random(size=n)}
+    df = spark.createDataFrame([(k, i + 1, float(v)) for k, x in held.items() for i, v in enumerate(x)], "series_id string, t int, x double")
+    omega = 2 * np.pi * np.fft.fftfreq(n)
+    scales = [2.0 ** (1 + (i - 1) / 20) for i in range(1, 141)]
+    gauss = lambda s: np.sqrt(s) * np.sqrt(8 / 3) * np.pi ** 0.25 * (omega * s) ** 2 * np.exp(-0.5 * (omega * s) ** 2)
+    morlet = lambda s: np.where(omega >= 0, np.exp(-0.5 * (omega * s - 2 * np.pi) ** 2), 0.0)
+    for response, direct in ((wavelets.gaussian2_response, gauss), (wavelets.morlet_response, morlet)):
+        got = {(r["series_id"], r["scale_no"], r["t"]): complex(r["re"], r["im"]) for r in
+               wavelets.cwt(df, [1, 43, 100, 140], wavelets.octave_scale, response).collect()}
+        for name, x in held.items():
+            for no in (1, 43, 100, 140):
+                want = np.fft.ifft(np.fft.fft(x) * direct(scales[no - 1]))
+                assert np.allclose([got[(name, no, t)] for t in range(1, n + 1)], want, atol=1e-9)
+
+
+def test_scales_are_days_in_hours(spark):
+    got = [r[0] for r in spark.range(1, 801).select(wavelets.even_scale(F.col("id"))).collect()]
+    assert np.allclose(sorted(got), 24 * np.geomspace(0.05, 7.0, 800))
+
+
 def test_bootstrap_is_repeatable_and_whole(spark):
     rows = [("s", d, h, (d * h) % 5, 20) for d in range(1, 31) for h in range(24)]
     df = spark.createDataFrame(rows, "series_id string, day int, hour int, sum long, len long")

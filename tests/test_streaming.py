@@ -41,7 +41,7 @@ def test_quarantine_keeps_every_line(spark):
     schema = schemas.T.StructType([schemas.T.StructField(n, t) for n, t in (
         ("id", schemas.T.LongType()), ("created_at", schemas.T.StringType()),
         ("utc_offset", schemas.T.IntegerType()), ("text", schemas.T.StringType()))])
-    good, bad = readers.read_with_quarantine(spark, path, schema, header=False)
+    good, bad, _ = readers.read_with_quarantine(spark, path, schema, header=False)
     assert good.count() == 2 and [r["line"] for r in bad.collect()] == ["oops,b,3,y"]
     assert good.select("text").count() == 2
 

@@ -44,5 +44,17 @@ def test_learning_curve_has_all_sizes_and_iterations(spark, monkeypatch):
     args, kwargs = asked_of(monkeypatch, classifiers, "learning_curve", "m15_learning_curve", spark)
     bound = curve.bind(*args, **kwargs)
     bound.apply_defaults()
-    assert bound.arguments["pieces"] == 10 and bound.arguments["folds"] == 5
-    assert bound.arguments["make_pipeline"](5).getStages()[-1].getMaxIter() == 100
+    assert bound.arguments["pieces"] == 10 and bound.arguments["folds"] == 5 and bound.arguments["iterations"] == 100
+
+
+def test_learning_curve_ends_with_every_size(spark):
+    got = {(round(r["size"], 1), r["part"]): r for r in entry.queries()["m15_learning_curve"](spark, SF).collect()}
+    assert set(got) == {(i / 10, p) for i in range(1, 8) for p in ("train", "test")}
+    assert all(0 <= r["mean"] <= 1 and r["rows"] > 0 for r in got.values())
+    assert got[(0.7, "train")]["rows"] > got[(0.1, "train")]["rows"]
+
+
+def test_stability_sweep_ends_with_every_fraction(spark):
+    got = entry.queries()["c6_stability_sweep"](spark, SF).collect()
+    assert {(r["dend"], r["pct"]) for r in got} == {(d, p) for d in ("phase", "euclidean") for p in range(11, 101)}
+    assert all(r["n"] == 100 and -1 <= r["q_low"] <= r["q_high"] <= 1 for r in got)
