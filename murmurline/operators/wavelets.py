@@ -80,18 +80,24 @@ def _summed_waves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Sums of the waves of a series and scale (frequency k; a, b for the real and c, d for the imaginary part) at every hour."""
     tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
-        for row in batch.to_pylist():
-            n = row["n"]
-            if n not in tables:
-                turn = 2 * np.pi * np.arange(n) / n
-                tables[n] = np.cos(turn), np.sin(turn)
-            at = np.outer(np.array(row["k"], np.int64), np.arange(n)) % n
-            cos, sin = tables[n][0][at], tables[n][1][at]
-            a, b, c, d = (np.array(row[x], float) for x in "abcd")
-            yield pa.RecordBatch.from_arrays([
-                pa.array([row["series_id"]] * n, pa.string()), pa.array(np.full(n, row["scale_no"], np.int32)),
-                pa.array(np.arange(1, n + 1, dtype=np.int32)), pa.array(a @ cos - b @ sin), pa.array(c @ sin + d @ cos)],
-                names=["series_id", "scale_no", "t", "re", "im"])
+        for first in range(0, batch.num_rows, 64):  # bounds the rows of one output batch
+            by_length: dict[int, list[dict]] = {}
+            for row in batch.slice(first, 64).to_pylist():
+                by_length.setdefault(row["n"], []).append(row)
+            for n, rows in by_length.items():
+                if n not in tables:
+                    turn = 2 * np.pi * (np.outer(np.arange(n // 2 + 1), np.arange(n)) % n) / n
+                    tables[n] = np.cos(turn), np.sin(turn)
+                cos, sin = tables[n]
+                parts = np.zeros((4, len(rows), n // 2 + 1))
+                for i, row in enumerate(rows):
+                    parts[:, i, row["k"]] = [row[x] for x in "abcd"]
+                a, b, c, d = parts
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat([r["series_id"] for r in rows], n), pa.string()),
+                    pa.array(np.repeat(np.array([r["scale_no"] for r in rows], np.int32), n)),
+                    pa.array(np.tile(np.arange(1, n + 1, dtype=np.int32), len(rows))),
+                    pa.array((a @ cos - b @ sin).ravel()), pa.array((c @ sin + d @ cos).ravel())], names=["series_id", "scale_no", "t", "re", "im"])
 
 
 # Daubechies scaling filter with eight taps.
