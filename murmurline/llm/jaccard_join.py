@@ -20,9 +20,16 @@ against the entries and comparisons that heavy ones need.
 Common shingles are those that many documents have among the first quarter of their hashes; the bound is the least that
 leaves at most COMMON of them, so the list that tasks receive has a fixed size. Whatever the list holds, results are the
 same: it only orders shingles. Texts with equal sets form a class found beforehand, and each task enters a class once.
+Classes are named by 64 bits of a 128-bit digest of their set; should two different sets share a name, which the other
+64 bits tell, all are named anew with another seed. Shingles are compared by 64-bit hashes.
+
+Kernels look at SLICE texts at a time and give their rows back before the next ones, so a task's memory does not follow
+the size of its batches; a very long text is a slice of its own, and all of its words count.
 
 Defined cases: null and wordless texts have the empty set and link with nothing. A text below N words has one shingle,
-all its words. Rows with one doc_id are one document in links and components. Extra columns are ignored by ``join``.
+all its words. Rows with one doc_id are one document in links and components. Rows without a doc_id are no document
+of ``join``: they have a row with a null component and join no other texts; ``keep_one`` keeps them all. Extra columns are
+ignored by ``join``. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmurline.llm.common import WordHashes, ZIPPED, binaries, compressed, gram_hashes, unzip, zipped
+from murmurline.llm.common import WordHashes, ZIPPED, binaries, compressed, gram_hashes, sliced, unzip, zipped
 from murmurline.llm.components import components
 from murmurline.session import cut_lineage
 
@@ -48,6 +55,8 @@ MAX_LIGHT, COMMON = 12, 500_000
 LONG_LIST = 8
 #: Sets of a longer list that all its members are compared with in the first round, and most document ids to broadcast.
 LEADS, FEW_IDS = 8, 100_000
+#: Texts that a kernel looks at together, and classes that a task remembers (8 bytes each).
+SLICE, REMEMBERED = 500, 1 << 20
 #: Cost of comparing two sets by shingle, against one entry of an inverted list.
 COMPARE = 0.5
 
@@ -82,16 +91,16 @@ def shingles(raw: bytes | None, n: int = N) -> np.ndarray:
     return np.unique(gram_hashes(_WORDS.of(words), n, _BASE))
 
 
-def _digest(hashes: np.ndarray) -> tuple[int, int]:
-    a, b = np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), np.int64)
+def _digest(hashes: np.ndarray, seed: int = 0) -> tuple[int, int]:
+    a, b = np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes(), seed=seed), np.int64)
     return int(a), int(b)
 
 
-def _sets(n: int):
+def _sets(n: int, seed: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, rows=SLICE):
             found = [shingles(raw, n) for raw in binaries(batch.column("text"))]
-            keys = [_digest(h) for h in found]
+            keys = [_digest(h, seed) for h in found]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id").cast(pa.int64()), pa.array(map(len, found), pa.int64()),
                 pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], schema=_SETS)
@@ -99,24 +108,24 @@ def _sets(n: int):
 
 
 class _Once:
-    """Whether a class comes for the first time in this task; forgets when full, which only costs repeats."""
+    """Whether a class comes for the first time in this task; one that has lost its place to another comes again, which
+    only costs repeats."""
 
-    def __init__(self, most: int = 1_000_000):
-        self.most, self.seen = most, set()
+    def __init__(self, most: int = REMEMBERED):
+        self.seen, self.used = np.zeros(most, np.int64), np.zeros(most, bool)
 
     def first(self, c: int) -> bool:
-        if c in self.seen:
+        at = c % len(self.seen)
+        if self.used[at] and self.seen[at] == c:
             return False
-        if len(self.seen) >= self.most:
-            self.seen.clear()
-        self.seen.add(c)
+        self.seen[at], self.used[at] = c, True
         return True
 
 
 def _first_quarter(n: int, percent: int):
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once = _Once()
-        for batch in batches:
+        for batch in sliced(batches, rows=SLICE):
             found = [np.zeros(0, np.uint64)]
             for raw in binaries(batch.column("text")):
                 h = shingles(raw, n)
@@ -138,15 +147,15 @@ def light_keys(h: np.ndarray, x: int, percent: int = PERCENT) -> list[tuple[int,
     return out
 
 
-def _entries(n: int, percent: int, x: int, common):
+def _entries(n: int, percent: int, x: int, common, seed: int):
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, frequent = _Once(), common.value
-        for batch in batches:
+        for batch in sliced(batches, rows=SLICE):
             gs, kinds, cs, ns = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
             for raw in binaries(batch.column("text")):
                 h = shingles(raw, n)
                 s = len(h)
-                c = _digest(h)[0]
+                c = _digest(h, seed)[0]
                 if not s or not once.first(c):
                     continue
                 if s <= x:
@@ -202,12 +211,12 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a, b, shared, total)], schema=schema)
 
 
-def _members(n: int):
+def _members(n: int, seed: int):
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("c", pa.int64()), ("hs", pa.binary())])
-        for batch in batches:
+        for batch in sliced(batches, rows=SLICE, column="z"):
             found = [shingles(raw, n) for raw in unzip(batch.column("z"))]
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(h)[0] for h in found], pa.int64()),
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(h, seed)[0] for h in found], pa.int64()),
                                               pa.array([h.tobytes() for h in found], pa.binary())], schema=schema)
     return members
 
@@ -226,14 +235,14 @@ def _likely(met: DataFrame, percent: int) -> DataFrame:
     return pairs.where("lists >= least").select("a", "b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
     """The pairs (a, b) of classes that link, judged by all their shingles."""
     wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
     firsts = cut_lineage(classes.join(wanted, "c").select(F.col("first").alias("doc_id")), "ids")
     # few documents are picked out where they are read; many are joined, in compressed form
     texts = (docs.select("doc_id", "text").join(F.broadcast(firsts), "doc_id", "left_semi").mapInArrow(zipped, ZIPPED)
              if firsts.count() <= FEW_IDS else compressed(docs).join(firsts, "doc_id", "left_semi"))
-    sets = cut_lineage(texts.select("z").mapInArrow(_members(n), "c bigint, hs binary").dropDuplicates(["c"]), "sets")
+    sets = cut_lineage(texts.select("z").mapInArrow(_members(n, seed), "c bigint, hs binary").dropDuplicates(["c"]), "sets")
     joined = pairs.join(sets.select(F.col("c").alias("a"), F.col("hs").alias("xs")), "a").join(
         sets.select(F.col("c").alias("b"), F.col("hs").alias("ys")), "b")
     found = joined.select("a", "b", "xs", "ys").mapInArrow(_overlaps, "a bigint, b bigint, common bigint, total bigint")
@@ -241,18 +250,25 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, per
 
 
 def links(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Sets (doc_id, n, c, c2) and links (a, b) between classes c of equal sets; enough links for every component.
+    """Sets (doc_id, n, c) and links (a, b) between classes c of equal sets; enough links for every component.
 
     Links inside a group that is connected already are left out, so groups of copies do not expand into pairs.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
-    sets = cut_lineage(rows.mapInArrow(_sets(n), "doc_id bigint, n bigint, c bigint, c2 bigint"), "set-sizes")
-    classes = sets.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"))
+    seed = 0
+    while True:
+        sets = cut_lineage(rows.mapInArrow(_sets(n, seed), "doc_id bigint, n bigint, c bigint, c2 bigint"), "set-sizes")
+        classes = cut_lineage(sets.where("n > 0").groupBy("c").agg(
+            F.min("doc_id").alias("first"), F.first("n").alias("n"), (F.min("c2") < F.max("c2")).alias("clash")), "classes")
+        if not classes.where("clash").limit(1).count():
+            break
+        seed += 1
+    sets, classes = sets.drop("c2"), classes.drop("clash")
     small = dict(classes.where(F.col("n") <= 2 * MAX_LIGHT).groupBy("n").count().collect())
     x = choose_boundary(small, percent)
     common = spark.sparkContext.broadcast(_common(rows, n, percent, COMMON))
-    entries = rows.select("text").mapInArrow(_entries(n, percent, x, common), "g bigint, kind int, c bigint, n int")
+    entries = rows.select("text").mapInArrow(_entries(n, percent, x, common, seed), "g bigint, kind int, c bigint, n int")
     w = "PARTITION BY g, kind_of"
     ends = entries.withColumn("kind_of", F.when(F.col("kind") == 0, 0).otherwise(1)).selectExpr(
         "g", "kind", "kind_of", "c", "n", f"min(struct(c, n)) OVER ({w}) AS lead", f"max(struct(c, n)) OVER ({w}) AS last",
@@ -274,7 +290,7 @@ def links(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFram
     more = heavy.join(leads, "g").select("c", "n", F.explode("leads").alias("lead")).where("lead.c <> c")
     first = cut_lineage(_likely(heavy.where("lead.c <> c").select(*met(F.col("lead"))).union(more.select(*met(F.col("lead")))),
                                 percent), "pairs")
-    found = _verified(first, rows, classes, n, percent)
+    found = _verified(first, rows, classes, n, percent, seed)
     # second round: sets of a list that the first one left in different components
     label = components(found).select(F.col("node").alias("c"), F.col("component").alias("label"))
     marked = cut_lineage(heavy.join(label, "c", "left").select("g", "c", "n", F.coalesce("label", "c").alias("label")), "marked")
@@ -283,7 +299,7 @@ def links(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFram
     ma = marked.select("g", F.col("label").alias("la"), F.col("c").alias("ca"), F.col("n").alias("na"))
     mb = marked.select("g", F.col("label").alias("lb"), F.col("c").alias("cb"), F.col("n").alias("nb"))
     second = _likely(apart.join(ma, ["g", "la"]).join(mb, ["g", "lb"]).select("ca", "na", "cb", "nb"), percent)
-    rest = _verified(cut_lineage(second.join(first, ["a", "b"], "left_anti"), "pairs"), rows, classes, n, percent)
+    rest = _verified(cut_lineage(second.join(first, ["a", "b"], "left_anti"), "pairs"), rows, classes, n, percent, seed)
     return sets, certain.union(found).union(rest)
 
 

@@ -78,6 +78,30 @@ def test_boundary_follows_the_cost():
     assert J.choose_boundary({12: 1000}) < 12
 
 
+def test_names_of_classes_that_clash(docs, monkeypatch):
+    """Two sets with one 64-bit name are told apart and named anew."""
+    plain = J._digest
+    monkeypatch.setattr(J, "_digest", lambda h, seed=0: (len(h), plain(h)[1]) if seed == 0 else plain(h, seed))
+    texts = [words(30), words(30, 100), words(30), words(31), "x"]
+    got = {r["doc_id"]: r["component_id"] for r in J.join(docs(texts)).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 0, 4: 4}
+
+
+def test_small_slices_and_few_remembered_classes(docs, monkeypatch):
+    monkeypatch.setattr(J, "SLICE", 3)
+    monkeypatch.setattr(J._Once.__init__, "__defaults__", (2,))
+    texts = near_copies(7)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.join(docs(texts)).collect()}
+    assert got == brute_components(list(range(len(texts))), texts)
+
+
+def test_join_with_missing_and_repeated_ids(docs):
+    one = words(30)
+    rows = J.join(docs([one, one + " tail", words(40, 100), one, None, words(41, 99)], ids=[4, None, 9, 4, None, 9])).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows), key=str) == sorted(
+        [(4, 26, 4), (4, 26, 4), (None, 27, None), (9, 36, 9), (9, 37, 9), (None, 0, None)], key=str)
+
+
 def test_keep_one_keeps_columns(docs):
     df = docs([words(50), words(50), words(50) + " z", None, "y"])
     kept = J.keep_one(df)
