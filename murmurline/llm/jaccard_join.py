@@ -7,12 +7,19 @@ A document's set holds its distinct word shingles. Two sets of sizes s and t lin
 shingles. Two light sets that share such a subset are linked; nothing is left to verify, and one list of n sets gives
 at most 2n links.
 
-*Heavy* sets are found by inverted lists. All shingles have one order, common ones last; a set is entered under its
-first ``s - ceil(0.75 s) + 1`` shingles, of which a linked set shares one at least. Light sets within reach of heavy
-ones are entered too. The lists are scanned in two rounds: first every set of a list meets the list's least set, and
-those of a long list LEADS sets that hashes choose, which settles groups of near copies in a few comparisons for each
-member; then sets of one list that are not connected yet meet each other. Pairs that meet in too few lists cannot link and are dropped; the others are compared
-exactly, on all their shingles.
+*Heavy* sets are found by inverted lists. All shingles have one order, common ones last and the more common the later; a
+set is entered under its first ``s - ceil(0.75 s) + 1`` shingles, of which a linked set shares one at least. Light sets
+within reach of heavy ones are entered too. The lists are scanned in two rounds. First every set of a list meets the
+list's hub, the set with the fewest uncommon shingles, which settles groups of near copies in one comparison for each
+member. Then sets of one list that are not connected yet meet each other:
+
+- in lists of uncommon shingles all of them; pairs that meet in too few lists to link are dropped;
+- in lists of common shingles by size and place. If a shingle is the first that two sets share, both have
+  ``need(s, t)`` shingles from it on. So a set that has few left meets only smaller sets, whose size classes it names
+  beforehand, and sets that the hub holds already do not meet each other. Such lists are never held by one task: their
+  hubs come from sums of parts, their rows from joins that adaptive execution splits.
+
+Candidates are compared exactly, on all their shingles.
 
 The boundary x is chosen by cost: from the counts of sets by size, the subsets that light sets would enumerate
 against the entries and comparisons that heavy ones need.
@@ -41,7 +48,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmurline.llm.common import WordHashes, ZIPPED, binaries, compressed, gram_hashes, sliced, unzip, zipped
@@ -49,12 +56,12 @@ from murmurline.llm.components import components
 from murmurline.session import cut_lineage
 
 N, PERCENT = 5, 75
-#: Largest boundary that is considered, and most entries of the list of common shingles (8 bytes each).
+#: Largest boundary that is considered, and most entries of the list of common shingles (12 bytes each).
 MAX_LIGHT, COMMON = 12, 500_000
 #: A list longer than this is common, as far as COMMON allows.
 LONG_LIST = 8
-#: Sets of a longer list that all its members are compared with in the first round, and most document ids to broadcast.
-LEADS, FEW_IDS = 8, 100_000
+#: Most document ids to broadcast, and the ratio of sizes that bounds a size class.
+FEW_IDS, CLASS = 100_000, 1.1
 #: Texts that a kernel looks at together, and classes that a task remembers (8 bytes each).
 SLICE, REMEMBERED = 500, 1 << 20
 #: Cost of comparing two sets by shingle, against one entry of an inverted list.
@@ -63,7 +70,8 @@ COMPARE = 0.5
 _BASE = 0x9E3779B97F4A7C15
 _WORDS = WordHashes()
 _SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("c2", pa.int64())])
-_ENTRIES = pa.schema([("g", pa.int64()), ("kind", pa.int32()), ("c", pa.int64()), ("n", pa.int32())])
+#: kind: the partner size of a light entry, or minus the shingles from this one on; nh: size, and common shingles of the prefix
+_ENTRIES = pa.schema([("g", pa.int64()), ("kind", pa.int32()), ("c", pa.int64()), ("nh", pa.int64())])
 
 
 def need(s: int, t: int, percent: int = PERCENT) -> int:
@@ -149,9 +157,9 @@ def light_keys(h: np.ndarray, x: int, percent: int = PERCENT) -> list[tuple[int,
 
 def _entries(n: int, percent: int, x: int, common, seed: int):
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, frequent = _Once(), common.value
+        once, (frequent, rank) = _Once(), common.value
         for batch in sliced(batches, rows=SLICE):
-            gs, kinds, cs, ns = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+            gs, kinds, cs, nhs = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for raw in binaries(batch.column("text")):
                 h = shingles(raw, n)
                 s = len(h)
@@ -161,15 +169,16 @@ def _entries(n: int, percent: int, x: int, common, seed: int):
                 if s <= x:
                     for key, t in light_keys(h, x, percent):
                         gs.append(np.array([key])), kinds.append(np.array([t], np.int32))
-                        cs.append(np.array([c])), ns.append(np.array([s], np.int32))
+                        cs.append(np.array([c])), nhs.append(np.array([s << 32]))
                 if s > x or max(reach(s, percent)) > x:
                     p = prefix(s, percent)
-                    late = frequent[np.searchsorted(frequent[:-1], h)] == h if len(frequent) else np.zeros(s, bool)
+                    at = np.searchsorted(frequent[:-1], h) if len(frequent) else np.zeros(s, np.int64)
+                    late = frequent[at] == h if len(frequent) else np.zeros(s, bool)
                     rare = h[~late][:p]
-                    chosen = rare if len(rare) == p else np.concatenate([rare, h[late][:p - len(rare)]])
-                    gs.append(chosen.view(np.int64)), kinds.append(np.zeros(p, np.int32))
-                    cs.append(np.full(p, c)), ns.append(np.full(p, s, np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (gs, kinds, cs, ns)], schema=_ENTRIES)
+                    hot = h[late][np.argsort(rank[at[late]])][:p - len(rare)] if len(rare) < p else h[:0]
+                    gs.append(np.concatenate([rare, hot]).view(np.int64)), kinds.append(-(s - np.arange(p, dtype=np.int32)))
+                    cs.append(np.full(p, c)), nhs.append(np.full(p, s << 32 | len(hot)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (gs, kinds, cs, nhs)], schema=_ENTRIES)
     return entries
 
 
@@ -187,15 +196,19 @@ def choose_boundary(sizes: dict[int, int], percent: int = PERCENT, max_light: in
     return min(range(max_light + 1), key=cost)
 
 
-def _common(docs: DataFrame, n: int, percent: int, most: int) -> np.ndarray:
-    """At most ``most`` of the shingles that fill long lists, the longest ones."""
+def _common(docs: DataFrame, n: int, percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` of the shingles that fill long lists, the longest ones, sorted, and their ranks by length."""
     counts = cut_lineage(docs.select("text").mapInArrow(_first_quarter(n, percent), "g bigint").groupBy("g").count().where(
         F.col("count") > LONG_LIST), "long-lists")
     bound = LONG_LIST
     while counts.where(F.col("count") > bound).count() > most:
         bound *= 2
-    held = counts.where(F.col("count") > bound).select("g").toArrow().column("g").to_numpy()
-    return np.sort(held.view(np.uint64))
+    held = counts.where(F.col("count") > bound).toArrow()
+    g, length = held.column("g").to_numpy().view(np.uint64), held.column("count").to_numpy()
+    rank = np.empty(len(g), np.int32)
+    rank[np.lexsort((g, length))] = np.arange(len(g), dtype=np.int32)
+    order = np.argsort(g)
+    return g[order], rank[order]
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,20 +234,50 @@ def _members(n: int, seed: int):
     return members
 
 
+def _up(x: Column, y: int) -> Column:
+    return F.floor((x + (y - 1)) / y)
+
+
+def _need(na: Column, nb: Column, percent: int) -> Column:
+    return _up((na + nb) * percent, 100 + percent)
+
+
+def _near(na: Column, nb: Column, percent: int) -> Column:
+    return (na * 100 >= nb * percent) & (nb * 100 >= na * percent)
+
+
 def _likely(met: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that meet in enough lists to link, from one row (ca, na, cb, nb) for each list where they meet.
+    """Pairs (a, b) that meet in enough lists to link, from one row (ca, na, cb, nb, spare) for each list where they meet.
 
-    Of the shingles two linked sets share, at most ``s - prefix(s)`` of the larger one's lie outside the lists.
+    Of the shingles two linked sets share, at most ``s - prefix(s)`` of the larger one's lie outside the lists, and
+    ``spare`` in lists that are not looked at.
     """
     na, nb = F.col("na"), F.col("nb")
-    up = lambda x, y: F.floor((x + (y - 1)) / y)
-    least = up((na + nb) * percent, 100 + percent) - (up(F.greatest(na, nb) * percent, 100) - 1)
-    near = met.where((na * 100 >= nb * percent) & (nb * 100 >= na * percent))
-    pairs = near.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(
+    least = _need(na, nb, percent) - (_up(F.greatest(na, nb) * percent, 100) - 1) - F.col("spare")
+    pairs = met.where(_near(na, nb, percent)).groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(
         F.count("*").alias("lists"), F.first(least).alias("least"))
     return pairs.where("lists >= least").select("a", "b")
 
 
+def _apart_in_common(hot: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets with different labels that may share their first shingle in a list of a common one, from rows
+    (g, c, n, left, label, hub_label)."""
+    size_class = lambda size: F.floor(F.ln(size.cast("double")) / F.lit(float(np.log(CLASS)))).cast("int")
+    n, left = F.col("na"), F.col("left_a")
+    # a set of t shingles can be the partner only if need(s, t) are left
+    largest = F.least(_up(n * 100, percent), F.floor(left * (100 + percent) / percent) - n)
+    one = hot.where("label <> hub_label").select("g", F.col("c").alias("ca"), F.col("n").alias("na"), F.col("left").alias("left_a"), F.col("label").alias("la"))
+    one = one.withColumn("_most", largest).where(F.col("_most") * 100 >= n * percent)
+    one = one.withColumn("_class", F.explode(F.sequence(size_class(F.greatest(F.floor(n * percent / 100), F.lit(1))), size_class(F.col("_most")))))
+    two = hot.select("g", size_class(F.col("n")).alias("_class"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("left").alias("left_b"),
+                     F.col("label").alias("lb"), F.col("hub_label"))
+    nb = F.col("nb")
+    met = one.join(two, ["g", "_class"]).where((F.col("la") != F.col("lb")) & _near(n, nb, percent)
+                                               & (F.least("left_a", "left_b") >= _need(n, nb, percent))
+                                               & ((F.col("lb") == F.col("hub_label")) | (F.col("ca") < F.col("cb"))))
+    return met.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
     """The pairs (a, b) of classes that link, judged by all their shingles."""
     wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
@@ -268,37 +311,43 @@ def links(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFram
     small = dict(classes.where(F.col("n") <= 2 * MAX_LIGHT).groupBy("n").count().collect())
     x = choose_boundary(small, percent)
     common = spark.sparkContext.broadcast(_common(rows, n, percent, COMMON))
-    entries = rows.select("text").mapInArrow(_entries(n, percent, x, common, seed), "g bigint, kind int, c bigint, n int")
+    entries = cut_lineage(rows.select("text").mapInArrow(_entries(n, percent, x, common, seed), "g bigint, kind int, c bigint, nh bigint"), "entries")
+    first_common = f"n - ceil({percent} * n / 100) + 1 - h"  # place of the first common shingle in the prefix
+    known = entries.selectExpr("g", "kind", "c", "cast(shiftright(nh, 32) as int) AS n", "cast(nh & 4294967295 as int) AS h").selectExpr(
+        "*", f"kind < 0 AND n + kind >= {first_common} AS hot", f"if(kind < 0, h / (n - ceil({percent} * n / 100) + 1), 0.0) AS score")
     w = "PARTITION BY g, kind_of"
-    ends = entries.withColumn("kind_of", F.when(F.col("kind") == 0, 0).otherwise(1)).selectExpr(
-        "g", "kind", "kind_of", "c", "n", f"min(struct(c, n)) OVER ({w}) AS lead", f"max(struct(c, n)) OVER ({w}) AS last",
+    ends = known.where("NOT hot").withColumn("kind_of", F.when(F.col("kind") < 0, 0).otherwise(1)).selectExpr(
+        "g", "kind", "kind_of", "c", "n", "h", f"max(struct(score, c, n)) OVER ({w}) AS lead", f"min(c) OVER ({w}) AS c0", f"max(c) OVER ({w}) AS c1",
         f"min(struct(n, c)) OVER ({w}) AS low", f"max(struct(n, c)) OVER ({w}) AS high")
-    lists = cut_lineage(ends.where("lead.c <> last.c").drop("last"), "lists")
-    # light lists: sizes are the two of the key; each set links with the least set of the other size, or of its own
+    lists = cut_lineage(ends.where("c0 <> c1").drop("c0", "c1"), "lists")
+    # light lists: sizes are the two of the key; each set links with one set of the other size, or of its own
     low, high = F.col("low"), F.col("high")
     light = lists.where("kind_of = 1")
     one = light.where((low["n"] == high["n"]) & (F.col("kind") == F.col("n"))).select(F.col("c").alias("a"), F.col("lead.c").alias("b"))
     two = light.where(low["n"] != high["n"]).select(
         F.col("c").alias("a"), F.when(F.col("n") == low["n"], high["c"]).otherwise(low["c"]).alias("b"))
     certain = one.union(two).where("a <> b")
-    # heavy lists, first round: against the least set of the list
-    heavy = cut_lineage(lists.where("kind_of = 0").select("g", "c", "n", "lead").distinct(), "heavy")
-    met = lambda lead: (F.col("c").alias("ca"), F.col("n").alias("na"), lead["c"].alias("cb"), lead["n"].alias("nb"))
-    order = [F.min(F.struct(F.xxhash64("c", F.lit(i)).alias("h"), "c", "n")) for i in range(LEADS)]
-    leads = heavy.groupBy("g").agg(F.count("*").alias("size"), F.array_distinct(F.array(*order)).alias("leads")).where(
-        F.col("size") > LEADS).select("g", "leads")
-    more = heavy.join(leads, "g").select("c", "n", F.explode("leads").alias("lead")).where("lead.c <> c")
-    first = cut_lineage(_likely(heavy.where("lead.c <> c").select(*met(F.col("lead"))).union(more.select(*met(F.col("lead")))),
-                                percent), "pairs")
+    # first round: against the hub of the list
+    rare = cut_lineage(lists.where("kind_of = 0").select("g", "c", "n", "h", "lead").distinct(), "uncommon-lists")
+    hot = known.where("hot").select("g", "c", "n", (-F.col("kind")).alias("left"), "score").distinct()
+    hubs = cut_lineage(hot.groupBy("g").agg(F.max(F.struct("score", "c", "n")).alias("lead"), F.count("*").alias("sets")).where("sets > 1").drop("sets"), "hubs")
+    hot = cut_lineage(hot.join(hubs, "g").select("g", "c", "n", "left", "lead"), "common-lists")
+    met = lambda df: df.where("lead.c <> c").select(F.col("c").alias("ca"), F.col("n").alias("na"), F.col("lead.c").alias("cb"),
+                                                    F.col("lead.n").alias("nb"), F.lit(0).alias("spare"))
+    first = cut_lineage(_likely(met(rare).unionByName(met(hot)), percent), "pairs")
     found = _verified(first, rows, classes, n, percent, seed)
     # second round: sets of a list that the first one left in different components
-    label = components(found).select(F.col("node").alias("c"), F.col("component").alias("label"))
-    marked = cut_lineage(heavy.join(label, "c", "left").select("g", "c", "n", F.coalesce("label", "c").alias("label")), "marked")
-    groups = marked.select("g", "label").distinct()
-    apart = groups.select("g", F.col("label").alias("la")).join(groups.select("g", F.col("label").alias("lb")), "g").where("la < lb")
-    ma = marked.select("g", F.col("label").alias("la"), F.col("c").alias("ca"), F.col("n").alias("na"))
-    mb = marked.select("g", F.col("label").alias("lb"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-    second = _likely(apart.join(ma, ["g", "la"]).join(mb, ["g", "lb"]).select("ca", "na", "cb", "nb"), percent)
+    label = cut_lineage(components(found).select(F.col("node").alias("c"), F.col("component").alias("label")), "labels")
+    marked = cut_lineage(rare.join(label, "c", "left").select("g", "c", "n", "h", F.coalesce("label", "c").alias("label")), "marked")
+    mixed = marked.groupBy("g").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("g")
+    marked = cut_lineage(marked.join(mixed, "g"), "marked")
+    a, b = (marked.select("g", *[F.col(k).alias(f"{k}{side}") for k in ("c", "n", "h", "label")]) for side in "ab")
+    apart = a.join(b, "g").where((F.col("ca") < F.col("cb")) & (F.col("labela") != F.col("labelb")) & _near(F.col("na"), F.col("nb"), percent))
+    pairs = _likely(apart.select("ca", "na", "cb", "nb", F.least("ha", "hb").alias("spare")), percent)
+    hub_label = label.select(F.col("c").alias("_hub"), F.col("label").alias("_hub_label"))
+    named = hot.join(label, "c", "left").join(hub_label, F.col("lead.c") == F.col("_hub"), "left").select(
+        "g", "c", "n", "left", F.coalesce("label", "c").alias("label"), F.coalesce("_hub_label", F.col("lead.c")).alias("hub_label"))
+    second = pairs.union(_apart_in_common(cut_lineage(named, "named"), percent)).distinct()
     rest = _verified(cut_lineage(second.join(first, ["a", "b"], "left_anti"), "pairs"), rows, classes, n, percent, seed)
     return sets, certain.union(found).union(rest)
 

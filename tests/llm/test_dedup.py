@@ -66,8 +66,10 @@ def test_light_lists_and_boundary(docs, monkeypatch):
 
 
 def test_common_shingles_only_order_the_lists(docs, monkeypatch):
-    monkeypatch.setattr(J, "LONG_LIST", 2)
-    texts = near_copies(5)
+    monkeypatch.setattr(J, "LONG_LIST", 1)
+    base = [f"b{i}" for i in range(120)]
+    rng = random.Random(11)
+    texts = near_copies(5) + [" ".join(f"e{rng.random()}" if rng.random() < share else w for w in base) for share in [0.0] + [0.01, 0.03, 0.05] * 12]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.join(docs(texts)).collect()}
     assert got == brute_components(list(range(len(texts))), texts)
 
@@ -156,5 +158,25 @@ def test_drop_repeats_changes_texts(docs):
     assert got == {0: (words(60), len(words(60))), 1: ("a b c d", 7), 2: ("e\nf", 3), 3: (None, None)}
 
 
+def test_drop_repeats_with_clashing_names(docs):
+    names = ["starts", "every", "row", "id", "key", "_id", "_key", "tkey", "a.b"]
+    df = docs([words(60), "a " + words(60), None, words(60), words(70)], ids=[3, 1, 2, None, None], extra=names)
+    rows = S.drop_repeats(df)
+    assert rows.schema == df.schema and all(r[n] == "clash" for r in rows.collect() for n in names)
+    assert sorted(((r["doc_id"], r["text"]) for r in rows.collect()), key=str) == sorted(
+        [(1, "a " + words(60)), (2, None), (3, ""), (None, words(60)), (None, words(70))], key=str)
+
+
+def test_hot_windows_are_looked_up(docs, monkeypatch):
+    rng = random.Random(6)
+    shared = words(55, stem="hot")
+    texts = [f"{words(rng.randrange(30), 100 * i)} {shared} {words(9, 100 * i + 50)}" for i in range(40)] + [words(60), words(60)] + ODD
+    ids = rng.sample(range(1000), len(texts))
+    for hot in (1, 25, 1000):  # none, the shared passage, all
+        monkeypatch.setattr(S, "HOT", hot)
+        assert sorted(tuple(r) for r in S.substring_dedup(docs(texts, ids)).collect()) == brute_dedup(ids, texts, 50)
+
+
 def test_dedup_of_nothing(docs):
     assert S.substring_dedup(docs([])).count() == 0
+    assert S.drop_repeats(docs([])).count() == 0
