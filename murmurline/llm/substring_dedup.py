@@ -10,15 +10,18 @@ more different texts go on.
 
 *Extend.* A document is extended both ways around its shared anchors: every window whose anchor is shared gets a hash of
 all its words, and (anchor, hash) groups find the smallest document of each window. Extending by groups and not by pairs
-keeps n copies at n rows per window. Overlapping repeated windows merge into maximal repeats, and their words go.
+keeps n copies at n rows per window. Overlapping repeated windows merge into maximal repeats, and their words go. A window
+that more than one row in HOT has, of which there are HOT at most, is looked up in a list that all tasks get, so it need
+not meet its rows in one task; the others are joined.
 
 Texts with equal word sequences form a class, found first; only the smallest document of a class is seeded and
 extended, and the others are repeats as a whole. Group keys are pre-aggregated before each shuffle, and the join back to
 positions is an ordinary join that adaptive execution splits. Texts cross a shuffle in compressed form.
 
 Defined cases: null and empty texts have no words (n_words 0, kept_sha256 of the empty string). Texts below LENGTH words
-lose nothing. Rows with the same doc_id never remove each other's words. Extra columns are ignored by
-``substring_dedup``; ``drop_repeats`` keeps the columns it is given.
+lose nothing. Rows with the same doc_id never remove each other's words. Rows without a doc_id come after all others:
+they have no smaller doc_id, lose nothing and take nothing from other rows. Very long texts are judged whole, in one task
+each. Extra columns are ignored by ``substring_dedup``; ``drop_repeats`` keeps the columns it is given, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,11 +34,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from murmurline.llm.common import WordHashes, batches_of, binaries, compressed, mix, text_key, unzip
 from murmurline.session import cut_lineage
 
 LENGTH, GRAM = 50, 25
+#: A window with more than one of so many rows is hot; a list holds them.
+HOT = 1000
 
 _BASE_A, _BASE_H = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _KEYS = "doc_id bigint, tkey bigint"
@@ -153,6 +159,7 @@ def _apply(length: int):
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, tkey, every, starts: texts that are repeats as a whole, and start positions of repeated windows."""
+    docs = docs.where("doc_id IS NOT NULL")
     seeds = cut_lineage(docs.select("doc_id", "text").mapInArrow(
         _seeds(length, gram), f"{_KEYS}, n_words bigint, d1 bigint, d2 bigint, anchors array<bigint>"), "seeds")
     long = seeds.where(F.col("n_words") >= length)
@@ -166,8 +173,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     texts = compressed(docs)
     windows = cut_lineage(texts.join(own, ["doc_id", "tkey"]).select("doc_id", "tkey", "z", "anchors").mapInArrow(
         _windows(length, gram), f"anchor bigint, h bigint, {_KEYS}, pos int"), "windows")
-    least = windows.groupBy("anchor", "h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
-    starts = windows.join(least, ["anchor", "h"]).where("lo < doc_id").groupBy("doc_id", "tkey").agg(
+    least = cut_lineage(windows.groupBy("anchor", "h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
+                        .where("lo < hi").drop("hi"), "repeated-windows")
+    hot = (F.col("n") * HOT > windows.count())  # at most HOT of them
+    often = F.broadcast(least.where(hot).select("anchor", "h", "lo"))
+    later = windows.join(often, ["anchor", "h"]).unionByName(
+        windows.join(often, ["anchor", "h"], "left_anti").join(least.where(~hot).select("anchor", "h", "lo"), ["anchor", "h"]))
+    starts = later.where("lo < doc_id").groupBy("doc_id", "tkey").agg(
         F.collect_set("pos").alias("starts")).select(F.struct("doc_id", "tkey").alias("owner"), "starts")
     every = F.col("doc_id") > F.col("owner.doc_id")
     return classes.join(starts, "owner", "left").select(
@@ -195,11 +207,7 @@ def _cut(length: int):
                     words = raw.split()
                     raw = b" ".join([w for w, g in zip(words, _gone(len(words), every, starts, length)) if not g])
                 texts.append(None if raw is None else raw.decode("utf-8", "replace"))
-            columns = {n: batch.column(n) for n in batch.schema.names if n not in ("every", "starts")}
-            columns["text"] = pa.array(texts, batch.schema.field("text").type)
-            if "n_chars" in columns:
-                columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], columns["n_chars"].type)
-            yield pa.RecordBatch.from_pydict(columns)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
     return cut
 
 
@@ -208,20 +216,19 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
 
     A column ``n_chars`` is set to the characters of the text.
     """
-    names = docs.columns
-    keyed = docs.mapInArrow(_with_key, _ddl(docs) + ", _tkey bigint")
-    found = repeats(docs, length, gram).select(F.col("doc_id").alias("_doc"), F.col("tkey").alias("_key"), "every", "starts")
-    joined = keyed.join(found, (F.col("doc_id") == F.col("_doc")) & (F.col("_tkey") == F.col("_key")), "left")
-    return joined.select(*names, "every", "starts").mapInArrow(_cut(length), docs.schema)
+    # the given columns travel as one, so that none can clash with those of the join
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), "text")
+    keyed = packed.mapInArrow(_with_key, T.StructType([*packed.schema.fields, T.StructField("key", T.LongType())]))
+    found = repeats(docs, length, gram).select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key"), "every", "starts")
+    joined = keyed.join(found, (F.col("id") == F.col("_id")) & (F.col("key") == F.col("_key")), "left")
+    cut = joined.select("row", "text", "every", "starts").mapInArrow(_cut(length), T.StructType([packed.schema["row"], T.StructField("text", T.StringType())]))
+    kept = {"text": F.col("text"), "n_chars": F.length("text")}
+    return cut.select(*[(kept[f.name] if f.name in kept else F.col("row")[f.name]).cast(f.dataType).alias(f.name) for f in docs.schema.fields])
 
 
 def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield batch.append_column("_tkey", pa.array(map(text_key, binaries(batch.column("text"))), pa.int64()))
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+        yield batch.append_column("key", pa.array(map(text_key, binaries(batch.column("text"))), pa.int64()))
 
 
 def sql(source: str = "documents", length: int = LENGTH) -> str:
