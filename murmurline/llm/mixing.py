@@ -5,16 +5,17 @@ share of all words; a source gives at most ``MAX_EPOCHS`` times its size, and wh
 weight. A source's documents stand in a fixed pseudo-random order and are read through again and again until its target
 is met; the last document may be taken in part, so each source meets its target to the word. The demand for a source up
 to time u is its target times the integral of its schedule; inverting it turns the words taken so far into a training
-position. Rows come out range-sorted by position. ``mix`` has a row per document, with the position of its first pass
-(also where nothing is taken); ``passes`` and ``take`` have a row per pass that is taken, each at its own position.
+position. Rows come out range-sorted by position. ``mix`` has a row per document, with the positions of all passes that
+take something of it; ``passes`` and ``take`` have a row per such pass, each at its own position.
 
 Prefix sums run over range partitions ordered by (source, hash of the document), so a source with a third of all rows
 is spread over as many tasks as its share needs. Sources are a table of their own: they are numbered and their targets
 found by distributed aggregates, of which the driver sees three numbers a round.
 
-Defined cases: a null text has size 0, takes 0 and keeps a position; the null source is a source, after all others.
-Rows with the same doc_id are taken one by one (whole-row ties are interchangeable). An empty table gives an empty
-result. Extra columns pass through ``mix`` unless they have the name of a new column, which replaces them.
+Defined cases: a null text has size 0, takes 0 and has no position; the null source is a source, after all others.
+Rows with the same doc_id are taken one by one (whole-row ties are interchangeable), rows without a doc_id too. A very
+long text is counted whole; the last part of a source may cut it. An empty table gives an empty result. ``mix`` returns
+the columns named by ``keep`` and its own; ``take`` the columns it is given, whatever their names.
 """
 
 from __future__ import annotations
@@ -110,9 +111,9 @@ def _position(words: Column) -> Column:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS,
         schedules: tuple[Schedule, ...] = SCHEDULES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Per document: the columns ``keep``, size, source_size, target, taken and position, range-sorted by position.
+    """Per document: the columns ``keep``, size, source_size, target, taken and positions, range-sorted by the first of them.
 
-    ``position`` is the training time, 0 to 1, of the middle of the document's first pass.
+    ``positions`` are the training times, 0 to 1, of the middle of the document in each pass that takes something of it.
     """
     joined = _laid(docs, weights, share, max_epochs, schedules, keep)
     asked = F.floor("target")
@@ -120,9 +121,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     rest = asked - passes * F.col("source_size")
     taken = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(
         passes * F.col("size") + F.least(F.greatest(rest - F.col("before"), F.lit(0)), F.col("size"))).cast("long")
-    out = joined.select(*keep, "size", "source_size", "target", taken.alias("taken"),
-                        _position(F.col("before") + F.col("size") / 2).alias("position"))
-    return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    out = joined.select(*keep, "size", "source_size", "target", "slope", "before", taken.alias("taken"))
+    # every pass but the last takes the whole document
+    times = F.ceil(F.try_divide("taken", "size")).cast("int")
+    at = F.transform(F.sequence(F.lit(0), times - 1), lambda k: _position(k * F.col("source_size") + F.col("before") + F.col("size") / 2))
+    positions = F.when(F.col("taken") > 0, at).otherwise(F.array().cast("array<double>"))
+    out = out.select(*keep, "size", "source_size", "target", "taken", positions.alias("positions"))
+    first = F.get("positions", F.lit(0))
+    return out.repartitionByRange(first, F.col("doc_id")).sortWithinPartitions(first, F.col("doc_id"))
+
+
+def schedule(docs: DataFrame) -> DataFrame:
+    """The columns of the query: those of ``mix``, with the position of the first pass (null if nothing is taken) and of
+    the second one (null if there is none; the default parameters take no third)."""
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"),
+                            F.get("positions", F.lit(1)).alias("second_position"))
 
 
 def passes(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS,
@@ -148,18 +161,20 @@ def take(docs: DataFrame, **parameters) -> DataFrame:
     Rows are range-sorted by the position of their pass, which is not a column of the result. Rows equal in doc_id,
     source and text are interchangeable. A column ``n_chars`` is set to the characters of the row.
     """
-    names = docs.columns
-    keyed = docs.withColumn("_key", F.xxhash64("text", "source"))
-    taken = passes(keyed, keep=("doc_id", "_key"), **parameters).select(
-        F.col("doc_id").alias("_doc"), F.col("_key").alias("_taken_key"), F.col("words").cast("int").alias("_words"),
-        (F.col("words") == F.col("size")).alias("_whole"), F.col("position").alias("_position"))
-    once = keyed.dropDuplicates(["doc_id", "_key"])
-    rows = once.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_taken_key")))
+    # the given columns travel as one, so that none can clash with those of the join
+    packed = docs.select(F.col("doc_id"), F.col("text"), F.col("source"), F.xxhash64("text", "source").alias("key"),
+                         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    taken = passes(packed, keep=("doc_id", "key"), **parameters).select(
+        F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("words").cast("int").alias("words"),
+        (F.col("words") == F.col("size")).alias("whole"), "position")
+    once = packed.dropDuplicates(["doc_id", "key"])
+    rows = once.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")))
     words = F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
-    cut = rows.withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("_words")), " ")))
-    if "n_chars" in names:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.repartitionByRange("_position", "doc_id").sortWithinPartitions("_position", "doc_id").select(*names)
+    cut = rows.select("row", "doc_id", "position", F.when(F.col("whole"), F.col("text")).otherwise(
+        F.array_join(F.slice(words, F.lit(1), F.col("words")), " ")).alias("text"))
+    ordered = cut.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    kept = {"text": F.col("text"), "n_chars": F.length("text")}
+    return ordered.select(*[(kept[f.name] if f.name in kept else F.col("row")[f.name]).cast(f.dataType).alias(f.name) for f in docs.schema.fields])
 
 
 # Rounds of the targets in SQL: after as many rounds as there are weights groups and sources the fixed point is reached.
@@ -169,6 +184,7 @@ SQL_ROUNDS = 24
 def sql(source: str = "documents") -> str:
     """The same in DuckDB SQL, for the default parameters (a source stops within SQL_ROUNDS rounds)."""
     n = len(WEIGHTS)
+    at = lambda x: f"round(CAST(2 * {x} / ((1 - slope) + sqrt(greatest((1 - slope) * (1 - slope) + 4 * slope * {x}, 0))) AS DOUBLE), 9)"
     pick = lambda values: f"[{', '.join(str(float(v)) for v in values)}][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {n} + 1 AS INTEGER)]"
     rounds = "".join(f""", r{i} AS (
   SELECT s.*, 2.0 * s.source_size <= s.weight * g.free / g.w AS is_full
@@ -188,11 +204,12 @@ targets AS (
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(CAST(d.doc_id AS VARCHAR)), d.doc_id, d.size
                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM sizes d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source), shared AS (
-  SELECT *, floor(asked / source_size) AS passes, least((before + size / 2) / greatest(target, 1.0), 1.0) AS share FROM laid), mixed AS (
+  SELECT *, floor(asked / source_size) AS passes, least((before + size / 2) / greatest(target, 1.0), 1.0) AS share,
+    least((source_size + before + size / 2) / greatest(target, 1.0), 1.0) AS share2 FROM laid), mixed AS (
   SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE
     passes * size + least(greatest(asked - passes * source_size - before, 0), size) END AS BIGINT) AS taken,
-    round(CAST(2 * share / ((1 - slope) + sqrt(greatest((1 - slope) * (1 - slope) + 4 * slope * share, 0))) AS DOUBLE), 9) AS position
+    CASE WHEN taken > 0 THEN {at("share")} END AS position, CASE WHEN taken > size THEN {at("share2")} END AS second_position
   FROM shared)"""
 
 
-SQL = f"WITH {sql()}\nSELECT doc_id, size, source_size, target, taken, position FROM mixed"
+SQL = f"WITH {sql()}\nSELECT doc_id, size, source_size, target, taken, position, second_position FROM mixed"
