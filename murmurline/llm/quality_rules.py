@@ -5,8 +5,9 @@ functions and no shuffle: every row is judged from its own whole text, so a hot
 more than its rows.
 
 Defined cases: a null or empty text has no words, so all counts are 0, ratios are null and pass, and the document fails
-the length rule. Equal rows get equal verdicts. An empty table stays empty. Columns of the input that have the name of
-a new column are replaced (``measure``) or left out (``quality_rules``).
+the length rule. Equal rows get equal verdicts. An empty table stays empty. A very long text is measured whole, by one
+row's expressions, whose arrays hold all of its words. Columns of the input that have the name of a new column are
+replaced (``measure``) or left out (``quality_rules``); ``keep_good`` keeps them as they are.
 """
 
 from __future__ import annotations
@@ -67,12 +68,14 @@ RULES = (
 )
 
 
-def measure(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the counts and ratios of each whole text.
+def measure(df: DataFrame, text: str = "text", stop_words: tuple[str, ...] | None = None) -> DataFrame:
+    """Adds the counts and ratios of each whole text. ``stop_words`` are the spellings that count as stop words, by default
+    those of the languages above; with none the share of stop words is unknown and its rule passes.
 
     A repeated word lies in a 5-word window that occurs twice or more in its text. Windows of one text are compared by
     64-bit hashes; texts whose windows all differ, the usual case, are told by one distinct count and skip the sort.
     """
+    spellings = list(_SPELLINGS if stop_words is None else stop_words)
     body = F.coalesce(F.col(text), F.lit(""))
     trimmed = F.btrim(body, F.lit(" \t\n\x0b\x0c\r"))
     words = F.when(trimmed != "", F.split(trimmed, SPACE)).otherwise(F.array().cast("array<string>"))
@@ -90,12 +93,13 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
         "n_words": F.size("_words").cast("long"),
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
         "n_symbols": F.regexp_count(body, F.lit("[#*$%&|<>]")).cast("long"),
-        "n_numbers": F.regexp_count(body, F.lit("[0-9]+")).cast("long"),
+        # words that hold a digit: a key or an address of many runs of digits is one word
+        "n_numbers": F.regexp_count(body, F.lit(r"[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*")).cast("long"),
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_bullets": F.size(F.filter("_lines", lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*•]"))).cast("long"),
         "n_cut": F.size(F.filter("_lines", lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))).cast("long"),
-        "n_stop": F.size(F.filter("_words", lambda w: w.isin(_SPELLINGS))).cast("long"),
+        "n_stop": F.size(F.filter("_words", lambda w: w.isin(spellings))).cast("long") if spellings else F.lit(0).cast("long"),
         "_hashes": F.transform("_words", lambda w: F.xxhash64(w))})
     out = out.withColumn("_keys", keys)
     # sorted (hash, position): equal neighbours are windows that repeat
@@ -112,7 +116,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
         "repeat_pct": F.col("n_repeat_words") * 100 / words_d,
         "mean_word_chars": F.col("word_chars") / words_d,
         "symbol_ratio": F.col("n_symbols") / words_d,
-        "stop_ratio_long": F.when(F.col("n_words") >= 25, F.col("n_stop") / words_d),
+        "stop_ratio_long": F.when(F.lit(bool(spellings)) & (F.col("n_words") >= 25), F.col("n_stop") / words_d),
         "number_ratio": F.col("n_numbers") / words_d,
         "dup_line_ratio": F.col("n_dup_lines") / lines_d,
         "bullet_line_ratio": F.col("n_bullets") / lines_d,
@@ -136,18 +140,25 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
+def _settled(df: DataFrame) -> DataFrame:
+    """``df`` in a form into which the optimizer cannot move a later filter, which would write every measure out again.
+
+    A row number is not deterministic to the optimizer, so nothing that depends on it is moved or repeated.
+    """
+    whole = F.when(F.monotonically_increasing_id() >= 0, F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("_m")
+    return df.select(whole).select("_m.*")
+
+
+def quality_rules(docs: DataFrame, stop_words: tuple[str, ...] | None = None) -> DataFrame:
     """doc_id, the counts, base_failed, kept and failed_rules of each document."""
-    return judge(measure(docs.select("doc_id", "text"))).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
+    return _settled(judge(measure(docs.select("doc_id", "text"), stop_words=stop_words)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules"))
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, stop_words: tuple[str, ...] | None = None) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    judged = judge(measure(docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text"))))
-    # a row number keeps the optimizer from moving the condition, with all its measures written out, below the measures
-    numbered = judged.select("_doc", "kept", F.monotonically_increasing_id().alias("_row"))
-    return numbered.where(F.col("kept") & (F.col("_row") >= 0)).select("_doc.*")
+    judged = judge(measure(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("text")), stop_words=stop_words))
+    return _settled(judged.select("_doc", "kept")).where("kept").select("_doc.*")
 
 
 def _measures_sql(source: str) -> str:
@@ -165,7 +176,7 @@ def _measures_sql(source: str) -> str:
         FROM windows)), counted AS (
   SELECT *, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
     CAST(len(regexp_extract_all(body, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
-    CAST(len(regexp_extract_all(body, '[0-9]+')) AS BIGINT) AS n_numbers, len(lines) AS n_lines,
+    CAST(len(list_filter(words, lambda w: regexp_matches(w, '[0-9]'))) AS BIGINT) AS n_numbers, len(lines) AS n_lines,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
     len(list_filter(lines, lambda x: regexp_matches(x, '^{ws}*[-*•]'))) AS n_bullets,
     len(list_filter(lines, lambda x: regexp_matches(x, '(\\.\\.\\.|…){ws}*$'))) AS n_cut,

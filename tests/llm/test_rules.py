@@ -99,6 +99,30 @@ def test_keep_good_is_the_verdict(docs):
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in Q.quality_rules(df).where("kept").collect()} == {0, 4}
 
 
+def test_filters_on_every_column_end(docs):
+    """A filter after the operator is not written out with all measures."""
+    texts = ["the cat and the dog went to a house in the wood where it was " + " ".join(f"w{chr(97 + k)}" for k in range(i)) for i in range(30)]
+    rows = Q.quality_rules(docs(texts))
+    whole = rows.collect()
+    for c in rows.columns:
+        value = whole[7][c]
+        assert sorted(map(str, rows.where(F.col(c) == F.lit(value)).collect())) == sorted(str(r) for r in whole if r[c] == value)
+    assert rows.where("kept").select("n_words").count() == sum(r["kept"] for r in whole)
+
+
+def test_numbers_are_words_with_digits(docs):
+    key = "the key of this machine is 0a1b2c3d4e5f60718293a4b5 and that is it"
+    got = Q.quality_rules(docs([key, "1 2 3 4 5 6 7 8 9 10 11 of the", "a1b2 c3 d4 e5 f6 g7 h8 i9 j1 k2 the"])).collect()
+    assert {r["doc_id"]: r["failed_rules"] for r in got} == {0: "", 1: "word_length,few_numbers", 2: "few_numbers"}
+
+
+def test_stop_words_are_a_parameter(docs):
+    polish = "to jest dom w którym mieszka kot a pies śpi na dachu gdy pada deszcz lub śnieg i nikt go nie widzi ani nie słyszy bo jest cicho tam gdzie stoi"
+    texts = [polish.replace("to ", "tu "), "x" + " zz" * 3]
+    one, two, three = (Q.quality_rules(docs(texts), **kw).orderBy("doc_id").first()["failed_rules"] for kw in ({}, {"stop_words": ()}, {"stop_words": ("jest", "nie")}))
+    assert (one, two, three) == ("some_stop_words", "", "")
+
+
 def test_quality_of_nothing(docs):
     assert Q.quality_rules(docs([])).count() == 0
 
@@ -136,12 +160,14 @@ def test_mix_equals_sql_and_meets_targets(docs):
     texts = [words(rng.randrange(1, 400)) for _ in range(80)] + [None, "", " "]
     sources = [rng.choice(["a", "b", "c", "d", "é", None, "Z"] + ["a"] * 6) for _ in texts]
     df = docs(texts, sources=sources, extra=["target"])
-    got = M.mix(df).collect()
-    assert sorted(map(tuple, got)) == sorted(in_duckdb(M.SQL, documents=df))
+    got = M.schedule(df).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(in_duckdb(M.SQL, documents=df), key=str)
     by = {}
     for r, s in ((r, sources[r["doc_id"]]) for r in got):
         by.setdefault(s, [0, r["target"]])[0] += r["taken"]
-        assert 0 <= r["taken"] <= 2 * r["size"] and 0 <= r["position"] <= 1
+        assert 0 <= r["taken"] <= 2 * r["size"] and (r["position"] is None) == (r["taken"] == 0)
+        assert (r["second_position"] is None) == (r["taken"] <= r["size"])
+        assert r["taken"] == 0 or 0 <= r["position"] < (r["second_position"] or 2)
     assert all(abs(taken - target) < 1 for taken, target in by.values())
     assert abs(sum(t for _, t in by.values()) - 1.5 * sum(len(SPLIT.findall(t or "")) for t in texts)) < 1e-6
 
@@ -185,6 +211,16 @@ def test_every_pass_stands_at_its_own_position(docs):
     assert got == [(i, t) for _, i, t in sorted(want)]
     at = {(r["doc_id"], r["words"], r["position"]) for r in M.passes(df).collect()}
     assert at == {(i, len(SPLIT.findall(t)), u) for u, i, t in want}
+    assert {(r["doc_id"], u) for r in M.mix(df).collect() for u in r["positions"]} == {(i, u) for u, i, _ in want}
+
+
+def test_take_with_clashing_names(docs):
+    names = ["_words", "_key", "words", "whole", "position", "row", "key", "size", "_doc", "x.y"]
+    df = docs([words(30), words(50, 100), None], sources=["a", "b", "b"], ids=[1, None, 2], extra=names)
+    rows = M.take(df)
+    assert rows.schema == df.schema and all(r[n] == "clash" for r in rows.collect() for n in names)
+    assert {r["doc_id"] for r in rows.collect()} == {1, None}
+    assert M.take(docs([])).count() == 0
 
 
 def test_mix_of_nothing(docs):
