@@ -17,7 +17,8 @@ from a single ordered task. Reading deals blocks out over the cluster; a documen
 the checksums of its pieces, which combine without the ids.
 
 Defined cases: null and empty texts have the end id only. Rows with one doc_id follow each other, ordered by text key.
-An empty table gives no files and an empty result. Extra columns are ignored.
+Rows without a doc_id come first and keep none. A very long text is encoded whole by one task and lies in as many blocks
+as its ids fill. An empty table gives no files and an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from murmurline.llm.common import batches_of, text_key
+from murmurline.llm.common import batches_of, sliced, text_key
 from murmurline.llm.tokenizer import byte_bpe
 from murmurline.session import cut_lineage, scratch_path
 
@@ -42,6 +43,8 @@ BLOCK, LANES = 1 << 15, 32
 #: Blocks that are coded side by side; the vectors have LANES times as many entries.
 TOGETHER = 64
 LOW = np.uint64(1 << 31)
+#: Words whose ids a task remembers while it encodes (some 250 bytes each).
+WORDS = 400_000
 _BLOCK = struct.Struct("<III")
 
 
@@ -180,15 +183,15 @@ def crc32_combine(first: int, second: int, length: int) -> int:
     return first ^ second
 
 
-def _tokens(path: str, end_id: int):
+def _tokens(path: str, end_id: int, words: int):
     schema = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end = byte_bpe(path), np.array([end_id], "<u4").tobytes()
+        bpe, end = byte_bpe(path, words), np.array([end_id], "<u4").tobytes()
         squeeze = zstandard.ZstdCompressor(level=1)
 
         def rows():
-            for batch in batches:
+            for batch in sliced(batches):
                 for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                     text = text or ""
                     ids = np.frombuffer(bpe.encode(text) + end, "<u4")
@@ -227,7 +230,7 @@ def _encode(coder, block: int):
         from pyspark import TaskContext
         code, file = coder.value.encode, TaskContext.get().partitionId()
         held: list[np.ndarray] = []  # ids not written yet
-        open_docs: list[list[int]] = []  # row of the file, doc_id and ids not written yet, of each document in ``held``
+        open_docs: list[list[int]] = []  # row of the file, whether it has no doc_id, doc_id and ids not written yet, of each document
         size = row = number = before = 0
 
         def flush(last: bool):
@@ -241,11 +244,11 @@ def _encode(coder, block: int):
                 docs, left = [], len(own)
                 while left:
                     first = open_docs[0]
-                    take = min(left, first[2])
-                    docs.append((first[0], first[1], take))
-                    first[2] -= take
+                    take = min(left, first[3])
+                    docs.append((*first[:3], take))
+                    first[3] -= take
                     left -= take
-                    if not first[2]:
+                    if not first[3]:
                         open_docs.pop(0)
                 yield file, number, before, len(own), np.array(docs, "<i8").tobytes(), coded
                 number += 1
@@ -256,7 +259,7 @@ def _encode(coder, block: int):
             for batch in batches:
                 for doc, ids in zip(batch.column("doc_id").to_pylist(), _unsqueeze(batch.column("ids"))):
                     held.append(ids)
-                    open_docs.append([row, _NO_ID if doc is None else doc, len(ids)])
+                    open_docs.append([row, int(doc is None), doc or 0, len(ids)])
                     row += 1
                     size += len(ids)
                     if size >= block * TOGETHER:
@@ -267,15 +270,14 @@ def _encode(coder, block: int):
     return encode
 
 
-#: Stands for a null doc_id inside a block.
-_NO_ID = -(1 << 63)
-
+def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, block: int = BLOCK, words: int = WORDS) -> None:
+    """Writes the ids of ``docs`` under the vocabulary ``path`` to the folders ``table`` and ``blocks`` below ``folder``.
 
-def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, block: int = BLOCK) -> None:
-    """Writes the ids of ``docs`` under the vocabulary ``path`` to the folders ``table`` and ``blocks`` below ``folder``."""
+    A task remembers the ids of up to ``words`` words, and of as many stretches between spaces.
+    """
     spark = docs.sparkSession
     tokens = cut_lineage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _tokens(path, end_id), "doc_id bigint, tkey bigint, n bigint, ids binary"), "tokens")
+        _tokens(path, end_id, words), "doc_id bigint, tkey bigint, n bigint, ids binary"), "tokens")
     tokens.select("ids").mapInArrow(_histogram, "id int, count bigint").groupBy("id").agg(
         F.sum("count").alias("count")).write.parquet(f"{folder}/table")
     coder = spark.sparkContext.broadcast(coder_of(spark, folder))
@@ -302,8 +304,8 @@ def _pieces(coder):
                 decoded = coder.value.decode(batch.column("coded").to_pylist()) if batch.num_rows else []
                 for file, block, before, docs, ids in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "before", "docs")), decoded):
                     raw, at = memoryview(ids.astype("<u4").tobytes()), 0
-                    for row, doc, n in np.frombuffer(docs, "<i8").reshape(-1, 3).tolist():
-                        yield file, row, None if doc == _NO_ID else doc, block, before + at, n, zlib.crc32(raw[4 * at:4 * (at + n)])
+                    for row, none, doc, n in np.frombuffer(docs, "<i8").reshape(-1, 4).tolist():
+                        yield file, row, None if none else doc, block, before + at, n, zlib.crc32(raw[4 * at:4 * (at + n)])
                         at += n
         yield from batches_of(rows(), schema)
     return pieces
@@ -332,7 +334,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         F.min("at").alias("at"), F.sum("n").alias("n_tokens"),
         F.sort_array(F.collect_list(F.struct("block", "n", "crc"))).alias("parts")).mapInArrow(
         _joined, "file int, row bigint, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
-    return whole.join(F.broadcast(files.select("file", "offset")), "file").select(
+    return whole.join(files.select("file", "offset"), "file").select(
         "doc_id", (F.col("at") + F.col("offset")).cast("long").alias("start"), "n_tokens", "ids_crc32")
 
 

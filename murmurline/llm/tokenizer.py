@@ -11,7 +11,7 @@ import numpy as np
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from murmurline.llm.common import Remembered
+from murmurline.llm.common import CACHE_ENTRIES, Remembered
 
 #: A space with white space on both sides; elsewhere a space starts a new piece of the pre-tokenizer.
 _CROWDED = re.compile(r"\s \s")
@@ -29,7 +29,7 @@ class ByteBpe:
     with a space inside a longer run of white space, and texts with a special token, go to the library as a whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
@@ -50,8 +50,8 @@ class ByteBpe:
             self.raw[i] = token.encode()
         self.letters = {b: c for c, b in alphabet.items()}
         #: pieces, and stretches up to the next space: one that starts the text, or one after a space
-        self.words = Remembered(self.word)
-        self.first, self.rest = Remembered(self.stretch, 1000), Remembered(lambda piece: self.stretch(" " + piece))
+        self.words = Remembered(self.word, entries)
+        self.first, self.rest = Remembered(self.stretch, 1000), Remembered(lambda piece: self.stretch(" " + piece), entries)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -92,6 +92,6 @@ def byte_alphabet() -> dict[str, int]:
 
 
 @lru_cache(maxsize=4)
-def byte_bpe(path: str) -> ByteBpe:
-    """One per process and vocabulary."""
-    return ByteBpe(path)
+def byte_bpe(path: str, entries: int = CACHE_ENTRIES) -> ByteBpe:
+    """One per process, vocabulary and size of its word caches."""
+    return ByteBpe(path, entries)

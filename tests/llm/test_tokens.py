@@ -49,6 +49,19 @@ def test_round_trip_rows(docs):
     assert B.round_trip(docs([]), BYTE).count() == 0
 
 
+def test_token_files_with_odd_ids(docs):
+    """No doc_id, the least one, repeated ones, and columns with names of the files."""
+    texts, ids = ["one", "two words", None, "three", "three", "y " * 40_000], [None, -(1 << 63), None, 7, 7, (1 << 63) - 1]
+    df = docs(texts, ids, extra=["start", "n_tokens", "ids", "file", "row", "tkey"])
+    got = R.round_trip(df, BYTE, 2).collect()
+    key = lambda r: (r[0], r[1], r[2])
+    want = [(i, len(library_ids(t)) + 1, zlib.crc32(np.array(library_ids(t) + [2], "<u4").tobytes())) for t, i in zip(texts, ids)]
+    assert sorted((key((r["doc_id"], r["n_tokens"], r["ids_crc32"])) for r in got), key=str) == sorted(want, key=str)
+    rows = sorted(got, key=lambda r: r["start"])
+    assert [r["doc_id"] for r in rows] == [None, None, -(1 << 63), 7, 7, (1 << 63) - 1]
+    assert [r["start"] for r in rows] == np.cumsum([0] + [r["n_tokens"] for r in rows])[:-1].tolist()
+
+
 def test_with_ids_keeps_columns(docs):
     df = docs(["hello world", None], extra=["ids"])
     out = B.with_ids(df, BYTE)
