@@ -143,10 +143,11 @@ def _all(conditions: list[Column]) -> Column:
 def _settled(df: DataFrame) -> DataFrame:
     """``df`` in a form into which the optimizer cannot move a later filter, which would write every measure out again.
 
-    A row number is not deterministic to the optimizer, so nothing that depends on it is moved or repeated.
+    A row number is not deterministic to the optimizer, so nothing that stands in one struct with it is moved or repeated;
+    and the measures are no part of a condition, so what they have in common is computed once.
     """
-    whole = F.when(F.monotonically_increasing_id() >= 0, F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("_m")
-    return df.select(whole).select("_m.*")
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns], F.monotonically_increasing_id().alias("_place_of_row")).alias("_m")
+    return df.select(whole).select(*[F.col("_m")[c].alias(c) for c in df.columns])
 
 
 def quality_rules(docs: DataFrame, stop_words: tuple[str, ...] | None = None) -> DataFrame:

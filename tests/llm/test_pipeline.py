@@ -61,3 +61,29 @@ def test_every_stage(spark, docs):
     text_of = sorted((r["doc_id"], library_ids(r["text"])) for r in mixed.collect())
     assert sorted((r["doc_id"], list(r["ids"])) for r in tokens.collect()) == text_of
     assert all(r["n_tokens"] == len(r["ids"]) for r in tokens.collect())
+
+
+def written(spark, df):
+    folder = scratch_path(spark, "tables")
+    df.write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def test_run_whole_with_odd_rows(spark, docs):
+    """Missing and repeated ids, missing texts and sources, and columns with names that the stages use."""
+    rng = random.Random(12)
+    base = prose(rng, 90)
+    texts = [base, base, base + " tail", prose(rng, 60), prose(rng, 60), None, "", prose(rng, 70) + " " + base, prose(rng, 40)]
+    ids = [1, None, 2, 3, 3, 4, None, 5, None]
+    names = ["starts", "every", "row", "key", "_key", "_words", "words", "kept", "n_words", "component_id", "size", "position"]
+    folder = written(spark, docs(texts, ids, sources=["a", None, "a", "b", "b", "b", None, "a", None], extra=names))
+    out = corpus_pipeline.run(spark, folder)
+    assert out.columns == ["doc_id", "lang", "source", "n_chars", "n_tokens", "ids"]
+    rows = out.collect()
+    assert {r["doc_id"] for r in rows} == {1, None, 3, 5} and all(r["n_tokens"] == len(r["ids"]) > 0 for r in rows)
+    lengths = {r["doc_id"]: r["n_chars"] for r in rows if r["doc_id"] == 1}
+    assert lengths == {1: len(base)}
+
+
+def test_run_on_nothing(spark, docs):
+    assert corpus_pipeline.run(spark, written(spark, docs([]))).count() == 0

@@ -255,3 +255,61 @@ def test_language_cases(docs):
 def test_codewords_differ(k):
     code = L.codewords(k)
     assert len({tuple(r) for r in code}) == k and all(abs(c.sum()) < k for c in code.T)
+
+
+def plain_columns(raw):
+    """Columns of the n-grams of a text, gram by gram."""
+    out = []
+    for at in range(0, len(raw), 1 << 20):
+        b = b" " + raw[at:at + (1 << 20)] + b" "
+        out += [x * 256 + y for x, y in zip(b, b[1:])]
+        out += [((x << 16 | y << 8 | z) * 0x9E3779B1 % 2 ** 32 >> 16) + 65536 for x, y, z in zip(b, b[1:], b[2:])]
+        out += [(((x << 24 | y << 16 | z << 8 | w) * 0x85EBCA6B % 2 ** 32) >> 16) + 131072 for x, y, z, w in zip(b, b[1:], b[2:], b[3:])]
+    return out
+
+
+def test_languages_equal_plain_python(docs):
+    """Counts, odds, weights of bits and the nearest codeword, from dictionaries, for every text."""
+    import math
+    import zlib
+    rng = random.Random(16)
+    stems = {"en": "the and ing tion of", "fr": "le la eau ment é", "de": "der und ung sch ü"}
+    texts, langs = [], []
+    for _ in range(90):
+        lang = rng.choice(list(stems))
+        mixed = stems[lang] + " " + stems[rng.choice(list(stems))]
+        texts.append(" ".join("".join(rng.choices(mixed.split(), k=rng.randrange(1, 4))) for _ in range(rng.randrange(1, 9))))
+        langs.append(lang)
+    texts, langs = texts + ["the und le " * 110_000, texts[0], texts[0]], langs + ["en", langs[0], None]
+    got = {r["doc_id"]: r for r in L.identify(docs(texts, langs=langs)).collect()}
+    train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5 and langs[i]]
+    assert {i for i in got if got[i]["held_out"]} == {i for i in range(len(texts)) if not zlib.crc32(str(i).encode()) % 5}
+    columns = [Counter(plain_columns(t.lower().encode())) for t in texts]
+    names, size = sorted(set(langs[i] for i in train)), 3 * 65536
+    counts = {n: Counter() for n in names}
+    for i in train:
+        counts[langs[i]].update(columns[i])
+    total = {n: sum(c.values()) for n, c in counts.items()}
+    share = lambda n, c: (counts[n][c] + 0.5) / (total[n] + 0.5 * size)
+    code = L.codewords(3).tolist()
+    bits = range(len(code[0]))
+
+    def margins(i):
+        out = []
+        for b in bits:
+            plus, minus = ([n for n, row in zip(names, code) if row[b] == s] for s in (1, -1))
+            out.append(sum(k * (math.log(sum(share(n, c) for n in plus) / len(plus)) - math.log(sum(share(n, c) for n in minus) / len(minus)))
+                           for c, k in columns[i].items()) / sum(columns[i].values()))
+        return out
+
+    found = [margins(i) for i in range(len(texts))]
+    weights = []
+    for b in bits:
+        wrong = (sum((found[i][b] > 0) != (code[names.index(langs[i])][b] > 0) for i in train) + 1) / (len(train) + 2)
+        weights.append(min(6.0, max(0.05, math.log((1 - wrong) / wrong))))
+    for i, m in enumerate(found):
+        loss = [sum(w / sum(weights) * math.log1p(math.exp(-3.0 * s * x)) for w, s, x in zip(weights, row, m)) for row in code]
+        shares = [math.exp(-3.0 * (v - min(loss))) for v in loss]
+        best = sorted((-s / sum(shares), k) for k, s in enumerate(shares))
+        assert got[i]["lang_pred"] == names[best[0][1]] and got[i]["score"] == pytest.approx(-best[0][0], abs=1e-4)
+        assert got[i]["second_score"] == pytest.approx(-best[1][0], abs=1e-4) and got[i]["ambiguous"] == (got[i]["score"] - got[i]["second_score"] < 0.2)
