@@ -77,9 +77,14 @@ def percentile_rank(df: DataFrame, order: str, ties: tuple[str, ...], out: str =
     return placed.withColumn(out, (F.col("_position") - 1) / F.lit(float(max(n, 1)))).drop("_position")
 
 
+#: Bits of a sort key.
+HASH_BITS = 60
+
+
 def stable_hash(key: Column, seed: int = 0) -> Column:
-    """Sort key that is the same in every run."""
-    return F.xxhash64(key) if seed == 0 else F.xxhash64(key, F.lit(seed))
+    """Sort key that is the same in every run and every engine: the first 60 bits of the MD5 of ``key|seed``."""
+    digest = F.md5(F.concat_ws("|", key.cast("string"), F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def next_batch(pool: DataFrame, size: int, key: str = "_id", order: str = "random_number") -> tuple[DataFrame, DataFrame]:
@@ -107,7 +112,7 @@ def sample_fraction(df: DataFrame, stratum: str, key: str, fraction: float, orde
     of unused slots are dropped before the ranking shuffle.
     """
     order = stable_hash(F.col(key), seed) if order is None else order
-    slotted = df.withColumn("_hash", order).withColumn("_slot", F.expr(f"shiftright(_hash, {64 - _SLOT_BITS})"))
+    slotted = df.withColumn("_hash", order).withColumn("_slot", F.expr(f"shiftright(_hash, {HASH_BITS - _SLOT_BITS})"))
     counts = slotted.groupBy(stratum, "_slot").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy(stratum).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(stratum)

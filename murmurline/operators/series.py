@@ -50,6 +50,18 @@ def hour_grid(summary: DataFrame, days: int = 30, step: int = 1, keep_outside: b
         F.greatest(F.when(here, F.col("len")).otherwise(0), F.lit(0)).cast("double").alias("total"))
 
 
+def month_grid(summary: DataFrame) -> DataFrame:
+    """Every hour of every month of :func:`~murmurline.operators.summary.month_series`, whatever the month's length."""
+    seen = summary.select("series_id", ((F.col("day") - 1) * HOURS_PER_DAY + F.col("hour") + 1).cast("int").alias("slot"), "sum", "len", "days")
+    w = Window.partitionBy("series_id").orderBy("slot")
+    start = F.when(F.row_number().over(w) == 1, F.lit(1)).otherwise(F.col("slot"))
+    stop = F.coalesce(F.lead("slot").over(w) - 1, F.col("days") * HOURS_PER_DAY)
+    rows = seen.select("series_id", "slot", "sum", "len", start.alias("_from"), stop.alias("_to")).withColumn("t", F.explode(F.sequence("_from", "_to")))
+    here = F.col("t") == F.col("slot")
+    return rows.select("series_id", "t", F.when(here, F.col("sum")).otherwise(0).cast("double").alias("x"),
+                       F.when(here, F.col("len")).otherwise(0).cast("double").alias("total"))
+
+
 def mask_low_volume(grid: DataFrame, threshold: float | Column = 5000.0) -> DataFrame:
     """Both values null where the total is below the threshold."""
     limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))

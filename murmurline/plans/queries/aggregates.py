@@ -35,6 +35,21 @@ def a2(spark, sf):
     return summary.hourly_summary(tobacco_local(spark, sf), scores.tobacco_flags())
 
 
+def _monthly_sql(flags: dict[str, str], source: str) -> str:
+    return _summary_sql(flags, source).replace(" AS class, ", " AS class, strftime(local_time, '%Y-%m') AS month, ")
+
+
+@query("a1_monthly_counts", sql(B.SCORED_SQL, _monthly_sql(_ALC, "scored")))
+def a1_months(spark, sf):
+    """Any number of months in one run."""
+    return summary.monthly_summary(B.local_scored(spark, sf), scores.alcohol_flags())
+
+
+@query("a2_tobacco_monthly_counts", sql(_TOB, _monthly_sql(_TOB_FLAGS, "tscored")))
+def a2_months(spark, sf):
+    return summary.monthly_summary(tobacco_local(spark, sf), scores.tobacco_flags())
+
+
 @query("a3_merge_partials", sql(B.SCORED_SQL, _summary_sql(_ALC, "scored")))
 def a3(spark, sf):
     """Partial summaries per event type merged again equal the one-pass summary."""

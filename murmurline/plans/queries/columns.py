@@ -128,7 +128,8 @@ def p12(spark, sf):
         F.count_if(F.col("predict_fpa_given_alc") > 0.75).alias("fpa_given_alc_75"))
 
 
-@query("p12_probability_sample")
+@query("p12_probability_sample", sql(B.SCORED_SQL, f"""SELECT id, {sql6('predict_fpa')} AS predict_fpa FROM scored WHERE predict_fpa > 0.85
+  ORDER BY CAST('0x' || substr(md5(concat_ws('|', id, '7')), 1, 15) AS BIGINT), id LIMIT 10"""))
 def p12_sample(spark, sf):
     likely = B.local_scored(spark, sf).where(F.col("predict_fpa") > 0.85)
     return ranking.sample_rows(likely, 10, "id", seed=7).select("id", r6("predict_fpa").alias("predict_fpa"))

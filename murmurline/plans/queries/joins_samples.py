@@ -106,7 +106,13 @@ def j11(spark, sf):
     return t.join(F.broadcast(states(spark)), "state")  # 57 rows, fixed
 
 
-@query("t1_make_batch")
+def hash_sql(key: str, seed: int = 0) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', {key}, '{seed}')), 1, 15) AS BIGINT)"
+
+
+@query("t1_make_batch", f"""SELECT _id, text, random_number, CASE WHEN r <= 100 THEN 'batch' ELSE 'pool' END AS part FROM (
+  SELECT *, row_number() OVER (ORDER BY random_number, _id) AS r FROM (
+    SELECT CAST(doc_id AS VARCHAR) AS _id, encode(text) AS text, {hash_sql('text')} AS random_number FROM documents))""")
 def t1(spark, sf):
     d = read_table(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("_id"), "text", ranking.stable_hash(F.col("text")).alias("random_number"))
@@ -122,7 +128,7 @@ def t1_ordered(spark, sf):
     return batch.select("doc_id")
 
 
-@query("t2_hash_sort_key")
+@query("t2_hash_sort_key", f"SELECT doc_id, {hash_sql('text')} AS random_number FROM documents")
 def t2(spark, sf):
     d = read_table(spark, sf, "documents")
     return d.select("doc_id", ranking.stable_hash(F.col("text")).alias("random_number"))
@@ -135,7 +141,14 @@ def t3(spark, sf):
     return ranking.sample_fraction(d, "source", "doc_id", 0.1, seed=3).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("t4_random_rows")
+@query("t3_sampled_rows", f"""SELECT source, doc_id FROM (SELECT source, doc_id, count(*) OVER (PARTITION BY source) AS n,
+    row_number() OVER (PARTITION BY source ORDER BY {hash_sql('doc_id', 3)}, doc_id) AS r FROM documents) WHERE r <= floor(n * 0.1)""")
+def t3_rows(spark, sf):
+    d = read_table(spark, sf, "documents").select("doc_id", "source")
+    return ranking.sample_fraction(d, "source", "doc_id", 0.1, seed=3).select("source", "doc_id")
+
+
+@query("t4_random_rows", f"SELECT doc_id, lang FROM documents ORDER BY {hash_sql('doc_id', 5)}, doc_id LIMIT 10")
 def t4(spark, sf):
     return ranking.sample_rows(read_table(spark, sf, "documents").select("doc_id", "lang"), 10, "doc_id", seed=5)
 
@@ -183,7 +196,7 @@ def t9(spark, sf):
     return read_table(spark, sf, "events").select("event_id", "event_type").orderBy("event_id").limit(6)
 
 
-@query("t10_train_test_split")
+@query("t10_train_test_split", f"SELECT {hash_sql('doc_id', 23)} % 100 < 33 AS test, quality, count(*) AS n FROM labels GROUP BY ALL")
 def t10(spark, sf):
     lab = ranking.hash_split(read_table(spark, sf, "labels"), "doc_id", 33, seed=23)
     return lab.groupBy("test", "quality").agg(F.count("*").alias("n"))

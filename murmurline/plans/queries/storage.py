@@ -9,7 +9,7 @@ from murmurline.functions import scores
 from murmurline.operators import correction, summary
 from murmurline.plans import bindings as B
 from murmurline.plans.bindings import r6, sql, sql6
-from murmurline.plans.queries.aggregates import _ALC, _summary_sql
+from murmurline.plans.queries.aggregates import _ALC, _monthly_sql, _summary_sql
 from murmurline.plans.queries.statistics import _A, _B, _DET
 from murmurline.plans.registry import query
 from murmurline.session import scratch_path
@@ -180,12 +180,21 @@ def s16(spark, sf):
     return spark.read.schema("series_id string, t int, x double").parquet(path).withColumn("x", r6("x"))
 
 
-@query("e1_stream_hourly_summary", sql(B.SCORED_SQL, _summary_sql(_ALC, "scored")))
-def e1(spark, sf):
-    """Hourly summary of a file stream: partial sums per batch, merged on read."""
+def _streamed(spark, sf, months):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/events*.parquet")
     path, state = scratch_path(spark, "partials"), scratch_path(spark, "progress")
     hourly_stream(files, lambda rows: B.alcohol_scores(B.with_local_time_by_offset(B.tweets_of(rows))),
-                  scores.alcohol_flags(), path, state)
-    return summary.merge_summaries(read_partials(spark, path))
+                  scores.alcohol_flags(), path, state, months=months)
+    return summary.merge_summaries(read_partials(spark, path, months))
+
+
+@query("e1_stream_hourly_summary", sql(B.SCORED_SQL, _summary_sql(_ALC, "scored")))
+def e1(spark, sf):
+    """Hourly summary of a file stream: partial sums per batch, merged on read."""
+    return _streamed(spark, sf, False)
+
+
+@query("e1_stream_monthly_summary", sql(B.SCORED_SQL, _monthly_sql(_ALC, "scored")))
+def e1_months(spark, sf):
+    return _streamed(spark, sf, True)
