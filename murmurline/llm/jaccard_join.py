@@ -53,7 +53,7 @@ from pyspark.sql import functions as F
 
 from murmurline.llm.common import WordHashes, ZIPPED, binaries, compressed, gram_hashes, sliced, unzip, zipped
 from murmurline.llm.components import components
-from murmurline.session import cut_lineage
+from murmurline.session import cut_lineage, remove_scratch
 
 N, PERCENT = 5, 75
 #: Largest boundary that is considered, and most entries of the list of common shingles (12 bytes each).
@@ -332,6 +332,7 @@ def links(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFram
     hot = known.where("hot").select("g", "c", "n", (-F.col("kind")).alias("left"), "score").distinct()
     hubs = cut_lineage(hot.groupBy("g").agg(F.max(F.struct("score", "c", "n")).alias("lead"), F.count("*").alias("sets")).where("sets > 1").drop("sets"), "hubs")
     hot = cut_lineage(hot.join(hubs, "g").select("g", "c", "n", "left", "lead"), "common-lists")
+    remove_scratch(entries)
     met = lambda df: df.where("lead.c <> c").select(F.col("c").alias("ca"), F.col("n").alias("na"), F.col("lead.c").alias("cb"),
                                                     F.col("lead.n").alias("nb"), F.lit(0).alias("spare"))
     first = cut_lineage(_likely(met(rare).unionByName(met(hot)), percent), "pairs")

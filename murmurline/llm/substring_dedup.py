@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from murmurline.llm.common import WordHashes, batches_of, binaries, compressed, mix, text_key, unzip
-from murmurline.session import cut_lineage
+from murmurline.session import cut_lineage, remove_scratch
 
 LENGTH, GRAM = 50, 25
 #: A window with more than one of so many rows is hot; a list holds them.
@@ -182,8 +182,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     starts = later.where("lo < doc_id").groupBy("doc_id", "tkey").agg(
         F.collect_set("pos").alias("starts")).select(F.struct("doc_id", "tkey").alias("owner"), "starts")
     every = F.col("doc_id") > F.col("owner.doc_id")
-    return classes.join(starts, "owner", "left").select(
-        "doc_id", "tkey", every.alias("every"), F.when(~every, F.col("starts")).alias("starts")).where("every OR starts IS NOT NULL")
+    found = cut_lineage(classes.join(starts, "owner", "left").select(
+        "doc_id", "tkey", every.alias("every"), F.when(~every, F.col("starts")).alias("starts")).where("every OR starts IS NOT NULL"), "repeats")
+    remove_scratch(windows, seeds)
+    return found
 
 
 def _judged(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -217,7 +219,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     A column ``n_chars`` is set to the characters of the text.
     """
     # the given columns travel as one, so that none can clash with those of the join
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), "text")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.col("doc_id").alias("id"), "text")
     keyed = packed.mapInArrow(_with_key, T.StructType([*packed.schema.fields, T.StructField("key", T.LongType())]))
     found = repeats(docs, length, gram).select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key"), "every", "starts")
     joined = keyed.join(found, (F.col("id") == F.col("_id")) & (F.col("key") == F.col("_key")), "left")
