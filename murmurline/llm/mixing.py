@@ -163,7 +163,7 @@ def take(docs: DataFrame, **parameters) -> DataFrame:
     """
     # the given columns travel as one, so that none can clash with those of the join
     packed = docs.select(F.col("doc_id"), F.col("text"), F.col("source"), F.xxhash64("text", "source").alias("key"),
-                         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+                         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
     taken = passes(packed, keep=("doc_id", "key"), **parameters).select(
         F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("words").cast("int").alias("words"),
         (F.col("words") == F.col("size")).alias("whole"), "position")
