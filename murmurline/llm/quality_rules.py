@@ -93,8 +93,8 @@ def measure(df: DataFrame, text: str = "text", stop_words: tuple[str, ...] | Non
         "n_words": F.size("_words").cast("long"),
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
         "n_symbols": F.regexp_count(body, F.lit("[#*$%&|<>]")).cast("long"),
-        # words that hold a digit: a key or an address of many runs of digits is one word
-        "n_numbers": F.regexp_count(body, F.lit(r"[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*")).cast("long"),
+        # words that hold a digit, from the first digit on: a key or an address of many runs of digits is one word
+        "n_numbers": F.regexp_count(body, F.lit(r"[0-9][^\x20\x09-\x0D]*")).cast("long"),
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_bullets": F.size(F.filter("_lines", lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*•]"))).cast("long"),
