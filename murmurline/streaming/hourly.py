@@ -45,7 +45,8 @@ def final_hours(posts: DataFrame, flags: dict[str, Column], ts: str = "local_tim
     """Rows (hour, class, sum, len) of every clock hour of a stream, each once, in append mode.
 
     Counts of open hours are state, one entry an hour, whatever the number of posts. An hour closes when the greatest
-    time seen lies ``delay`` after its end; a post for a closed hour is late and left out (the stream reports how many).
+    time seen lies ``delay`` after its end, as judged before each batch; a post for an hour that was closed before the last
+    batch is late and left out (the stream reports how many).
     """
     timed = posts.select(F.col(ts).cast("timestamp").alias("_ts"), *[c.cast("long").alias(n) for n, c in flags.items()]).withWatermark("_ts", delay)
     counted = timed.groupBy(F.window("_ts", "1 hour").alias("_w")).agg(F.count("*").alias("len"), *[F.sum(n).alias(n) for n in flags])

@@ -17,10 +17,10 @@ def stream_of_events(spark):
 
 
 def test_hours_close_once_and_late_posts_are_told(spark):
-    """Three batches; the third brings a post for an hour that has been given out."""
+    """Four batches; the last brings a post for an hour that has been given out."""
     folder = scratch_path(spark, "posts")
     for batch in (["2016-06-30 23:10:00", "2016-06-30 23:50:00", "2016-07-01 00:05:00"], ["2016-07-01 09:00:00"],
-                  ["2016-06-30 23:20:00", "2016-07-01 20:00:00", "2016-07-01 20:30:00"]):
+                  ["2016-07-01 20:00:00", "2016-07-01 20:30:00"], ["2016-06-30 23:20:00", "2016-07-01 21:00:00"]):
         spark.createDataFrame([(t, "a" if t.endswith("0:00") else "b") for t in batch], "ts string, kind string").select(
             F.col("ts").cast("timestamp").alias("ts"), "kind").coalesce(1).write.mode("append").parquet(folder)
         time.sleep(1.1)  # files are taken by age
