@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -102,6 +103,60 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Bytes that :func:`word_hashes` looks at together, and the longest word that it sums up byte by byte.
+PIECE, LONG_WORD = 1 << 18, 256
+_BYTES = np.arange(256, dtype=np.uint64)
+_SPACE = (_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13))
+_FOLDED = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + np.uint64(32), _BYTES)
+#: A 64-bit value for each byte, the same for A-Z and a-z; none for white space.
+_VALUES = np.where(_SPACE, np.uint64(0), mix((_FOLDED + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))
+_POWERS = np.cumprod(np.full(LONG_WORD, 0xD6E8FEB86659FD93, np.uint64))
+_SPACES = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def _short_words(raw: bytes, at: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the words of raw[at:end], which starts and ends at word edges."""
+    b = np.frombuffer(raw, np.uint8, end - at, at)
+    inside = np.zeros(len(b) + 2, bool)
+    inside[1:-1] = ~_SPACE[b]
+    starts = np.flatnonzero(inside[1:-1] & ~inside[:-2])
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    lengths = np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1 - starts
+    first = starts[0]
+    place = np.arange(first, len(b)) - np.repeat(starts, np.diff(starts, append=len(b)))
+    sums = np.add.reduceat(_VALUES[b[first:]] * _POWERS[np.minimum(place, LONG_WORD - 1)], starts - first)
+    hashes = mix(sums + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for i in np.flatnonzero(lengths > LONG_WORD):
+        hashes[i] = xxhash.xxh3_64_intdigest(b[starts[i]:starts[i] + lengths[i]].tobytes().lower())
+    return starts + at, hashes
+
+
+def word_hashes(raws: list[bytes | None], piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, ASCII lower-cased and cut at ASCII white space, one text after another, and
+    the number of words before each text and after the last.
+
+    Works on pieces of about ``piece`` bytes, cut between words, without an object for a word. Words beyond ``LONG_WORD`` bytes
+    are hashed one by one, so no memory follows their length.
+    """
+    raw = b"\n".join(r or b"" for r in raws)
+    places, hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    while at < len(raw):
+        hit = _SPACES.search(raw, at + piece)
+        end = stop = hit.start() if hit else len(raw)
+        if end - at > piece + LONG_WORD:  # its last word is a long one
+            spaces = np.flatnonzero(_SPACE[np.frombuffer(raw, np.uint8, piece, at)])
+            stop = at + int(spaces[-1]) + 1 if len(spaces) else at
+        if stop > at:
+            found = _short_words(raw, at, stop)
+            places.append(found[0]), hashes.append(found[1])
+        if stop < end:
+            places.append(np.array([stop])), hashes.append(np.array([xxhash.xxh3_64_intdigest(raw[stop:end].lower())], np.uint64))
+        at = end
+    begins = np.cumsum([0] + [len(r or b"") + 1 for r in raws])
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(places), begins)
+
+
 def gram_hashes(words: np.ndarray, n: int, base: int) -> np.ndarray:
     """Hash of each run of ``n`` consecutive values of ``words`` (short n: one pass per value)."""
     out = np.zeros(max(0, len(words) - n + 1), np.uint64)

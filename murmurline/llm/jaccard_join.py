@@ -51,7 +51,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmurline.llm.common import WordHashes, ZIPPED, binaries, compressed, gram_hashes, sliced, unzip, zipped
+from murmurline.llm.common import ZIPPED, binaries, compressed, gram_hashes, sliced, unzip, word_hashes, zipped
 from murmurline.llm.components import components
 from murmurline.session import cut_lineage, remove_scratch
 
@@ -68,7 +68,6 @@ SLICE, REMEMBERED = 500, 1 << 20
 COMPARE = 0.5
 
 _BASE = 0x9E3779B97F4A7C15
-_WORDS = WordHashes()
 _SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("c2", pa.int64())])
 #: kind: the partner size of a light entry, or minus the shingles from this one on; nh: size, and common shingles of the prefix
 _ENTRIES = pa.schema([("g", pa.int64()), ("kind", pa.int32()), ("c", pa.int64()), ("nh", pa.int64())])
@@ -89,14 +88,24 @@ def prefix(s, percent: int = PERCENT):
     return s - -(-percent * s // 100) + 1
 
 
+def shingle_sets(raws: list[bytes | None], n: int = N) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the word shingles of each text, ASCII lower-cased."""
+    words, ends = word_hashes(raws)
+    grams = gram_hashes(words, n, _BASE)
+    out = []
+    for raw, at, end in zip(raws, ends.tolist(), ends[1:].tolist()):
+        if end - at >= n:
+            h = np.sort(grams[at:end - n + 1])
+            out.append(h[np.append(True, h[1:] != h[:-1])])
+        elif end > at:
+            out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(raw.lower().split()), seed=end - at)], np.uint64))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
+
+
 def shingles(raw: bytes | None, n: int = N) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a text, ASCII lower-cased."""
-    words = raw.lower().split() if raw else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < n:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    return np.unique(gram_hashes(_WORDS.of(words), n, _BASE))
+    return shingle_sets([raw], n)[0]
 
 
 def _digest(hashes: np.ndarray, seed: int = 0) -> tuple[int, int]:
@@ -107,7 +116,7 @@ def _digest(hashes: np.ndarray, seed: int = 0) -> tuple[int, int]:
 def _sets(n: int, seed: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, rows=SLICE):
-            found = [shingles(raw, n) for raw in binaries(batch.column("text"))]
+            found = shingle_sets(binaries(batch.column("text")), n)
             keys = [_digest(h, seed) for h in found]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id").cast(pa.int64()), pa.array(map(len, found), pa.int64()),
@@ -135,8 +144,7 @@ def _first_quarter(n: int, percent: int):
         once = _Once()
         for batch in sliced(batches, rows=SLICE):
             found = [np.zeros(0, np.uint64)]
-            for raw in binaries(batch.column("text")):
-                h = shingles(raw, n)
+            for h in shingle_sets(binaries(batch.column("text")), n):
                 if len(h) and once.first(_digest(h)[0]):
                     found.append(h[:prefix(len(h), percent)])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["g"])
@@ -160,8 +168,7 @@ def _entries(n: int, percent: int, x: int, common, seed: int):
         once, (frequent, rank) = _Once(), common.value
         for batch in sliced(batches, rows=SLICE):
             gs, kinds, cs, nhs = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for raw in binaries(batch.column("text")):
-                h = shingles(raw, n)
+            for h in shingle_sets(binaries(batch.column("text")), n):
                 s = len(h)
                 c = _digest(h, seed)[0]
                 if not s or not once.first(c):
