@@ -64,6 +64,8 @@ LONG_LIST = 8
 FEW_IDS, CLASS = 100_000, 1.1
 #: Texts that a kernel looks at together, and classes that a task remembers (8 bytes each).
 SLICE, REMEMBERED = 500, 1 << 20
+#: Texts whose whole sets a kernel gives back together.
+FEW_TEXTS = 100
 #: Cost of comparing two sets by shingle, against one entry of an inverted list.
 COMPARE = 0.5
 
@@ -218,26 +220,16 @@ def _common(docs: DataFrame, n: int, percent: int, most: int) -> tuple[np.ndarra
     return g[order], rank[order]
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("total", pa.int64())])
-    for batch in batches:
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        shared, total = [], []
-        for x, y in zip(batch.column("xs").to_pylist(), batch.column("ys").to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            k = len(np.intersect1d(x, y, assume_unique=True))
-            shared.append(k)
-            total.append(len(x) + len(y) - k)
-        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a, b, shared, total)], schema=schema)
-
-
 def _members(n: int, seed: int):
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("c", pa.int64()), ("hs", pa.binary())])
+        schema = pa.schema([("c", pa.int64()), ("hs", pa.list_(pa.int64()))])
         for batch in sliced(batches, rows=SLICE, column="z"):
-            found = [shingles(raw, n) for raw in unzip(batch.column("z"))]
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(h, seed)[0] for h in found], pa.int64()),
-                                              pa.array([h.tobytes() for h in found], pa.binary())], schema=schema)
+            for at in range(0, batch.num_rows, FEW_TEXTS):
+                found = shingle_sets(list(unzip(batch.column("z").slice(at, FEW_TEXTS))), n)
+                ends = np.cumsum([0] + [len(h) for h in found])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([_digest(h, seed)[0] for h in found], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found).view(np.int64)))], schema=schema)
     return members
 
 
@@ -292,11 +284,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, per
     # few documents are picked out where they are read; many are joined, in compressed form
     texts = (docs.select("doc_id", "text").join(F.broadcast(firsts), "doc_id", "left_semi").mapInArrow(zipped, ZIPPED)
              if firsts.count() <= FEW_IDS else compressed(docs).join(firsts, "doc_id", "left_semi"))
-    sets = cut_lineage(texts.select("z").mapInArrow(_members(n, seed), "c bigint, hs binary").dropDuplicates(["c"]), "sets")
+    sets = cut_lineage(texts.select("z").mapInArrow(_members(n, seed), "c bigint, hs array<bigint>").dropDuplicates(["c"]), "sets")
     joined = pairs.join(sets.select(F.col("c").alias("a"), F.col("hs").alias("xs")), "a").join(
         sets.select(F.col("c").alias("b"), F.col("hs").alias("ys")), "b")
-    found = joined.select("a", "b", "xs", "ys").mapInArrow(_overlaps, "a bigint, b bigint, common bigint, total bigint")
-    return cut_lineage(found.where(F.col("common") * 100 >= F.col("total") * percent).select("a", "b"), "verified")
+    # row by row in the JVM: many rows of two sets each never stand side by side in a batch
+    linked = F.size(F.array_intersect("xs", "ys")).cast("long") * (100 + percent) >= (F.size("xs").cast("long") + F.size("ys")) * percent
+    return cut_lineage(joined.where(linked).select("a", "b"), "verified")
 
 
 def links(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
