@@ -24,8 +24,10 @@ Candidates are compared exactly, on all their shingles.
 The boundary x is chosen by cost: from the counts of sets by size, the subsets that light sets would enumerate
 against the entries and comparisons that heavy ones need.
 
-Common shingles are those that many documents have among the first quarter of their hashes; the bound is the least that
-leaves at most COMMON of them, so the list that tasks receive has a fixed size. Whatever the list holds, results are the
+Shingles whose hash lies in the lower part of all hashes (``counted``) are counted over all documents, and prefixes are taken
+from that part first. Common are those that many documents have; the bound is the least that leaves at most COMMON of
+them, so the list that tasks receive has a fixed size. Shingles beyond the counted part come last in the order and are
+treated as common ones, so a list of uncommon shingles is never longer than the bound. Whatever is counted, results are the
 same: it only orders shingles. Texts with equal sets form a class found beforehand, and each task enters a class once.
 Classes are named by 64 bits of a 128-bit digest of their set; should two different sets share a name, which the other
 64 bits tell, all are named anew with another seed. Shingles are compared by 64-bit hashes.
@@ -60,6 +62,8 @@ N, PERCENT = 5, 75
 MAX_LIGHT, COMMON = 12, 500_000
 #: A list longer than this is common, as far as COMMON allows.
 LONG_LIST = 8
+#: Share of the hashes that are counted, in terms of the share that a prefix takes of a set.
+SLACK = 1.25
 #: Most document ids to broadcast, and the ratio of sizes that bounds a size class.
 FEW_IDS, CLASS = 100_000, 1.1
 #: Texts that a kernel looks at together, and classes that a task remembers (8 bytes each).
@@ -141,16 +145,21 @@ class _Once:
         return True
 
 
-def _first_quarter(n: int, percent: int):
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once = _Once()
+def counted(percent: int) -> np.uint64:
+    """Shingles below this hash are counted: somewhat more than a prefix takes of a set."""
+    return np.uint64(min(SLACK * (100 - percent) / 100, 0.999) * 2.0 ** 64)
+
+
+def _counted_shingles(n: int, percent: int):
+    def counted_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, limit = _Once(), counted(percent)
         for batch in sliced(batches, rows=SLICE):
             found = [np.zeros(0, np.uint64)]
             for h in shingle_sets(binaries(batch.column("text")), n):
                 if len(h) and once.first(_digest(h)[0]):
-                    found.append(h[:prefix(len(h), percent)])
+                    found.append(h[:np.searchsorted(h, limit)])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["g"])
-    return first
+    return counted_shingles
 
 
 def light_keys(h: np.ndarray, x: int, percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -167,7 +176,7 @@ def light_keys(h: np.ndarray, x: int, percent: int = PERCENT) -> list[tuple[int,
 
 def _entries(n: int, percent: int, x: int, common, seed: int):
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, (frequent, rank) = _Once(), common.value
+        once, (frequent, rank), limit = _Once(), common.value, counted(percent)
         for batch in sliced(batches, rows=SLICE):
             gs, kinds, cs, nhs = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for h in shingle_sets(binaries(batch.column("text")), n):
@@ -183,8 +192,9 @@ def _entries(n: int, percent: int, x: int, common, seed: int):
                     p = prefix(s, percent)
                     at = np.searchsorted(frequent[:-1], h) if len(frequent) else np.zeros(s, np.int64)
                     late = frequent[at] == h if len(frequent) else np.zeros(s, bool)
-                    rare = h[~late][:p]
-                    hot = h[late][np.argsort(rank[at[late]])][:p - len(rare)] if len(rare) < p else h[:0]
+                    low = np.searchsorted(h, limit)
+                    rare = h[:low][~late[:low]][:p]
+                    hot = np.concatenate([h[late][np.argsort(rank[at[late]])], h[low:]])[:p - len(rare)]
                     gs.append(np.concatenate([rare, hot]).view(np.int64)), kinds.append(-(s - np.arange(p, dtype=np.int32)))
                     cs.append(np.full(p, c)), nhs.append(np.full(p, s << 32 | len(hot)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (gs, kinds, cs, nhs)], schema=_ENTRIES)
@@ -207,7 +217,7 @@ def choose_boundary(sizes: dict[int, int], percent: int = PERCENT, max_light: in
 
 def _common(docs: DataFrame, n: int, percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """At most ``most`` of the shingles that fill long lists, the longest ones, sorted, and their ranks by length."""
-    counts = cut_lineage(docs.select("text").mapInArrow(_first_quarter(n, percent), "g bigint").groupBy("g").count().where(
+    counts = cut_lineage(docs.select("text").mapInArrow(_counted_shingles(n, percent), "g bigint").groupBy("g").count().where(
         F.col("count") > LONG_LIST), "long-lists")
     bound = LONG_LIST
     while counts.where(F.col("count") > bound).count() > most:
