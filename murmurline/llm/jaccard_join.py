@@ -63,7 +63,7 @@ MAX_LIGHT, COMMON = 12, 500_000
 #: A list longer than this is common, as far as COMMON allows.
 LONG_LIST = 8
 #: Share of the hashes that are counted, in terms of the share that a prefix takes of a set.
-SLACK = 1.25
+SLACK = 2.0
 #: Most document ids to broadcast, and the ratio of sizes that bounds a size class.
 FEW_IDS, CLASS = 100_000, 1.1
 #: Texts that a kernel looks at together, and classes that a task remembers (8 bytes each).
@@ -146,7 +146,7 @@ class _Once:
 
 
 def counted(percent: int) -> np.uint64:
-    """Shingles below this hash are counted: somewhat more than a prefix takes of a set."""
+    """Shingles below this hash are counted: SLACK times as many as a prefix takes of a set."""
     return np.uint64(min(SLACK * (100 - percent) / 100, 0.999) * 2.0 ** 64)
 
 
