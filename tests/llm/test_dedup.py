@@ -180,3 +180,18 @@ def test_hot_windows_are_looked_up(docs, monkeypatch):
 def test_dedup_of_nothing(docs):
     assert S.substring_dedup(docs([])).count() == 0
     assert S.drop_repeats(docs([])).count() == 0
+
+
+def test_word_hashes_tell_words_apart_whatever_the_pieces():
+    from murmurline.llm.common import word_hashes
+
+    long = b"x" * 300
+    raws = [b"Ab ab\tAB\x0bba", None, b"", b" \n ", b"a" + long + b" " + long + b"A " + long.upper(), "\u00c9 \u00e9 a\u00a0b".encode(), b"ab", b"q" * 5000]
+    words = [w for r in raws for w in (r or b"").lower().split()]
+    whole, ends = word_hashes(raws)
+    assert ends.tolist() == [sum(len((r or b"").split()) for r in raws[:i]) for i in range(len(raws) + 1)]
+    assert len(set(whole.tolist())) == len(set(words)) == len(set(zip(words, whole.tolist())))
+    for piece in (1, 2, 7, 64, 257, 1000):
+        again, at = word_hashes(raws, piece)
+        assert again.tolist() == whole.tolist() and at.tolist() == ends.tolist()
+    assert word_hashes([])[0].tolist() == [] and word_hashes([])[1].tolist() == [0]
