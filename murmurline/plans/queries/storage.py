@@ -21,22 +21,28 @@ _RAW_SQL = B.TWEETS_SQL + """, raw AS (SELECT t.id, strftime(t.created_at, '%Y-%
   d.text FROM tweets t JOIN documents d ON d.doc_id = t.id % (SELECT count(*) FROM documents))"""
 
 
-def raw_tweets(spark, sf):
-    """All tweets, with documents in turn as texts."""
+#: Records of one written CSV file; packed files have one reader each.
+FILE_ROWS = 50_000
+
+
+def raw_tweets(spark, sf, more=None):
+    """All tweets, with documents in turn as texts; columns of ``more`` come by id, before the texts make the rows wide."""
     docs = readers.read_table(spark, sf, "documents").select("doc_id", "text")
     t = B.tweets(spark, sf).select("id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), "utc_offset")
-    return t.join(docs, F.col("id") % docs.count() == F.col("doc_id")).select("id", "created_at", "utc_offset", "text")
+    t = t if more is None else t.join(more, "id")
+    t = t.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # a task writes what its tweets become
+    return t.join(docs, F.col("id") % docs.count() == F.col("doc_id")).drop("doc_id")
 
 
 def _write_csv(df, name, header=True):
     path = scratch_path(df.sparkSession, name)
-    df.write.option("header", header).option("escape", '"').csv(path)
+    df.write.option("header", header).option("escape", '"').option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).csv(path)
     return path
 
 
 @query("s1_csv_folder", sql(_RAW_SQL, "SELECT id, created_at, utc_offset, md5(text) AS digest FROM raw"))
 def s1(spark, sf):
-    back = readers.read_csv_folder(spark, _write_csv(raw_tweets(spark, sf).repartition(4), "tweets"))
+    back = readers.read_csv_folder(spark, _write_csv(raw_tweets(spark, sf), "tweets"))
     return back.select("id", "created_at", "utc_offset", F.md5("text").alias("digest"))
 
 
@@ -45,7 +51,7 @@ def s1(spark, sf):
 def s2(spark, sf):
     extra = B.tweets(spark, sf).select("id", (F.col("user_id") % 90).cast("double").alias("lat"),
                                        (-(F.col("user_id") % 180)).cast("double").alias("lon"), "place")
-    rows = raw_tweets(spark, sf).join(extra, "id").select(schemas.PLACED_TWEETS.fieldNames())
+    rows = raw_tweets(spark, sf, extra).select(schemas.PLACED_TWEETS.fieldNames())
     back = readers.read_csv_folder(spark, _write_csv(rows, "placed", header=False), schemas.PLACED_TWEETS, header=False)
     return back.select("id", "lat", "lon", "place", "created_at")
 
