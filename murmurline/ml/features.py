@@ -26,8 +26,10 @@ ALL_TERMS = 2**31 - 1
 
 
 def term_counts(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """(key, term, tf), combined before the shuffle."""
-    return docs.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """(key, term, tf). Texts are dealt by key before they become terms, so the many rows of terms need no shuffle."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (docs.repartition(parts, key).select(key, F.explode(tokens).alias("term"))
+            .groupBy(key, "term").agg(F.count("*").alias("tf")))
 
 
 def document_frequencies(counts: DataFrame) -> DataFrame:
@@ -39,8 +41,9 @@ def tfidf_rows(docs: DataFrame, key: str, tokens: Column, max_terms: int | None
     """(key, term, weight) with rows of unit length, over all terms or the ``max_terms`` most frequent ones.
 
     Counts are written once, as two branches read them. Document frequencies are
-    joined by term: an ordinary join, in which adaptive execution splits a term
-    found in most documents. The length of a row is a window over its own terms.
+    joined by term: a shuffled join, in which adaptive execution splits a term
+    found in most documents, without sorting, as a task's share of the
+    vocabulary is small. The length of a row is a window over its own terms.
     """
     counts = cut_lineage(term_counts(docs, key, tokens), "term-counts")
     n = docs.count()
@@ -48,7 +51,7 @@ def tfidf_rows(docs: DataFrame, key: str, tokens: Column, max_terms: int | None
     if max_terms is not None:
         vocabulary = vocabulary.orderBy(F.desc("n"), "term").limit(max_terms)
     idf = vocabulary.select("term", (F.ln((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
-    weighted = counts.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    weighted = counts.join(idf.hint("shuffle_hash"), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return weighted.select(key, "term", (F.col("w") / length).alias("weight"))
 
