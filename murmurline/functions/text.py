@@ -100,31 +100,40 @@ def load_stop_words(spark: SparkSession, path: str) -> DataFrame:
 # part of a squeezed text, so the blanks of the text itself stay recognisable.
 _FENCE = "\u2003"
 
+# Squeezed text has no white space but blanks and, later, fences.
+_GAP = f"[ {_FENCE}]"
+_INK = f"[^ {_FENCE}]"
+
 # The patterns of the tweet tokenizer, in matching order.
 _PUNCT = "['“\".?!,:;]"
 _ENTITY = "&(?:amp|lt|gt|quot);"
-_URL = (r"\b(?:https?://|www\.|[a-z0-9.\-]+?\.(?:com|co\.uk|org|net|info|ca)(?=\W))"
+# The first look-ahead only tells early where no link can start.
+_URL = (r"\b(?=[a-z0-9\-]*+[.:])(?:https?://|www\.|[a-z0-9.\-]+?\.(?:com|co\.uk|org|net|info|ca)(?=\W))"
         rf"[^ {_FENCE}\t\r\n<>]*?"
-        rf"(?=(?:(?:{_PUNCT}|{_ENTITY})+?)?(?:\.\.+|[<>]|\s|$))")
+        rf"(?=(?:(?:{_PUNCT}|{_ENTITY})+?)?(?:\.\.+|[<>]|{_GAP}|$))")
 _TIME = r"\d+:\d+"
 _DECIMAL = r"\d+\.\d+"
 _GROUPED_NUMBER = r"(?:\d+,)+?\d{3}(?=[^,]|$)"
-_AFTER_ABBREVIATION = rf"(?=\s|[“\"?!,:;]|{_ENTITY})"
+_AFTER_ABBREVIATION = rf"(?={_GAP}|[“\"?!,:;]|{_ENTITY})"
 _ABBREVIATION = (rf"(?:[A-Za-z]\.){{2,}}{_AFTER_ABBREVIATION}"
                  rf"|(?:[A-Za-z]\.)+[A-Za-z]{_AFTER_ABBREVIATION}")
 _SEPARATOR = "--+|―"
 _DECORATION = "[♫]+"
-_INNER_APOSTROPHE = r"\S+'\S+"
+# Where it fails at one character of a word it fails at the next, so it is tried after a gap or a match only.
+_INNER_APOSTROPHE = rf"(?:\G|(?<={_GAP})){_INK}[^ {_FENCE}']*+'{_INK}++"
+# A word of letters and digits holds nothing to protect: fenced as a whole, which leaves it one token.
+_PLAIN_WORD = rf"(?<!{_INK})[\p{{L}}\p{{N}}]++(?!{_INK})"
 _PROTECTED = "(?U)(?:" + "|".join([
-    _URL, _ENTITY, _TIME, _DECIMAL, _GROUPED_NUMBER, _PUNCT + "+", _ABBREVIATION, _SEPARATOR, _DECORATION,
+    _PLAIN_WORD, _URL, _ENTITY, _TIME, _DECIMAL, _GROUPED_NUMBER, _PUNCT + "+", _ABBREVIATION, _SEPARATOR, _DECORATION,
     _INNER_APOSTROPHE]) + ")"
 _EDGE = r"['\"“”‘’<>«»{}()\[\]]"
-_EDGE_LEFT = rf"(?U)(\s|^)({_EDGE}+)([a-zA-Z0-9])"
-_EDGE_RIGHT = rf"(?U)([a-zA-Z0-9])({_EDGE}+)(\s|$)"
+_EDGE_LEFT = rf"( |^)({_EDGE}+)([a-zA-Z0-9])"
+_EDGE_RIGHT = rf"([a-zA-Z0-9])({_EDGE}+)({_GAP}|$)"
+_POSSESSIVE = rf"(?<={_INK})'s(?!{_INK})"
 
 
-def _tokens_by_word(text: Column) -> Column:
-    """Token lists of the white-space separated words, possessive endings apart.
+def _fenced(text: Column) -> Column:
+    """Squeezed text with fences between the tokens of a word, possessive endings apart.
 
     Edge punctuation and every protected stretch are fenced off; none of them
     can contain a blank.
@@ -132,20 +141,13 @@ def _tokens_by_word(text: Column) -> Column:
     s = squeeze_whitespace(text)
     s = F.regexp_replace(s, _EDGE_LEFT, f"$1$2{_FENCE}$3")
     s = F.regexp_replace(s, _EDGE_RIGHT, f"$1{_FENCE}$2$3")
-    fenced = F.regexp_replace(s, _PROTECTED, f"{_FENCE}$0{_FENCE}")
-
-    def parts(word: Column) -> Column:
-        pieces = F.filter(F.split(word, _FENCE), lambda w: w != "")
-        return F.flatten(F.transform(pieces, lambda w: F.when(
-            w.endswith("'s") & (F.length(w) > 2),
-            F.array(F.left(w, F.length(w) - 2), F.lit("'s"))).otherwise(F.array(w))))
-
-    return F.transform(F.filter(F.split(fenced, " "), lambda w: w != ""), parts)
+    s = F.regexp_replace(s, _PROTECTED, f"{_FENCE}$0{_FENCE}")
+    return F.regexp_replace(s, _POSSESSIVE, f"{_FENCE}$0")
 
 
 def tweet_tokens(text: Column) -> Column:
     """Tweet tokens (X11)."""
-    return F.flatten(_tokens_by_word(text))
+    return F.filter(F.split(_fenced(text), f"{_GAP}+"), lambda w: w != "")
 
 
 def _bind(value: Column, body) -> Column:
@@ -153,41 +155,48 @@ def _bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def running_sums(xs: Column, block: int = 64) -> Column:
+def running_sums(xs: Column, block: int = 8) -> Column:
     """Sums of all leading stretches of an int array.
 
     Blocks are summed first; each entry then adds its block's offset and at
-    most ``block`` values, so long arrays stay cheap.
+    most ``block`` values. Offsets are sums over blocks, found the same way
+    once more, so long arrays stay cheap.
     """
     def total(part: Column) -> Column:
         return F.aggregate(part, F.lit(0), lambda a, v: a + v)
 
-    def inside(xs: Column) -> Column:
-        blocks = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int"))
-        sums = F.transform(blocks, lambda b: total(F.slice(xs, b * block + 1, block)))
-        offsets = F.aggregate(sums, F.array(F.lit(0)), lambda a, v: F.concat(a, F.array(F.element_at(a, -1) + v)))
-        return _bind(offsets, lambda before: F.flatten(F.transform(blocks, lambda b: F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(block), F.size(xs) - b * block)),
-            lambda i: F.element_at(before, b + 1) + total(F.slice(xs, b * block + 1, i))))))
+    def one_by_one(xs: Column) -> Column:
+        return F.slice(F.aggregate(xs, F.array(F.lit(0)), lambda a, v: F.concat(a, F.array(F.element_at(a, -1) + v))), 2, F.size(xs))
+
+    def by_blocks(xs: Column, block: int, over) -> Column:
+        def inside(v: Column) -> Column:
+            blocks = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int"))
+            sums = F.transform(blocks, lambda b: total(F.slice(v, b * block + 1, block)))
+            return _bind(over(sums), lambda ends: F.flatten(F.transform(blocks, lambda b: _bind(
+                F.slice(v, b * block + 1, block), lambda part: F.transform(
+                    part, lambda x, i: F.element_at(ends, b + 1) - total(F.slice(part, i + 2, block)))))))
+
+        return _bind(xs, lambda v: F.when(F.size(v) > 0, inside(v)).otherwise(F.array().cast("array<int>")))
 
-    return _bind(xs, lambda v: F.when(F.size(v) > 0, inside(v)).otherwise(F.array().cast("array<int>")))
+    return by_blocks(xs, block, lambda sums: by_blocks(sums, 4 * block, one_by_one))
 
 
 def aligned_tokens(text: Column) -> Column:
     """Array of (tok, start) structs, start counted from 0 in the squeezed text.
 
     Tokens keep every non-blank character in order, so a token starts where the
-    previous one ended, or one blank later when it opens a word.
+    previous one ended, or one blank later when it opens a word. That blank goes
+    in front of the token; text and its pieces then have the same length.
     """
-    tokens = F.flatten(F.transform(_tokens_by_word(text), lambda ts, w: F.transform(
-        ts, lambda t, i: F.struct(t.alias("tok"), ((i == 0) & (w > 0)).cast("int").alias("gap")))))
+    joined = F.regexp_replace(_fenced(text), f"{_FENCE}* {_FENCE}*", f"{_FENCE} ")
+    pieces = F.filter(F.split(joined, _FENCE), lambda p: p != "")
 
-    def placed(tokens: Column) -> Column:
-        ends = running_sums(F.transform(tokens, lambda t: F.length(t["tok"]) + t["gap"]))
-        return F.zip_with(tokens, ends, lambda t, end: F.struct(
-            t["tok"].alias("tok"), (end - F.length(t["tok"])).alias("start")))
+    def placed(pieces: Column) -> Column:
+        ends = running_sums(F.transform(pieces, F.length))
+        return F.zip_with(pieces, ends, lambda p, end: _bind(F.ltrim(p), lambda tok: F.struct(
+            tok.alias("tok"), (end - F.length(tok)).alias("start"))))
 
-    return _bind(tokens, placed)
+    return _bind(pieces, placed)
 
 
 def pick_tokens(aligned: Column, indices: Column) -> Column:
