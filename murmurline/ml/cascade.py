@@ -39,6 +39,24 @@ def scored(model: PipelineModel, df: DataFrame, names: list[str | None]) -> Data
     return out.select(*df.columns, *[n for n in names if n])
 
 
+def with_features(models: list[PipelineModel], df: DataFrame) -> tuple[DataFrame, list[PipelineModel], str | None]:
+    """``df`` with the features that all the models share, what is left of the models, and the name of that column.
+
+    Models of one training set differ only in their last stage; others stay as they are, and the name is null.
+    """
+    shared = {tuple(s.uid for s in m.stages[:-1]) for m in models}
+    if len(shared) > 1 or not all(shared):
+        return df, models, None
+    name = models[0].stages[-1].getFeaturesCol()
+    ready = PipelineModel(models[0].stages[:-1]).transform(df).select(*df.columns, name)
+    return ready, [PipelineModel(m.stages[-1:]) for m in models], name
+
+
+def _kept_where(df: DataFrame, name: str | None, condition) -> DataFrame:
+    """Features stay only with the rows that later models score."""
+    return df if name is None else df.withColumn(name, F.when(condition, F.col(name)))
+
+
 class AlcoholCascade:
     """Alcohol, then first person and its level where alcohol is likely (M4)."""
 
@@ -46,14 +64,16 @@ class AlcoholCascade:
         self.alcohol, self.first_person, self.level = alcohol, first_person, level
 
     def __call__(self, df: DataFrame, threshold: float = 0.75) -> DataFrame:
-        base = cut_lineage(scored(self.alcohol, df, [None, "predict_alc"]), "alcohol-scores")
+        ready, (alcohol, first_person, level), features = with_features([self.alcohol, self.first_person, self.level], df)
+        base = _kept_where(scored(alcohol, ready, [None, "predict_alc"]), features, F.col("predict_alc") > threshold)
+        base = cut_lineage(base, "alcohol-scores")
         likely = base.where(F.col("predict_alc") > threshold)
-        likely = scored(self.first_person, likely, [None, "predict_fpa_given_alc"])
-        likely = scored(self.level, likely, ["predict_present_given_fpa", "predict_future_given_fpa", "predict_past_given_fpa"])
+        likely = scored(first_person, likely, [None, "predict_fpa_given_alc"])
+        likely = scored(level, likely, ["predict_present_given_fpa", "predict_future_given_fpa", "predict_past_given_fpa"])
         rest = base.where(F.col("predict_alc") <= threshold)
         conditional = [c for _, c, _ in ALCOHOL_CHAIN]
         both = likely.unionByName(rest.withColumns({c: F.lit(0.0) for c in conditional}))
-        return with_marginals(both, "predict_alc", threshold, ALCOHOL_CHAIN)
+        return with_marginals(both if features is None else both.drop(features), "predict_alc", threshold, ALCOHOL_CHAIN)
 
 
 class TobaccoCascade:
@@ -65,16 +85,18 @@ class TobaccoCascade:
         self.current, self.combined = current, combined
 
     def __call__(self, df: DataFrame, threshold: float = 0.2) -> DataFrame:
-        base = scored(self.combined, scored(self.tobacco, df, [None, "predict_tob"]), [None, "predict_com"])
-        base = cut_lineage(base, "tobacco-scores")
+        ready, (tobacco, combined, first_person, current, present), features = with_features(
+            [self.tobacco, self.combined, self.first_person, self.current, self.present], df)
+        base = scored(combined, scored(tobacco, ready, [None, "predict_tob"]), [None, "predict_com"])
+        base = cut_lineage(_kept_where(base, features, F.col("predict_tob") > threshold), "tobacco-scores")
         likely = base.where(F.col("predict_tob") > threshold)
-        likely = scored(self.first_person, likely, [None, "predict_fp_given_tob"])
-        likely = scored(self.current, likely, ["predict_not_cur_given_fp", "predict_cur_given_fp"])
-        likely = scored(self.present, likely, ["predict_not_present_given_fp", "predict_present_given_fp"])
+        likely = scored(first_person, likely, [None, "predict_fp_given_tob"])
+        likely = scored(current, likely, ["predict_not_cur_given_fp", "predict_cur_given_fp"])
+        likely = scored(present, likely, ["predict_not_present_given_fp", "predict_present_given_fp"])
         rest = base.where(F.col("predict_tob") <= threshold)
         conditional = [c for _, c, _ in TOBACCO_CHAIN]
         both = likely.unionByName(rest.withColumns({c: F.lit(0.0) for c in conditional}))
-        return with_marginals(both, "predict_tob", threshold, TOBACCO_CHAIN)
+        return with_marginals(both if features is None else both.drop(features), "predict_tob", threshold, TOBACCO_CHAIN)
 
 
 def score_alcohol(tweets: DataFrame, cascade: AlcoholCascade, threshold: float = 0.5,
