@@ -1,11 +1,12 @@
-"""Linear models of many terms whose coefficients and gradients never pass the driver.
+"""Linear models of many terms whose coefficients and gradients never pass the driver.
 
 Coefficients are dealt over the cluster in slices. An evaluation is three steps of one job: slices go to the tasks that
 hold rows, these add up losses and gradients of all models in one pass, and the sums go back to the slices, which also
 keep the steps and gradient changes of limited-memory quasi-Newton steps. The driver gets inner products of those
 vectors, a few hundred numbers a model and slice, and decides on the next direction and step from them.
 
-Objective, standardised space, start, directions, line search and end are those of Spark's ``LogisticRegression``.
+Objective, standardised space, start, directions, line search and end are those of Spark's ``LogisticRegression`` and
+``LinearSVC``. The latter keeps each coefficient on one side of zero during a step.
 """
 
 from __future__ import annotations
@@ -136,7 +137,7 @@ class Slice:
     steps: list[list[np.ndarray]] = field(default_factory=list)
     turns: list[list[np.ndarray]] = field(default_factory=list)
 
-    def obey(self, k: int, order: Order) -> None:
+    def obey(self, k: int, order: Order, sided: bool) -> None:
         if order.take:
             if order.take == "step":
                 self.steps[k] = [self.trial[k] - self.x[k], *self.steps[k]][:MEMORY]
@@ -146,13 +147,17 @@ class Slice:
             self.steps[k], self.turns[k] = [], []
         if order.mix is not None:
             basis = [*self.steps[k], *self.turns[k], self.g[k]]
-            self.way[k] = sum(c * b for c, b in zip(order.mix, basis, strict=True))
+            way = sum(c * b for c, b in zip(order.mix, basis, strict=True))
+            self.way[k] = np.where(way * self.g[k] < 0, way, 0.0) if sided else way
         self.trial[k] = self.x[k] + order.length * self.way[k]
+        if sided and order.length:
+            side = np.where(self.x[k] != 0, np.sign(self.x[k]), np.sign(-self.g[k]))
+            self.trial[k] *= np.sign(self.trial[k]) == side
 
     def report(self, k: int) -> dict:
         """Inner products of the step, gradient change and gradient that the trial would leave, with the kept ones and themselves."""
         new = np.stack([self.trial[k] - self.x[k], self.slope[k] - self.g[k], self.slope[k]])
-        return {"square": float(((self.trial[k] * self.scale) ** 2 * self.free).sum()), "rise": float(self.way[k] @ self.slope[k]),
+        return {"square": float(((self.trial[k] * self.scale) ** 2 * self.free).sum()), "rise": np.array([self.way[k] @ self.slope[k], self.way[k] @ self.g[k]]),
                 "dots": np.stack([new @ b for b in [*self.steps[k], *self.turns[k], *new]], axis=1)}
 
 
@@ -170,8 +175,8 @@ class _Failed(Exception):
     """A line search or a direction failed."""
 
 
-def quasi_newton(iterations: int, tol: float) -> Generator[Order, tuple[float, float, np.ndarray], str]:
-    """The driver's part of one model: sends orders, gets (value, slope along the way, inner products).
+def quasi_newton(iterations: int, tol: float, sided: bool) -> Generator[Order, tuple[float, np.ndarray, np.ndarray], str]:
+    """The driver's part of one model: sends orders, gets (value, slopes along the way there and here, inner products).
 
     Returns ``trial`` or ``x``, whichever the model ends with. Steps, line search and end are those of Spark's optimizer.
     """
@@ -186,13 +191,16 @@ def quasi_newton(iterations: int, tol: float) -> Generator[Order, tuple[float, f
         try:
             mix = _direction(known, steps)
             norm, falling = math.sqrt(max(mix @ known @ mix, 0.0)), float(known[-1] @ mix)
-            if falling > 0 or not norm > 0:
+            if not sided and (falling > 0 or not norm > 0):
                 raise _Failed
             order = Order(take, forget, mix)
             take, forget = "", False
-            length, value_there, dots = yield from _search(order, value, falling, 1.0 / norm if done == 0 else 1.0)
-            if length * math.sqrt(known[-1, -1]) < 1e-10:
-                raise _Failed
+            if sided:
+                length, value_there, dots = yield from _back(order, value, 0.5 / math.sqrt(known[-1, -1]) if done == 0 else 1.0, 0.1 if done == 0 else 0.5)
+            else:
+                length, value_there, dots = yield from _search(order, value, falling, 1.0 / norm if done == 0 else 1.0)
+                if length * math.sqrt(known[-1, -1]) < 1e-10:
+                    raise _Failed
         except _Failed:
             if failed:
                 return "trial" if take else "x"
@@ -240,7 +248,7 @@ def _search(order: Order, value: float, falling: float, length: float):
         order.length = at
         there, rise, dots = yield order
         order.take, order.forget, order.mix = "", False, None
-        return (at, rise, there), dots
+        return (at, rise[0], there), dots
 
     def zoom(low, high):
         for _ in range(10):
@@ -272,6 +280,37 @@ def _search(order: Order, value: float, falling: float, length: float):
     raise _Failed
 
 
+def _back(order: Order, value: float, start: float, shrink: float):
+    """Backtracking line search that also grows: length, value there and inner products.
+
+    Like Spark's it takes the value at ``start`` to be the one at 0, so the first length that counts is a shorter one.
+    """
+    def phi(at: float):
+        if not 1e-10 <= at <= 1e10:
+            raise _Failed
+        order.length = at
+        out = yield order
+        order.take, order.forget, order.mix = "", False, None
+        return out
+
+    length = start * shrink
+    for n in range(20):
+        there, (rise, falling), dots = yield from phi(length)
+        seen = there
+        if n == 0 and not value > value + start * falling * 1e-4:
+            length, seen = start, value
+            there, (rise, falling), dots = yield from phi(start)
+        if seen > value + length * falling * 1e-4:
+            length *= shrink
+        elif rise < 0.9 * falling:
+            length *= 2.1
+        elif rise > -0.9 * falling:
+            length *= shrink
+        else:
+            return length, there, dots
+    raise _Failed
+
+
 def _between(left, right) -> float:
     d1 = left[1] + right[1] - 3 * (left[2] - right[2]) / (left[0] - right[0])
     inner = d1 * d1 - left[1] * right[1]
@@ -293,8 +332,8 @@ def _delete(rows: DataFrame, path: str | None) -> None:
 
 
 def fit(rows: DataFrame, labels: list[Column], terms: int, penalty: float, iterations: int = 100, tol: float = 1e-6,
-        weight: Column | None = None, features: str = "features") -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients (model, term) and intercepts of one logistic model a label, all over the same rows.
+        weight: Column | None = None, features: str = "features", hinge: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients (model, term) and intercepts of a logistic or hinge-loss model a label, all over the same rows.
 
     Labels are 0 or 1, and every label has both among rows of some weight. The penalty is Spark's ``regParam``.
     """
@@ -333,16 +372,17 @@ def fit(rows: DataFrame, labels: list[Column], terms: int, penalty: float, itera
             x = np.zeros((models, len(std)))
             if ends[s] == terms + 1:
                 scale[-1], shift[-1], free[-1] = 1.0, 0.0, 0.0
-                x[:, -1] = np.log(whole[2:] / (total - whole[2:]))
+                if not hinge:
+                    x[:, -1] = np.log(whole[2:] / (total - whole[2:]))
             zero = lambda: np.zeros_like(x)
             yield s, (Slice(firsts[s], scale, shift, free, x, zero(), zero(), x.copy(), zero(), [[] for _ in range(models)], [[] for _ in range(models)]), total)
 
     state = blocks.mapPartitions(moments).partitionBy(len(firsts), _to).mapPartitions(begin, preservesPartitioning=True).persist(KEPT)
-    runs = {k: quasi_newton(iterations, tol) for k in range(models)}
+    runs = {k: quasi_newton(iterations, tol, hinge) for k in range(models)}
     orders, ends_with, round_, cut = {k: next(run) for k, run in runs.items()}, {}, 0, None
     while orders:
         found = sc.accumulator({}, _Reports())
-        sums, after = _evaluated(sc, blocks, state, tasks, firsts, ends, orders, penalty, found)
+        sums, after = _evaluated(sc, blocks, state, tasks, firsts, ends, orders, penalty, hinge, found)
         after.persist(KEPT)
         round_ += 1
         if round_ % CUT == 0:
@@ -381,7 +421,7 @@ def fit(rows: DataFrame, labels: list[Column], terms: int, penalty: float, itera
 
 
 def _evaluated(sc: SparkContext, blocks: RDD, state: RDD, tasks: int, firsts: list[int], ends: list[int], orders: dict[int, Order],
-               penalty: float, found) -> tuple[RDD, RDD]:
+               penalty: float, hinge: bool, found) -> tuple[RDD, RDD]:
     """Summed gradients, and the slices after one evaluation of the models that have orders. Reports go to ``found``."""
     live, slices, size = sorted(orders), len(firsts), ends[-1]
     orders = {k: Order(o.take, o.forget, o.mix, o.length) for k, o in orders.items()}
@@ -389,7 +429,7 @@ def _evaluated(sc: SparkContext, blocks: RDD, state: RDD, tasks: int, firsts: li
     def send(part: Iterable) -> Iterator:
         for s, (at, _) in part:
             for k in live:
-                at.obey(k, orders[k])
+                at.obey(k, orders[k], hinge)
             trial = at.trial[live]
             message = (s, trial * at.scale, (trial * at.shift).sum(1))
             for t in range(tasks):
@@ -410,8 +450,13 @@ def _evaluated(sc: SparkContext, blocks: RDD, state: RDD, tasks: int, firsts: li
                     for j, k in enumerate(live):
                         margin = b.by_row(coef[j][b.seen][b.place] * b.values) + (coef[j, -1] - off[j])
                         y = b.labels[:, k]
-                        whole[0, j] += b.weights @ (np.logaddexp(0, margin) - y * margin)
-                        wrong = b.weights * (0.5 * (1 + np.tanh(margin / 2)) - y)
+                        if hinge:
+                            short = 1 - (2 * y - 1) * margin
+                            whole[0, j] += b.weights @ np.maximum(short, 0)
+                            wrong = b.weights * np.where(short > 0, 1 - 2 * y, 0.0)
+                        else:
+                            whole[0, j] += b.weights @ (np.logaddexp(0, margin) - y * margin)
+                            wrong = b.weights * (0.5 * (1 + np.tanh(margin / 2)) - y)
                         slope[j][b.seen] += b.by_term(wrong, b.values)
                         whole[1, j] += wrong.sum()
                 held = []
@@ -433,7 +478,7 @@ def _evaluated(sc: SparkContext, blocks: RDD, state: RDD, tasks: int, firsts: li
             slope, whole = sums[s]
             out = {}
             for j, k in enumerate(live):
-                at.obey(k, orders[k])
+                at.obey(k, orders[k], hinge)
                 at.slope[k] = (slope[j] * at.scale - at.shift * whole[1, j]) / total + penalty * at.free * at.trial[k] * at.scale ** 2
                 out[k] = at.report(k) | {"loss": whole[0, j] / total}
             found.add({s: out})
