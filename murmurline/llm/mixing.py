@@ -155,6 +155,11 @@ def passes(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     return rows.select(*keep, "size", "pass", words.alias("words"), _position(read).alias("position")).where("words > 0")
 
 
+def _without_null(column: str) -> list[Column]:
+    """_id and _none, never null, which tell the values of a column and null apart."""
+    return [F.coalesce(F.col(column).cast("string"), F.lit("")).alias("_id"), F.isnull(column).alias("_none")]
+
+
 def take(docs: DataFrame, **parameters) -> DataFrame:
     """The mix as documents: every pass over a document is a row, and a last part holds its first words joined by spaces.
 
@@ -165,10 +170,11 @@ def take(docs: DataFrame, **parameters) -> DataFrame:
     packed = docs.select(F.col("doc_id"), F.col("text"), F.col("source"), F.xxhash64("text", "source").alias("key"),
                          F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
     taken = passes(packed, keep=("doc_id", "key"), **parameters).select(
-        F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("words").cast("int").alias("words"),
-        (F.col("words") == F.col("size")).alias("whole"), "position")
-    once = packed.dropDuplicates(["doc_id", "key"])
-    rows = once.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")))
+        *_without_null("doc_id"), "key", F.col("words").cast("int").alias("words"), (F.col("words") == F.col("size")).alias("whole"), "position")
+    # plain keys, the same ones twice, so that texts are dealt once for both steps
+    by = ["_id", "_none", "key"]
+    once = packed.select("*", *_without_null("doc_id")).dropDuplicates(by)
+    rows = once.join(taken, by)
     words = F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
     cut = rows.select("row", "doc_id", "position", F.when(F.col("whole"), F.col("text")).otherwise(
         F.array_join(F.slice(words, F.lit(1), F.col("words")), " ")).alias("text"))

@@ -63,6 +63,25 @@ def test_every_stage(spark, docs):
     assert all(r["n_tokens"] == len(r["ids"]) for r in tokens.collect())
 
 
+def test_mix_deals_texts_once(spark, docs):
+    """Rows of one text become one and meet their passes in the same places; no second shuffle by key."""
+    df = docs([prose(random.Random(i), 20) for i in range(20)] * 2, ids=[None, *range(19)] * 2)
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = mixing.take(df)._jdf.queryExecution().executedPlan().toString()
+        rows = mixing.take(df).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert sum("Exchange hashpartitioning" in line and "key#" in line for line in plan.splitlines()) == 2  # texts, passes
+    wanted = {r["doc_id"]: 0 for r in rows}
+    for r in mixing.mix(df).collect():
+        wanted[r["doc_id"]] = wanted.get(r["doc_id"], 0) + r["taken"]
+    for r in rows:
+        wanted[r["doc_id"]] -= len(SPLIT.findall(r["text"]))
+    assert not any(wanted.values())
+
+
 def written(spark, df):
     folder = scratch_path(spark, "tables")
     df.write.parquet(f"{folder}/documents.parquet")
