@@ -14,10 +14,13 @@ list's hub, the set with the fewest uncommon shingles, which settles groups of n
 member. Then sets of one list that are not connected yet meet each other:
 
 - in lists of uncommon shingles all of them; pairs that meet in too few lists to link are dropped;
-- in lists of common shingles by size and place. If a shingle is the first that two sets share, both have
-  ``need(s, t)`` shingles from it on. So a set that has few left meets only smaller sets, whose size classes it names
-  beforehand, and sets that the hub holds already do not meet each other. Such lists are never held by one task: their
-  hubs come from sums of parts, their rows from joins that adaptive execution splits.
+- in lists of common shingles by what sets them apart from the hub, as near copies share nearly all the rest. Two sets link
+  if they differ in at most ``q (s + t)`` shingles, ``q = (100 - percent) / (100 + percent)``. Let a set differ from its hub in d
+  shingles, those it lacks and those the hub lacks. If d is small enough it links with the hub. Of two others, linked ones
+  share ``(d + e - q (s + t)) / 2`` of their differences, one at least, since both link with the hub where ``d + e <= q (s + t)``.
+  So differences are listed by hub and shingle, rare ones first and those of one set not at all, and sets meet where enough
+  of both follow. Such lists are never held by one task: their hubs come from sums of parts, their rows from joins that
+  adaptive execution splits, and a hub's set is repeated for every GROUP of its sets.
 
 Candidates are compared exactly, on all their shingles.
 
@@ -50,7 +53,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmurline.llm.common import ZIPPED, binaries, compressed, gram_hashes, sliced, unzip, word_hashes, zipped
@@ -64,8 +67,8 @@ MAX_LIGHT, COMMON = 12, 500_000
 LONG_LIST = 8
 #: Share of the hashes that are counted, in terms of the share that a prefix takes of a set.
 SLACK = 2.0
-#: Most document ids to broadcast, and the ratio of sizes that bounds a size class.
-FEW_IDS, CLASS = 100_000, 1.1
+#: Most document ids to broadcast, and sets that are compared with one copy of their hub.
+FEW_IDS, GROUP = 100_000, 500
 #: Texts that a kernel looks at together, and classes that a task remembers (8 bytes each).
 SLICE, REMEMBERED = 500, 1 << 20
 #: Texts whose whole sets a kernel gives back together.
@@ -268,38 +271,58 @@ def _likely(met: DataFrame, percent: int) -> DataFrame:
     return pairs.where("lists >= least").select("a", "b")
 
 
-def _apart_in_common(hot: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets with different labels that may share their first shingle in a list of a common one, from rows
-    (g, c, n, left, label, hub_label)."""
-    size_class = lambda size: F.floor(F.ln(size.cast("double")) / F.lit(float(np.log(CLASS)))).cast("int")
-    n, left = F.col("na"), F.col("left_a")
-    # a set of t shingles can be the partner only if need(s, t) are left
-    largest = F.least(_up(n * 100, percent), F.floor(left * (100 + percent) / percent) - n)
-    one = hot.where("label <> hub_label").select("g", F.col("c").alias("ca"), F.col("n").alias("na"), F.col("left").alias("left_a"), F.col("label").alias("la"))
-    one = one.withColumn("_most", largest).where(F.col("_most") * 100 >= n * percent)
-    one = one.withColumn("_class", F.explode(F.sequence(size_class(F.greatest(F.floor(n * percent / 100), F.lit(1))), size_class(F.col("_most")))))
-    two = hot.select("g", size_class(F.col("n")).alias("_class"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("left").alias("left_b"),
-                     F.col("label").alias("lb"), F.col("hub_label"))
-    nb = F.col("nb")
-    met = one.join(two, ["g", "_class"]).where((F.col("la") != F.col("lb")) & _near(n, nb, percent)
-                                               & (F.least("left_a", "left_b") >= _need(n, nb, percent))
-                                               & ((F.col("lb") == F.col("hub_label")) | (F.col("ca") < F.col("cb"))))
-    return met.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+def _whole_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, n: int, seed: int) -> DataFrame:
+    """c and hs, all its shingles, of the wanted classes (c)."""
+    firsts = cut_lineage(classes.join(wanted, "c").select(F.col("first").alias("doc_id")), "ids")
+    # few documents are picked out where they are read; many are joined, in compressed form
+    texts = (docs.select("doc_id", "text").join(F.broadcast(firsts), "doc_id", "left_semi").mapInArrow(zipped, ZIPPED)
+             if firsts.count() <= FEW_IDS else compressed(docs).join(firsts, "doc_id", "left_semi"))
+    return cut_lineage(texts.select("z").mapInArrow(_members(n, seed), "c bigint, hs array<bigint>").dropDuplicates(["c"]), "sets")
+
+
+def _apart_in_common(hot: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of sets with their hubs, and pairs (a, b) of sets not connected yet that may share their first shingle in a
+    list of a common one, from rows (g, c, hub, label, hub_label)."""
+    mixed = hot.where("label <> hub_label").select("g").distinct()
+    grouped = cut_lineage(hot.join(mixed, "g").where("c <> hub").select("c", "hub", "label", "hub_label").distinct(), "of-hubs")
+    copies = grouped.groupBy("hub").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("_copies"))
+    sets = _whole_sets(grouped.select("c").union(copies.select(F.col("hub").alias("c"))).distinct(), docs, classes, n, seed)
+    hubs = sets.withColumnsRenamed({"c": "hub", "hs": "ys"}).join(copies, "hub").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+    both = grouped.join(copies, "hub").withColumn("_copy", F.pmod(F.xxhash64("c"), "_copies").cast("int")).drop("_copies").join(sets, "c").join(
+        hubs.drop("_copies"), ["hub", "_copy"])
+    apart = cut_lineage(both.select("hub", "c", "label", "hub_label", F.size("hs").cast("long").alias("n"), F.size("ys").cast("long").alias("hub_n"),
+                                    F.concat(F.array_except("hs", "ys"), F.array_except("ys", "hs")).alias("es")).withColumn(
+        "d", F.size("es").cast("long")), "apart")
+    remove_scratch(sets)
+    links_hub = F.col("d") * (100 + percent) <= (F.col("n") + F.col("hub_n")) * (100 - percent)
+    certain = apart.where(links_hub & F.expr("label <> hub_label")).select(F.col("c").alias("a"), F.col("hub").alias("b"))
+    rows = apart.select("hub", "c", "label", "n", "d", (links_hub | F.expr("label = hub_label")).alias("near"), F.explode("es").alias("e"))
+    shared = rows.groupBy("hub", "e").agg(F.count("*").alias("sets"), F.min("near").alias("all_near")).where("sets > 1")
+    w = Window.partitionBy("hub", "c")
+    # differences of one set only come first and share nothing, so those that follow a place are the shared ones from there on
+    left = F.count("*").over(w) - F.row_number().over(w.orderBy("sets", "e")) + 1
+    listed = rows.join(shared, ["hub", "e"]).select("*", left.alias("left")).where("NOT all_near").where(
+        (F.col("d") - F.col("left")) * percent <= F.col("n") * (100 - percent))
+    listed = cut_lineage(listed.select("hub", "e", "c", "label", "n", "d", "near", "left"), "apart-lists")
+    a, b = (listed.select("hub", "e", *[F.col(k).alias(f"{k}{side}") for k in ("c", "label", "n", "d", "near", "left")]) for side in "ab")
+    na, nb = F.col("na"), F.col("nb")
+    enough = 2 * F.least("lefta", "leftb") >= F.col("da") + F.col("db") - na - nb + 2 * _need(na, nb, percent)
+    met = a.join(b, ["hub", "e"]).where((F.col("ca") < F.col("cb")) & ~(F.col("neara") & F.col("nearb")) & (F.col("labela") != F.col("labelb"))
+                                        & _near(na, nb, percent) & enough)
+    return certain, met.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
     """The pairs (a, b) of classes that link, judged by all their shingles."""
     wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
-    firsts = cut_lineage(classes.join(wanted, "c").select(F.col("first").alias("doc_id")), "ids")
-    # few documents are picked out where they are read; many are joined, in compressed form
-    texts = (docs.select("doc_id", "text").join(F.broadcast(firsts), "doc_id", "left_semi").mapInArrow(zipped, ZIPPED)
-             if firsts.count() <= FEW_IDS else compressed(docs).join(firsts, "doc_id", "left_semi"))
-    sets = cut_lineage(texts.select("z").mapInArrow(_members(n, seed), "c bigint, hs array<bigint>").dropDuplicates(["c"]), "sets")
+    sets = _whole_sets(wanted, docs, classes, n, seed)
     joined = pairs.join(sets.select(F.col("c").alias("a"), F.col("hs").alias("xs")), "a").join(
         sets.select(F.col("c").alias("b"), F.col("hs").alias("ys")), "b")
     # row by row in the JVM: many rows of two sets each never stand side by side in a batch
     linked = F.size(F.array_intersect("xs", "ys")).cast("long") * (100 + percent) >= (F.size("xs").cast("long") + F.size("ys")) * percent
-    return cut_lineage(joined.where(linked).select("a", "b"), "verified")
+    out = cut_lineage(joined.where(linked).select("a", "b"), "verified")
+    remove_scratch(sets)
+    return out
 
 
 def links(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -339,9 +362,9 @@ def links(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFram
     certain = one.union(two).where("a <> b")
     # first round: against the hub of the list
     rare = cut_lineage(lists.where("kind_of = 0").select("g", "c", "n", "h", "lead").distinct(), "uncommon-lists")
-    hot = known.where("hot").select("g", "c", "n", (-F.col("kind")).alias("left"), "score").distinct()
+    hot = known.where("hot").select("g", "c", "n", "score").distinct()
     hubs = cut_lineage(hot.groupBy("g").agg(F.max(F.struct("score", "c", "n")).alias("lead"), F.count("*").alias("sets")).where("sets > 1").drop("sets"), "hubs")
-    hot = cut_lineage(hot.join(hubs, "g").select("g", "c", "n", "left", "lead"), "common-lists")
+    hot = cut_lineage(hot.join(hubs, "g").select("g", "c", "n", "lead"), "common-lists")
     remove_scratch(entries)
     met = lambda df: df.where("lead.c <> c").select(F.col("c").alias("ca"), F.col("n").alias("na"), F.col("lead.c").alias("cb"),
                                                     F.col("lead.n").alias("nb"), F.lit(0).alias("spare"))
@@ -349,18 +372,22 @@ def links(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFram
     found = _verified(first, rows, classes, n, percent, seed)
     # second round: sets of a list that the first one left in different components
     label = cut_lineage(components(found).select(F.col("node").alias("c"), F.col("component").alias("label")), "labels")
-    marked = cut_lineage(rare.join(label, "c", "left").select("g", "c", "n", "h", F.coalesce("label", "c").alias("label")), "marked")
-    mixed = marked.groupBy("g").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("g")
-    marked = cut_lineage(marked.join(mixed, "g"), "marked")
+    every = cut_lineage(rare.join(label, "c", "left").select("g", "c", "n", "h", F.coalesce("label", "c").alias("label")), "marked")
+    mixed = every.groupBy("g").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("g")
+    marked = cut_lineage(every.join(mixed, "g"), "marked")
+    remove_scratch(every, rare)
     a, b = (marked.select("g", *[F.col(k).alias(f"{k}{side}") for k in ("c", "n", "h", "label")]) for side in "ab")
     apart = a.join(b, "g").where((F.col("ca") < F.col("cb")) & (F.col("labela") != F.col("labelb")) & _near(F.col("na"), F.col("nb"), percent))
     pairs = _likely(apart.select("ca", "na", "cb", "nb", F.least("ha", "hb").alias("spare")), percent)
     hub_label = label.select(F.col("c").alias("_hub"), F.col("label").alias("_hub_label"))
     named = hot.join(label, "c", "left").join(hub_label, F.col("lead.c") == F.col("_hub"), "left").select(
-        "g", "c", "n", "left", F.coalesce("label", "c").alias("label"), F.coalesce("_hub_label", F.col("lead.c")).alias("hub_label"))
-    second = pairs.union(_apart_in_common(cut_lineage(named, "named"), percent)).distinct()
+        "g", "c", F.col("lead.c").alias("hub"), F.coalesce("label", "c").alias("label"), F.coalesce("_hub_label", F.col("lead.c")).alias("hub_label"))
+    to_hubs, met_apart = _apart_in_common(cut_lineage(named, "named"), rows, classes, n, percent, seed)
+    # kept before known pairs leave: each pair stands in many lists
+    second = cut_lineage(pairs.union(met_apart).distinct(), "pairs")
+    remove_scratch(marked)
     rest = _verified(cut_lineage(second.join(first, ["a", "b"], "left_anti"), "pairs"), rows, classes, n, percent, seed)
-    return sets, certain.union(found).union(rest)
+    return sets, certain.union(found).union(to_hubs).union(rest)
 
 
 def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:

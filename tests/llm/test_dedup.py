@@ -74,6 +74,41 @@ def test_common_shingles_only_order_the_lists(docs, monkeypatch):
     assert got == brute_components(list(range(len(texts))), texts)
 
 
+@pytest.mark.parametrize("seed,deletes", [(1, False), (2, True)])
+def test_copies_just_too_far_apart_do_not_all_meet(docs, monkeypatch, seed, deletes):
+    """Most copies of one text have one edit too many to link: pairs to compare grow with the copies, not with their square."""
+    rng, compared = random.Random(seed), []
+    base = [f"b{i}" for i in range(120)]
+    texts = [" ".join(base)]
+    for i in range(150):
+        at = set(rng.sample(range(120), rng.choice([1, 4, 5, 6])))
+        texts.append(" ".join(f"e{i}x{k}" if k in at else w for k, w in enumerate(base) if not (deletes and k in at and k % 2)))
+    texts += [" ".join(base[:60]) + f" {words(rng.randrange(5, 60), 1000 * i, 'own')}" for i in range(30)] + near_copies(seed)
+    plain = J._verified
+    monkeypatch.setattr(J, "_verified", lambda pairs, *rest: (compared.append(pairs.count()), plain(pairs, *rest))[1])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.join(docs(texts)).collect()}
+    assert got == brute_components(list(range(len(texts))), texts)
+    assert sum(compared) < 5 * len(texts)
+
+
+@pytest.mark.parametrize("group", [1, 500])
+def test_hubs_of_other_shapes(docs, monkeypatch, group):
+    """Chains of edits, sets inside each other, passages that several groups share, all in common lists."""
+    monkeypatch.setattr(J, "LONG_LIST", 1)
+    monkeypatch.setattr(J, "GROUP", group)
+    rng = random.Random(group)
+    a, b = ([f"{stem}{i}" for i in range(90)] for stem in "ab")
+    texts = [" ".join(base[i:i + n]) for base in (a, b) for i in range(0, 60, 7) for n in (12, 20, 27, 30)]
+    texts += [" ".join(a[:i] + b[:90 - i]) for i in range(0, 90, 6)]
+    for base in (a, b):
+        for _ in range(25):
+            base = base[:]
+            base[rng.randrange(90)] = f"c{rng.randrange(6)}"
+            texts.append(" ".join(base))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.join(docs(texts)).collect()}
+    assert got == brute_components(list(range(len(texts))), texts)
+
+
 def test_boundary_follows_the_cost():
     assert J.choose_boundary({}) == 0
     assert J.choose_boundary({1: 1000}) >= 1
